@@ -72,17 +72,19 @@ def page_ref_candidates(text: Column) -> Column:
     A page range ("pages 50-51") is not a reference: a digits-dash-digits word
     is dropped when PAGES stands within 30 characters of its first occurrence.
     """
-    upper = F.upper(text)
-    words = F.array_distinct(F.regexp_extract_all(upper, F.lit(PAGE_REFERENCE), F.lit(0)))
+    def of_page(upper):
+        words = F.array_distinct(F.regexp_extract_all(upper, F.lit(PAGE_REFERENCE), F.lit(0)))
 
-    def page_range(word):
-        at = F.position(word, upper)
-        begin = F.greatest(at - 30, F.lit(1))
-        around = F.substring(upper, begin, at + 30 - begin)
-        return word.rlike(r"^\d+-\d+$") & F.contains(around, F.lit("PAGES"))
+        def page_range(word):
+            at = F.position(word, upper)
+            begin = F.greatest(at - 30, F.lit(1))
+            around = F.substring(upper, begin, at + 30 - begin)
+            return word.rlike(r"^\d+-\d+$") & F.contains(around, F.lit("PAGES"))
 
-    kept = F.filter(words, lambda w: (F.length(norm_ref(w)) >= 2) & ~page_range(w))
-    return F.array_distinct(F.transform(kept, norm_ref))
+        kept = F.filter(words, lambda w: (F.length(norm_ref(w)) >= 2) & ~page_range(w))
+        return F.array_distinct(F.transform(kept, norm_ref))
+
+    return T.let(F.upper(text), of_page)
 
 
 def question_ref_candidates(question: Column) -> Column:

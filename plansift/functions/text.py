@@ -26,8 +26,8 @@ IMAGE_COUNT = (r"(?i)(\d{1,2})\s*(?:images?|img|drawings?|pictures?|photos?|"
                r"illustrations?|figures?|sections?)\b")
 PAGE_COUNT = (r"(?i)(\d{1,2})\s*(?:answers?|results?|pages?|hits?|entries?|rows?|"
               r"options?)\b")
-FRENCH_WORDS = (r"(?i)\b(le|la|les|des|une|est|pour|avec|quelle?|joint|ouvrant|"
-                r"dormant|coulissant|levant)\b")
+FRENCH_WORDS = (r"(?i)(?<![A-Za-z0-9_])(le|la|les|des|une|est|pour|avec|quelle?|joint|ouvrant|"
+                r"dormant|coulissant|levant)(?![A-Za-z0-9_])")
 SNIPPET_CHARS = 420
 SNIPPET_LEAD = 100
 
@@ -273,16 +273,27 @@ def needs_ocr(raw: Column, cleaned: Column, min_chars: int = 250, max_loss: floa
     return (n_clean < min_chars) | (lost > max_loss)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def snippet(text: Column, terms: Column, width: int = SNIPPET_CHARS) -> Column:
     """Window of the cleaned text that opens shortly before the first term."""
-    body = strip(clean_text(F.regexp_replace(text, r"[ \t]+", " ")))
-    low = F.lower(body)
-    first = F.array_min(F.filter(F.transform(terms, lambda t: F.position(t, low)), lambda p: p > 0))
-    start = F.greatest(F.coalesce(first, F.lit(1)) - 1 - SNIPPET_LEAD, F.lit(0))
-    window = F.trim(F.translate(F.substring(body, start + 1, F.lit(width)), "\n", " "))
-    return F.when(body == "", F.lit("")).otherwise(F.concat(
-        F.when(start > 0, F.lit("…")).otherwise(F.lit("")), window,
-        F.when(start + width < F.length(body), F.lit("…")).otherwise(F.lit(""))))
+    def first_term(low):
+        found = F.transform(terms, lambda t: F.position(t, low))
+        return F.coalesce(F.array_min(F.filter(found, lambda p: p > 0)), F.lit(1))
+
+    def window(body, start):
+        text_window = F.trim(F.translate(F.substring(body, start + 1, F.lit(width)), "\n", " "))
+        return F.concat(F.when(start > 0, F.lit("…")).otherwise(F.lit("")), text_window,
+                        F.when(start + width < F.length(body), F.lit("…")).otherwise(F.lit("")))
+
+    def whole(body):
+        start = F.greatest(let(F.lower(body), first_term) - 1 - SNIPPET_LEAD, F.lit(0))
+        return F.when(body == "", F.lit("")).otherwise(let(start, lambda s: window(body, s)))
+
+    return let(strip(clean_text(F.regexp_replace(text, r"[ \t]+", " "))), whole)
 
 
 def lines(text: Column) -> Column:

@@ -25,6 +25,7 @@ PAGE_WEIGHTS = {"text": 1.0, "refs": 8.0, "title": 3.0, "ocr_text": 1.5}
 PART_WEIGHTS = {"ref": 2.0, "designation": 1.0}
 SHARD_CHARS = 2
 MARKER = ""
+SCORE_DIGITS = 9
 
 
 def shard(term: Column) -> Column:
@@ -130,8 +131,9 @@ def bm25(freqs: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
             / (F.col("tf") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("len") / F.col("avg_len"))))
     gains = freqs.join(uses, "phrase").withColumn("gain", gain)
     scored = gains.groupBy("qid", key).agg(
-        (-F.sum(F.col("gain") * F.col("n_all"))).alias("all_score"),
-        (-F.sum(F.col("gain") * F.col("n_any"))).alias("any_score"),
+        # rounded: the order in which partial sums arrive must not decide ties
+        F.round(-F.sum(F.col("gain") * F.col("n_all")), SCORE_DIGITS).alias("all_score"),
+        F.round(-F.sum(F.col("gain") * F.col("n_any")), SCORE_DIGITS).alias("any_score"),
         F.count_if(F.col("n_all") > 0).alias("n_found"),
         F.max("n_needed").alias("n_needed"))
     return scored.select(
