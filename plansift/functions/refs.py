@@ -119,11 +119,10 @@ def question_ref_candidates(question: Column) -> Column:
 def _last_fragment(question: Column, pattern: str) -> Column:
     """Normalised fragment of the last place the wording occurs, when usable."""
     found = F.regexp_extract_all(question, F.lit("(?iU)" + pattern), F.lit(1))
-    fragment = norm_ref(F.try_element_at(found, F.lit(-1)))
-    usable = (F.length(fragment).between(1, MAX_FRAGMENT)
-              & ~F.lower(fragment).isin(*V.PATTERN_STOP_WORDS)
-              & (has_digit(fragment) | (F.length(fragment) <= 3)))
-    return F.when(usable, fragment)
+    return T.let(norm_ref(F.try_element_at(found, F.lit(-1))), lambda fragment: F.when(
+        F.length(fragment).between(1, MAX_FRAGMENT)
+        & ~F.lower(fragment).isin(*V.PATTERN_STOP_WORDS)
+        & (has_digit(fragment) | (F.length(fragment) <= 3)), fragment))
 
 
 def pattern_kinds(question: Column) -> Column:
@@ -148,21 +147,24 @@ def ref_pattern(question: Column, vocabulary: V.Vocabulary) -> Column:
     reference noun with exactly one code-like fragment means *contains*.  Such an
     implicit fragment still has to be checked against the known references.
     """
-    mode, value = F.lit(None).cast("string"), F.lit(None).cast("string")
-    explicit = {m: F.coalesce(*[_last_fragment(question, p) for p in wordings])
-                for m, wordings in PATTERN_GRAMMAR.items()}
-    value = F.coalesce(*explicit.values())
-    mode = F.coalesce(*[F.when(v.isNotNull(), F.lit(m)) for m, v in explicit.items()])
-    fragments = _fragments(question, vocabulary)
-    implicit = (value.isNull() & T.has_any(T.tokens(question), V.REFERENCE_NOUNS)
-                & (F.size(fragments) == 1))
-    kinds = pattern_kinds(question)
-    return F.when(value.isNotNull() | implicit, F.struct(
-        F.coalesce(mode, F.lit("contains")).alias("mode"),
-        F.coalesce(value, F.try_element_at(fragments, F.lit(1))).alias("value"),
-        kinds.alias("kinds"),
-        F.when(F.size(kinds) == 1, F.try_element_at(kinds, F.lit(1))).alias("kind"),
-        implicit.alias("implicit")))
+    readings = F.array(*[
+        F.struct(F.lit(mode).alias("mode"), _last_fragment(question, wording).alias("value"),
+                 F.lit(False).alias("implicit"))
+        for mode, wordings in PATTERN_GRAMMAR.items() for wording in wordings])
+    fragment = T.let(_fragments(question, vocabulary), lambda found: F.when(
+        F.size(found) == 1, F.element_at(found, 1)))
+    guess = F.struct(F.lit("contains").alias("mode"), F.when(
+        T.has_any(T.tokens(question), V.REFERENCE_NOUNS), fragment).alias("value"),
+        F.lit(True).alias("implicit"))
+
+    def described(reading):
+        return F.when(reading.isNotNull(), T.let(pattern_kinds(question), lambda kinds: F.struct(
+            reading["mode"].alias("mode"), reading["value"].alias("value"), kinds.alias("kinds"),
+            F.when(F.size(kinds) == 1, F.element_at(kinds, 1)).alias("kind"),
+            reading["implicit"].alias("implicit"))))
+
+    usable = F.filter(F.concat(readings, F.array(guess)), lambda r: r["value"].isNotNull())
+    return T.let(F.try_element_at(usable, F.lit(1)), described)
 
 
 def matches_position(key: Column, mode: Column, value: Column) -> Column:

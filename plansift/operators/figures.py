@@ -1,6 +1,8 @@
 """Figures, highlight boxes and page geometry."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from plansift.functions import vectors as X
@@ -60,8 +62,10 @@ MIN_AREA, MAX_AREA, MIN_SIDE, MAX_FIGURES = 0.010, 0.88, 24.0, 8
 
 
 def occupied_cells(strokes: DataFrame) -> DataFrame:
-    """``page_id, width, height, cx, cy``: grid cells touched by any stroke box.
+    """``page_id, width, height, cy, word, mask``: grid cells touched by any stroke box.
 
+    A grid row is kept as 64-cell words, one bit per cell, so a stroke costs one row
+    per grid row it crosses and strokes merge map-side with a bitwise OR.
     ``strokes`` has ``page_id, width, height, x0, y0, x1, y1``; boxes are clipped to
     the page, and boxes over half of the page (borders, tints) do not count.
     """
@@ -73,26 +77,35 @@ def occupied_cells(strokes: DataFrame) -> DataFrame:
                  <= F.lit(0.5) * F.col("width") * F.col("height"))
 
     def cell(value, extent):
-        last = F.floor(F.col(extent) / CELL).cast("int")
-        return F.least(F.floor(F.col(value) / CELL).cast("int"), last)
-
-    columns = s.select("page_id", "width", "height", F.explode(
-        F.sequence(cell("x0", "width"), cell("x1", "width"))).alias("cx"),
-        cell("y0", "height").alias("top"), cell("y1", "height").alias("bottom"))
-    return columns.select("page_id", "width", "height", "cx", F.explode(
-        F.sequence("top", "bottom")).alias("cy")).distinct()
-
-
-def _page_clusters(page):
+        last = F.floor(F.col(extent) / CELL)
+        return F.least(F.floor(F.col(value) / CELL), last).cast("int")
+
+    s = s.select("page_id", "width", "height", cell("x0", "width").alias("left"), cell("x1", "width").alias("right"),
+                 cell("y0", "height").alias("top"), cell("y1", "height").alias("bottom"))
+    rows = s.select("page_id", "width", "height", "left", "right",
+                    F.explode(F.sequence("top", "bottom")).alias("cy"))
+    words = rows.select("*", F.explode(F.sequence(F.floor(F.col("left") / 64), F.floor(F.col("right") / 64)))
+                        .alias("word"))
+    low = F.greatest(F.col("left") - F.col("word") * 64, F.lit(0)).cast("int")
+    high = F.least(F.col("right") - F.col("word") * 64, F.lit(63)).cast("int")
+    ones = F.lit(-1).cast("bigint")
+    mask = F.call_function("shiftleft", ones, low).bitwiseAND(
+        F.call_function("shiftrightunsigned", ones, F.lit(63) - high))
+    return words.groupBy("page_id", "width", "height", "cy", F.col("word").cast("int").alias("word")).agg(
+        F.bit_or(mask).alias("mask"))
+
+
+def _page_clusters(page: pd.DataFrame) -> pd.DataFrame:
     """Boxes of the connected groups of one page's cells, at the widest useful dilation."""
-    import numpy as np
-    import pandas as pd
     columns = ["page_id", "figure_no", "share", "x0", "y0", "x1", "y1"]
     width, height = float(page["width"].iloc[0]), float(page["height"].iloc[0])
-    grid = np.zeros((int(height / CELL) + 1, int(width / CELL) + 1), dtype=bool)
-    grid[page["cy"].to_numpy(), page["cx"].to_numpy()] = True
+    grid = np.zeros((int(height / CELL) + 1, (int(width / CELL) // 64 + 1) * 64), dtype=bool)
+    bits = np.unpackbits(page["mask"].to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for cy, word, cells in zip(page["cy"], page["word"], bits):
+        grid[cy, word * 64:word * 64 + 64] |= cells.astype(bool)
+    grid = grid[:, :int(width / CELL) + 1]
     for spread in range(DILATE, -1, -1):
-        wide = grid.copy()
+        wide = grid
         for _ in range(spread):
             padded = np.pad(wide, 1)
             wide = (padded[1:-1, 1:-1] | padded[:-2, 1:-1] | padded[2:, 1:-1]
@@ -100,33 +113,44 @@ def _page_clusters(page):
         boxes = _component_boxes(wide, width, height)
         if boxes:
             top = sorted(boxes, key=lambda b: -b[0])[:MAX_FIGURES]
-            rows = [(page["page_id"].iloc[0], i, *box) for i, box in enumerate(top)]
-            return pd.DataFrame(rows, columns=columns)
+            return pd.DataFrame([(page["page_id"].iloc[0], i, *box) for i, box in enumerate(top)], columns=columns)
     return pd.DataFrame(columns=columns)
 
 
-def _component_boxes(grid, width, height):
+def _component_boxes(grid: np.ndarray, width: float, height: float) -> list[tuple]:
     """(area share, x0, y0, x1, y1) of each 4-connected group that is figure-sized.
 
-    Labels spread by repeated minimum over the four neighbours until they settle.
+    Works on horizontal runs: runs of neighbouring rows that overlap belong together.
     """
-    import numpy as np
-    far = grid.size
-    labels = np.where(grid, np.arange(far).reshape(grid.shape), far)
-    while True:
-        padded = np.pad(labels, 1, constant_values=far)
-        lowest = np.minimum.reduce([labels, padded[:-2, 1:-1], padded[2:, 1:-1],
-                                    padded[1:-1, :-2], padded[1:-1, 2:]])
-        settled = np.where(grid, lowest, far)
-        settled = np.where(grid, np.append(settled.ravel(), far)[settled], far)
-        if np.array_equal(settled, labels):
-            break
-        labels = settled
+    change = np.diff(np.pad(grid, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    ys, starts = np.nonzero(change == 1)
+    ends = np.nonzero(change == -1)[1] - 1
+    group = list(range(len(ys)))
+
+    def root(i):
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    first_of_row = np.searchsorted(ys, np.arange(grid.shape[0] + 1))
+    for y in range(1, grid.shape[0]):
+        above, stop = first_of_row[y - 1], first_of_row[y]
+        for run in range(first_of_row[y], first_of_row[y + 1]):
+            while above < stop and ends[above] < starts[run]:
+                above += 1
+            other = above
+            while other < stop and starts[other] <= ends[run]:
+                a, b = root(run), root(other)
+                group[max(a, b)] = min(a, b)
+                other += 1
+    roots = np.array([root(i) for i in range(len(ys))], dtype=int)
     boxes = []
-    for label in np.unique(labels[grid]):
-        ys, xs = np.nonzero(labels == label)
-        x0, y0 = max(xs.min() * CELL - PAD, 0.0), max(ys.min() * CELL - PAD, 0.0)
-        x1, y1 = min((xs.max() + 1) * CELL + PAD, width), min((ys.max() + 1) * CELL + PAD, height)
+    for r in np.unique(roots):
+        mine = roots == r
+        x0, y0 = max(starts[mine].min() * CELL - PAD, 0.0), max(ys[mine].min() * CELL - PAD, 0.0)
+        x1 = min((ends[mine].max() + 1) * CELL + PAD, width)
+        y1 = min((ys[mine].max() + 1) * CELL + PAD, height)
         share = (x1 - x0) * (y1 - y0) / (width * height)
         if MIN_AREA <= share <= MAX_AREA and x1 - x0 > MIN_SIDE and y1 - y0 > MIN_SIDE:
             boxes.append((float(share), float(x0), float(y0), float(x1), float(y1)))
@@ -136,12 +160,11 @@ def _component_boxes(grid, width, height):
 def drawing_clusters(strokes: DataFrame) -> DataFrame:
     """Figure boxes found in each page's strokes, largest first.
 
-    A page's grid is bounded by the sheet size however many strokes it has: cells
-    are made distinct before the page is gathered.
+    What is gathered per page is its grid, bounded by the sheet size however many
+    strokes the page has.
     """
     return occupied_cells(strokes).groupBy("page_id").applyInPandas(
-        lambda page: _page_clusters(page),
-        "page_id long, figure_no int, share double, x0 double, y0 double, x1 double, y1 double")
+        _page_clusters, "page_id long, figure_no int, share double, x0 double, y0 double, x1 double, y1 double")
 
 
 def ordered_figure_files(figures: DataFrame) -> DataFrame:

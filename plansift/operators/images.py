@@ -17,11 +17,11 @@ def descriptor_similarity(images: DataFrame, query: DataFrame, dhash_bits: int =
     edge ARRAY<FLOAT>``.  The query enters as scalar values: one projection over
     the image table, no join.
     """
-    q = {name: query.select(name).scalar() for name in ("phash", "dhash", "edge")}
     usable = images.filter(F.col("edge").isNotNull() | F.col("phash").isNotNull())
-    rows = (usable.withColumn("phash_distance", X.hamming(F.col("phash"), q["phash"]))
-            .withColumn("dhash_distance", X.hamming_words(F.col("dhash"), q["dhash"]))
-            .withColumn("edge_dot", X.dot(F.col("edge"), q["edge"])))
+    rows = usable.withColumns({f"q_{name}": query.select(name).scalar() for name in ("phash", "dhash", "edge")})
+    rows = (rows.withColumn("phash_distance", X.hamming(F.col("phash"), F.col("q_phash")))
+            .withColumn("dhash_distance", X.hamming_words(F.col("dhash"), F.col("q_dhash")))
+            .withColumn("edge_dot", X.dot(F.col("edge"), F.col("q_edge"))))
     return rows.withColumn("similarity", X.image_blend(
         F.col("phash_distance"), F.col("dhash_distance"), F.col("edge_dot"), dhash_bits))
 

@@ -97,9 +97,8 @@ def _position_hits(patterns: DataFrame, keyed: DataFrame) -> DataFrame:
     value, so the reference table is scanned once and filtered in place.
     """
     batch = patterns.agg(F.collect_list(F.struct("qid", "mode", "value", "kind"))).scalar()
-    key = F.col("ref_norm")
-    fitting = F.filter(batch, lambda p: R.matches_position(key, p["mode"], p["value"]))
-    rows = keyed.withColumn("p", F.explode(fitting))
+    rows = keyed.withColumn("p", F.explode(batch)).filter(
+        R.matches_position(F.col("ref_norm"), F.col("p.mode"), F.col("p.value")))
     return rows.select("p.qid", F.col("p.kind").alias("asked_kind"), *keyed.columns)
 
 
@@ -318,7 +317,7 @@ def fuzzy_parts(needles: DataFrame, parts: DataFrame, limit: int = 6) -> DataFra
     they travel as one array value.  Names are compared once each: equal names
     share one comparison before the rows of that name are ranked.
     """
-    batch = needles.agg(F.collect_list(F.struct(F.col("qid").cast("int"), "needle"))).scalar()
+    batch = needles.agg(F.collect_list(F.struct(F.col("qid").cast("int").alias("qid"), "needle"))).scalar()
     similar = F.pandas_udf(_similar_needles, _SIMILAR)
     names = parts.filter(F.length("designation") > 0).select(F.lower("designation").alias("name")).distinct()
     close = names.select("name", F.explode(similar("name", batch)).alias("hit")).select(

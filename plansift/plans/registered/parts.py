@@ -67,8 +67,8 @@ def known_refs(spark, sf_dir):
 
 
 _MERGED = """keyed AS (SELECT ref_norm, part_id, trim(designation) AS name, regexp_replace(lower(designation), '[^a-z0-9]', '', 'g') AS k FROM parts_v),
-firsts AS (SELECT ref_norm, k, min(part_id) AS at, arg_min(name, part_id) AS name FROM keyed WHERE k <> '' GROUP BY 1, 2),
-merged AS (SELECT ref_norm, array_to_string(list(name ORDER BY at)[1:2], ' · ') AS designation FROM firsts GROUP BY 1)"""
+firsts AS (SELECT ref_norm, k, min(part_id) AS first_id, arg_min(name, part_id) AS name FROM keyed WHERE k <> '' GROUP BY 1, 2),
+merged AS (SELECT ref_norm, array_to_string(list_slice(list(name ORDER BY first_id), 1, 2), ' · ') AS designation FROM firsts GROUP BY 1)"""
 
 
 @registered(f"WITH {S.PARTS}, {_MERGED} SELECT ref_norm, designation FROM merged")
@@ -210,7 +210,15 @@ def part_relevance(spark, sf_dir):
     return hits.select("qid", "part_id", F.round("relevance", 6).alias("relevance"), F.round("bm", 6).alias("bm"))
 
 
-@registered()
+# every question here is answered lexically or names category words only, so no
+# fuzzy comparison takes part and SQL can state the whole result
+@registered(f"""{_RELEVANCE}, {S.PHOTOS}, {S.FIRST_PHOTO}, keyed AS (SELECT qid, part_id, pos, -(10 * relevance - bm * 0.1e0) AS k, ref_norm, ref, kind, supplier_ref FROM relevant JOIN parts_v USING (part_id)),
+one_each AS (SELECT qid, ref_norm, arg_min((part_id, ref, kind, supplier_ref), (k, pos)) AS r, min((k, pos)) AS o FROM keyed GROUP BY 1, 2),
+top AS (SELECT * FROM (SELECT qid, ref_norm, r, row_number() OVER (PARTITION BY qid ORDER BY o) AS rank FROM one_each) WHERE rank <= 6),
+names AS (SELECT qid, ref_norm, regexp_replace(lower(designation), '[^a-z0-9]', '', 'g') AS nk, min((part_id <> r[1], part_id)) AS place, arg_min(trim(designation), (part_id <> r[1], part_id)) AS name
+ FROM top JOIN parts_v USING (ref_norm) GROUP BY 1, 2, 3),
+merged AS (SELECT qid, ref_norm, array_to_string(list_slice(list(name ORDER BY place), 1, 2), ' · ') AS designation FROM names WHERE nk <> '' GROUP BY 1, 2)
+SELECT qid, rank, r[2] AS ref, ref_norm, r[3] AS kind, coalesce(designation, '') AS designation, r[4] AS supplier_ref, photo FROM top LEFT JOIN merged USING (qid, ref_norm) LEFT JOIN first_photo USING (ref_norm)""")
 def part_search(spark, sf_dir):
     return P.find_parts(question_table(spark, PART_QUESTIONS), *_tables(spark, sf_dir), VOCAB)
 
@@ -245,13 +253,14 @@ def pages_using_ref(spark, sf_dir):
 
 
 # ----------------------------------------------------------------------- facets
-_HEADINGS = f"""flat AS (SELECT page_id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS raw FROM pages_v),
+_HEADINGS = f"""capital_v AS (SELECT page_id, upper(replace(regexp_replace(text, '[.,!?]+\\s*', chr(10), 'g'), 'ß', 'SS')) AS text FROM pages_v),
+flat AS (SELECT page_id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS raw FROM capital_v),
 tidy AS (SELECT page_id, {S.heading_line('raw')} AS line FROM flat), heads AS (SELECT page_id, {S.title_case('line')} AS heading FROM tidy WHERE {S.is_heading('line')})"""
 
 
 @registered(f"WITH {S.PAGES}, {_HEADINGS} SELECT heading, count(*) AS n FROM heads GROUP BY 1")
 def headings(spark, sf_dir):
-    rows = facets.heading_rows(standin.pages(spark, sf_dir), ["page_id"], VOCAB)
+    rows = facets.heading_rows(standin.capital_pages(spark, sf_dir), ["page_id"], VOCAB)
     return rows.groupBy("heading").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -261,7 +270,7 @@ _TOPICS = f"""topics AS (SELECT * FROM (SELECT qid, heading, n, row_number() OVE
 
 @registered(f"{_SEARCH}, {_HEADINGS}, {_TOPICS} SELECT qid, heading, n, rank FROM topics")
 def facet_topics(spark, sf_dir):
-    return facets.topics(ranked(spark, sf_dir), standin.pages(spark, sf_dir), VOCAB)
+    return facets.topics(ranked(spark, sf_dir), standin.capital_pages(spark, sf_dir), VOCAB)
 
 
 @registered(f"""{_SEARCH} SELECT qid, string_agg(DISTINCT system, ',' ORDER BY system) AS systems, string_agg(DISTINCT doc_kind, ',' ORDER BY doc_kind) AS doc_kinds FROM ranked GROUP BY 1""")
@@ -286,9 +295,16 @@ def component_families(spark, sf_dir):
     return facets.component_families(question_table(spark, PART_QUESTIONS), standin.parts(spark, sf_dir), VOCAB)
 
 
-@registered()
+@registered(f"""{_SEARCH}, {S.PARTS}, {_HEADINGS}, {_TOPICS}, {_FAMILIES}, named AS (SELECT qid, {S.system_named('question')} AS sys FROM asked),
+fac AS (SELECT qid, list(DISTINCT system ORDER BY system) AS systems, list(DISTINCT doc_kind) AS kinds FROM ranked GROUP BY 1),
+offers AS (SELECT qid, 0 AS stage, rank AS pos, family || coalesce(' — ' || sys, '') AS s FROM families JOIN named USING (qid) WHERE rank <= 4
+ UNION ALL SELECT qid, 1, rank, heading || coalesce(' — ' || sys, '') FROM topics JOIN named USING (qid) WHERE rank <= 3
+ UNION ALL SELECT qid, 2, i - 1, 'What does ' || systems[i] || ' cover?' FROM fac JOIN named USING (qid), (SELECT unnest([1, 2, 3]) AS i) WHERE sys IS NULL AND i <= len(systems)
+ UNION ALL SELECT qid, 3, 0, 'Fabrication drawings for ' || coalesce(sys, systems[1]) FROM fac JOIN named USING (qid) WHERE list_contains(kinds, 'fabrication drawing')),
+uniq AS (SELECT qid, arg_min(s, (stage, pos)) AS suggestion, min((stage, pos)) AS o FROM offers GROUP BY qid, lower(s))
+SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY o) AS rank, suggestion FROM uniq) WHERE rank <= 6""")
 def suggestions(spark, sf_dir):
-    questions, pages = question_table(spark, QUESTIONS), standin.pages(spark, sf_dir)
+    questions, pages = question_table(spark, QUESTIONS), standin.capital_pages(spark, sf_dir)
     top = ranked(spark, sf_dir)
     return facets.suggestions(
         questions, facets.component_families(questions, standin.parts(spark, sf_dir), VOCAB),

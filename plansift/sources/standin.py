@@ -49,6 +49,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("doc_kind"))
 
 
+def capital_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages set in capitals with one clause per line, the form headings come in."""
+    clauses = F.regexp_replace("text", r"[.,!?]+\s*", "\n")
+    return pages(spark, sf_dir).withColumn("text", F.upper(clauses))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("num_pages"))
     return p.select(
