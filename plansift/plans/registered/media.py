@@ -53,7 +53,7 @@ inside AS (SELECT * FROM placed WHERE x1 > x0 AND y1 > y0 AND ix1 > ix0 AND iy1
 @registered(f"""WITH {S.FIGURES}, {S.BOXES}, marks AS (SELECT * FROM (SELECT page_id, box_id, x, y, w, h, row_number() OVER (PARTITION BY page_id ORDER BY box_id) AS mark FROM boxes_v
  WHERE contains(lower(text), 'erth') OR contains(lower(text), 'ontion') OR contains(lower(text), 'the')) WHERE mark <= 60),
 pairs AS (SELECT page_id, figure_id, box_id, x AS mx, y AS my, w AS mw, h AS mh, x0, y0, x1, y1 FROM marks JOIN figures_v USING (page_id)), {_CROP}
-SELECT figure_id, box_id, round(((ix0 - x0) / (x1 - x0))::DECIMAL(38,20), 5)::DOUBLE AS x, round(((iy0 - y0) / (y1 - y0))::DECIMAL(38,20), 5)::DOUBLE AS y, round(((ix1 - ix0) / (x1 - x0))::DECIMAL(38,20), 5)::DOUBLE AS w, round(((iy1 - iy0) / (y1 - y0))::DECIMAL(38,20), 5)::DOUBLE AS h FROM inside""")
+SELECT figure_id, box_id, round(((ix0 - x0) / (x1 - x0))::VARCHAR::DECIMAL(38,20), 5)::DOUBLE AS x, round(((iy0 - y0) / (y1 - y0))::VARCHAR::DECIMAL(38,20), 5)::DOUBLE AS y, round(((ix1 - ix0) / (x1 - x0))::VARCHAR::DECIMAL(38,20), 5)::DOUBLE AS w, round(((iy1 - iy0) / (y1 - y0))::VARCHAR::DECIMAL(38,20), 5)::DOUBLE AS h FROM inside""")
 def marks_in_figures(spark, sf_dir):
     boxes = standin.ocr_boxes(spark, sf_dir)
     terms = F.array(*[F.lit(t) for t in TERMS])

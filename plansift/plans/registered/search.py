@@ -218,3 +218,19 @@ def context_budget(spark, sf_dir):
 @registered(f"{_SEARCH} SELECT qid, string_agg(filename || '@' || page_num, '|' ORDER BY rank) AS signature FROM ranked GROUP BY 1")
 def page_signature(spark, sf_dir):
     return rank.signature(ranked(spark, sf_dir))
+
+
+ASK_QUESTIONS = {
+    1: "hello", 2: "a cake recipe", 3: "which profiles end in 31", 4: "what is part 143 for", 5: "14 1",
+    6: "small ring seals", 7: "sliding doors", 8: "99999999", 9: "erth ontion drawings on 4 pages",
+}
+
+
+@registered()
+def answers(spark, sf_dir):
+    """Every route of a whole answer."""
+    from plansift.plans.ask import answer_questions
+    rows = answer_questions(standin.catalogue(spark, sf_dir), question_table(spark, ASK_QUESTIONS))
+    return rows.select("qid", "route", "answer", F.array_join("terms", " ").alias("terms"),
+                       F.size("pages").alias("n_pages"), F.size("images").alias("n_images"),
+                       F.size("parts").alias("n_parts"), F.array_join("suggestions", " | ").alias("suggestions"))

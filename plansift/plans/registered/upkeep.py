@@ -63,7 +63,7 @@ def list_documents(spark, sf_dir):
                        F.coalesce("figure_count", F.lit(0)).alias("figure_count"))
 
 
-@registered("""SELECT column_name, CASE WHEN data_type LIKE '%[]' THEN 'array' WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'number' ELSE 'text' END AS family
+@registered("""SELECT column_name, CASE WHEN column_type LIKE '%[]' THEN 'array' WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'number' ELSE 'text' END AS family
  FROM (DESCRIBE SELECT documents.*, embeddings.* FROM documents, embeddings)""")
 def catalog_columns(spark, sf_dir):
     families = {"bigint": "number", "int": "number", "string": "text"}
