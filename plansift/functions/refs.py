@@ -84,7 +84,9 @@ def page_ref_candidates(text: Column) -> Column:
         kept = F.filter(words, lambda w: (F.length(norm_ref(w)) >= 2) & ~page_range(w))
         return F.array_distinct(F.transform(kept, norm_ref))
 
-    return T.let(F.upper(text), of_page)
+    # no digit, no reference: most pages stop here
+    return F.when(text.rlike("[0-9]"), T.let(F.upper(text), of_page)).otherwise(
+        F.array().cast("array<string>"))
 
 
 def question_ref_candidates(question: Column) -> Column:

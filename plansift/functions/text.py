@@ -239,16 +239,21 @@ def index_tokens(c: Column) -> Column:
 _CLEAN, _NEUTRAL, _JUNK = "\u0001", "\u0002", "\u0003"
 
 
-def clean_text(c: Column) -> Column:
-    """Remove unprintable glyphs and runs of mis-decoded words.
+def _without_unprintable(c: Column) -> Column:
+    """Unprintable characters -> blanks; plain ASCII text is recognised by cheap scans."""
+    suspect = (c.rlike(r"[^\x00-\x7F]") | c.rlike(r"[\x00-\x08]") | c.rlike(r"[\x0E-\x1F]")
+               | c.rlike(r"[\x0B\x0C\x7F]"))
+    return F.when(suspect, F.regexp_replace(c, PRINTABLE_ONLY, " ")).otherwise(c)
+
 
-    Each word gets a one-character class mark; a run without a clean word that
-    holds two or more junk words is then a single regular expression, so no
-    per-word loop is needed.
+def _without_garbled_runs(x: Column) -> Column:
+    """Drop runs without a clean word that hold two or more junk words.
+
+    Each word gets a one-character class mark; a run is then a single regular
+    expression, so no per-word loop is needed.
     """
     caps, word = ACCENTED_CAPITALS, r"[^ \n]"
     solid = r"[0-9A-Za-zÀ-ɏ]"
-    x = F.regexp_replace(c, PRINTABLE_ONLY, " ")
     x = F.regexp_replace(x, rf"({word}+)", _NEUTRAL + "$1")
     x = F.regexp_replace(x, rf"{_NEUTRAL}({word}*[{caps}]{word}*)", _JUNK + "$1")
     x = F.regexp_replace(x, rf"{_JUNK}([{caps}][a-zà-ÿ'’\-]{{2,}})([ \n]|$)", _CLEAN + "$1$2")
@@ -257,9 +262,26 @@ def clean_text(c: Column) -> Column:
         _CLEAN + "$1")
     x = F.regexp_replace(
         x, rf"(?:{_NEUTRAL}[^{_CLEAN}{_JUNK}\n]*)?{_JUNK}[^{_CLEAN}{_JUNK}\n]*{_JUNK}[^{_CLEAN}\n]*", "")
-    x = F.regexp_replace(x, rf"[{_CLEAN}-{_JUNK}]", "")
-    x = F.trim(F.regexp_replace(F.regexp_replace(x, " +", " "), " ?\n ?", "\n"))
-    return F.regexp_replace(x, r"[ \t]{2,}", " ")
+    return F.regexp_replace(x, rf"[{_CLEAN}-{_JUNK}]", "")
+
+
+def clean_text(c: Column) -> Column:
+    """Remove unprintable glyphs and runs of mis-decoded words.
+
+    Without an accented capital no word can be junk, so such text only has its
+    blanks tidied.
+    """
+    def tidy(x):
+        x = F.trim(F.regexp_replace(F.regexp_replace(x, " +", " "), " ?\n ?", "\n"))
+        return F.regexp_replace(x, r"[ \t]{2,}", " ")
+
+    return tidy(let(_without_unprintable(c), lambda x: F.when(
+        x.rlike("[À-Þ]"), _without_garbled_runs(x)).otherwise(x)))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def strip(c: Column) -> Column:
@@ -273,11 +295,6 @@ def needs_ocr(raw: Column, cleaned: Column, min_chars: int = 250, max_loss: floa
     return (n_clean < min_chars) | (lost > max_loss)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def snippet(text: Column, terms: Column, width: int = SNIPPET_CHARS) -> Column:
     """Window of the cleaned text that opens shortly before the first term."""
     def first_term(low):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plansift import vocab as V
 from plansift.functions import text as T
 from plansift.operators import fts
-from plansift.operators.relational import (BROADCAST_ROWS, bag_counts, broadcast_within, keep_first,
+from plansift.operators.relational import (BROADCAST_ROWS, bag_counts, broadcast_within, explode_once, keep_first,
                                            rows_up_to, top_per_key)
 from plansift.vocab import Vocabulary
 
@@ -22,7 +22,7 @@ def heading_rows(pages: DataFrame, keys: list[str], vocabulary: Vocabulary) -> D
     """
     tidy = F.transform(T.lines(F.col("text")), T.heading_line)
     heads = F.filter(tidy, lambda line: T.is_heading(line, vocabulary))
-    return pages.select(*keys, F.explode(F.transform(heads, T.title_case)).alias("heading"))
+    return explode_once(pages, keys, F.transform(heads, T.title_case), "heading")
 
 
 def topics(ranked: DataFrame, pages: DataFrame, vocabulary: Vocabulary, limit: int = FACET_LIMIT) -> DataFrame:

@@ -58,13 +58,27 @@ def token_rows(df: DataFrame, key: str, weights: Mapping[str, float]) -> DataFra
             .select(key, "len", "g.weight", F.explode("g.terms").alias("term")))
 
 
+def posting_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``key, len, col, term, tf``: the stored form of the index.
+
+    ``len`` counts the tokens of all columns of the row.
+    """
+    toks = df.select(F.col(key), *[_column_tokens(df, name).alias(f"t_{name}") for name in columns])
+    sized = toks.withColumn("len", sum((F.size(f"t_{name}") for name in columns), F.lit(0)))
+    groups = [F.struct(F.lit(name).alias("col"), F.col(f"t_{name}").alias("terms")) for name in columns]
+    rows = (sized.select(key, "len", F.explode_outer(F.array(*groups)).alias("g"))
+            .select(key, "len", "g.col", F.explode("g.terms").alias("term")))
+    return rows.groupBy(key, "len", "col", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``key, col, term, tf`` for every column; the stored form of the index."""
-    groups = [F.struct(F.lit(name).alias("col"), _column_tokens(df, name).alias("terms"))
-              for name in columns]
-    rows = (df.select(key, F.explode_outer(F.array(*groups)).alias("g"))
-            .select(key, "g.col", F.explode("g.terms").alias("term")))
-    return rows.groupBy(key, "col", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``key, col, term, tf`` for every column."""
+    return posting_rows(df, key, columns).drop("len")
+
+
+def document_lengths(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``key, len``: tokens of all columns together."""
+    return df.select(F.col(key), sum((F.size(_column_tokens(df, name)) for name in columns), F.lit(0)).alias("len"))
 
 
 def phrase_rows(questions: DataFrame, base: str = "base", expanded: str = "expanded") -> DataFrame:
@@ -105,10 +119,14 @@ def document_frequencies(freqs: DataFrame) -> DataFrame:
     return freqs.groupBy("phrase").agg(F.count("tf").alias("n"), F.sum("len").alias("total_len"))
 
 
-def phrase_idf(freqs: DataFrame) -> DataFrame:
-    """``phrase, idf, avg_len``: one row per phrase that matched at all."""
+def phrase_idf(freqs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """``phrase, idf, avg_len``: one row per phrase that matched at all.
+
+    ``corpus`` (``n, total_len``, one row) comes with a stored index; otherwise the
+    marker rows give it.
+    """
     counts = document_frequencies(freqs)
-    corpus = counts.filter(F.col("phrase") == MARKER)
+    corpus = counts.filter(F.col("phrase") == MARKER) if corpus is None else corpus
     n_docs = corpus.select(F.col("n").cast("double")).scalar()
     total = corpus.select(F.col("total_len").cast("double")).scalar()
     idf = F.log((n_docs - F.col("n") + F.lit(0.5)) / (F.col("n") + F.lit(0.5)))
@@ -117,14 +135,14 @@ def phrase_idf(freqs: DataFrame) -> DataFrame:
         (total / n_docs).alias("avg_len"))
 
 
-def bm25(freqs: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
+def bm25(freqs: DataFrame, key: str, phrases: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """``qid, key, all_score, any_score`` over every matching document.
 
     ``all_score`` is null unless every word of the question matched; ``any_score``
     is the wide query's score.
     """
     needed = phrases.groupBy("qid").agg(F.count_if(F.col("n_all") > 0).alias("n_needed"))
-    uses = phrases.join(needed, "qid").join(phrase_idf(freqs), "phrase")
+    uses = phrases.join(needed, "qid").join(phrase_idf(freqs, corpus), "phrase")
     # one row per question word: counted, so the broadcast is only taken when it fits
     uses = broadcast_within(uses, rows_up_to(phrases, BROADCAST_ROWS))
     gain = (F.col("idf") * F.col("tf") * F.lit(K1 + 1.0)

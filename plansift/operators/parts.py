@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plansift.functions import refs as R, text as T
 from plansift.operators import fts
-from plansift.operators.relational import (BROADCAST_ROWS, broadcast_within, keep_first, priority_union,
+from plansift.operators.relational import (BROADCAST_ROWS, broadcast_within, explode_once, keep_first, priority_union,
                                            rows_up_to, top_per_key)
 from plansift.vocab import Vocabulary
 
@@ -152,8 +152,8 @@ def near_misses(typed: DataFrame, parts: DataFrame, ref_images: DataFrame, limit
 
 def refs_in_question(questions: DataFrame, parts: DataFrame, ref_images: DataFrame) -> DataFrame:
     """``qid, ref_norm, typed``: the longest real reference a question names."""
-    found = questions.select("qid", F.posexplode(R.question_ref_candidates(F.col("question")))
-                             .alias("position", "typed"))
+    found = questions.select("qid", F.posexplode_outer(R.question_ref_candidates(F.col("question")))
+                             .alias("position", "typed")).filter("typed is not null")
     found = found.withColumn("ref_norm", R.norm_ref(F.col("typed")))
     wanted = found.select("ref_norm").distinct()
     wanted = broadcast_within(wanted, rows_up_to(wanted, BROADCAST_ROWS))
@@ -330,7 +330,7 @@ def fuzzy_parts(needles: DataFrame, parts: DataFrame, limit: int = 6) -> DataFra
 # -------------------------------------------------------------- references on pages
 def refs_in_text(pages: DataFrame, known: DataFrame) -> DataFrame:
     """``page_id, refs[]``: the known references a page names, sorted."""
-    found = pages.select("page_id", F.explode(R.page_ref_candidates(F.col("text"))).alias("ref_norm"))
+    found = explode_once(pages, ["page_id"], R.page_ref_candidates(F.col("text")), "ref_norm")
     real = found.join(known, "ref_norm", "left_semi")
     return real.groupBy("page_id").agg(F.array_sort(F.collect_set("ref_norm")).alias("refs"))
 
@@ -354,8 +354,7 @@ def pages_using_ref(wanted: DataFrame, pages: DataFrame, known: DataFrame, limit
     """
     wanted = wanted.filter(F.col("ref_norm") != "")
     wanted = broadcast_within(wanted, rows_up_to(wanted, BROADCAST_ROWS))
-    candidates = pages.select("page_id", "doc_id", "page_num",
-                              F.explode(R.page_ref_candidates(F.col("text"))).alias("ref_norm"))
+    candidates = explode_once(pages, ["page_id", "doc_id", "page_num"], R.page_ref_candidates(F.col("text")), "ref_norm")
     listed = candidates.join(wanted, "ref_norm").join(known, "ref_norm", "left_semi")
     first = top_per_key(listed, ["qid"], [F.asc("doc_id"), F.asc("page_num"), F.asc("page_id")], 3 * limit)
     chosen = first.select("qid", "page_id", "ref", "ref_norm", F.col("rank").alias("position"))

@@ -25,6 +25,15 @@ def broadcast_within(df: DataFrame, max_rows: int | None) -> DataFrame:
     return F.broadcast(df) if max_rows is not None and max_rows <= BROADCAST_ROWS else df
 
 
+def explode_once(df: DataFrame, keep: Sequence[str], array: Column, name: str) -> DataFrame:
+    """One row per array element, with the array evaluated once per row.
+
+    A plain ``explode`` makes the optimizer add a size test below it, which computes
+    an expensive array a second time.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
                 rank: str = "rank") -> DataFrame:
     """First ``k`` rows of every key.

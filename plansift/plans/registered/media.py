@@ -108,11 +108,10 @@ def _descriptors(spark, sf_dir):
     """Bit hashes of each vector: above its median, and above its left neighbour."""
     e = F.transform("embedding", lambda x: x.cast("double"))
     rows = standin.table(spark, sf_dir, "embeddings").select("vec_id", "label", e.alias("v"))
-    ordered = F.array_sort("v")
     n = F.size("v")
-    median = (F.element_at(ordered, (n / 2).cast("int")) + F.element_at(ordered, (n / 2).cast("int") + 1)) / 2
+    median = T.let(F.array_sort("v"), lambda s: (F.element_at(s, (n / 2).cast("int")) + F.element_at(s, (n / 2).cast("int") + 1)) / 2)
     rows = rows.withColumn("median", median)
-    pbits = F.transform("v", lambda x: x > F.col("median"))
+    pbits = T.let(F.col("median"), lambda m: F.transform("v", lambda x: x > m))
     dbits = F.transform(F.sequence(F.lit(2), n), lambda i: F.element_at("v", i) > F.element_at("v", i - 1))
     return rows.select(F.col("vec_id").alias("image_key"), "label", X.bits_to_long(pbits).alias("phash"),
                        F.array(X.bits_to_long(dbits)).alias("dhash"), F.col("v").alias("edge"))
