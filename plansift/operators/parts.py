@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plansift.functions import refs as R, text as T
 from plansift.operators import fts
 from plansift.operators.relational import (BROADCAST_ROWS, broadcast_within, explode_once, keep_first, priority_union,
-                                           rows_up_to, top_per_key)
+                                           rows_up_to, small_batches, top_per_key, union_all)
+from plansift.staging import stage
 from plansift.vocab import Vocabulary
 
 # fixed values: relevance weights and the fuzzy cut-off
@@ -96,10 +97,13 @@ def _position_hits(patterns: DataFrame, keyed: DataFrame) -> DataFrame:
     The pattern table holds one row per question.  Its rows travel as one array
     value, so the reference table is scanned once and filtered in place.
     """
-    batch = patterns.agg(F.collect_list(F.struct("qid", "mode", "value", "kind"))).scalar()
-    rows = keyed.withColumn("p", F.explode(batch)).filter(
-        R.matches_position(F.col("ref_norm"), F.col("p.mode"), F.col("p.value")))
-    return rows.select("p.qid", F.col("p.kind").alias("asked_kind"), *keyed.columns)
+    def hits(some):
+        batch = some.agg(F.collect_list(F.struct("qid", "mode", "value", "kind"))).scalar()
+        rows = keyed.withColumn("p", F.explode(batch)).filter(
+            R.matches_position(F.col("ref_norm"), F.col("p.mode"), F.col("p.value")))
+        return rows.select("p.qid", F.col("p.kind").alias("asked_kind"), *keyed.columns)
+
+    return union_all([hits(some) for some in small_batches(patterns, "qid")])
 
 
 def refs_matching(patterns: DataFrame, parts: DataFrame, ref_images: DataFrame, limit: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -239,7 +243,9 @@ def find_parts(questions: DataFrame, parts: DataFrame, ref_images: DataFrame, vo
                limit: int = 6) -> DataFrame:
     """Parts that answer the subject of each question, best first."""
     asked = part_subject(questions, vocabulary)
-    lexical = relevant_parts(asked, parts, vocabulary, limit).select("qid", "part_id", "order_key", "position")
+    # a few rows per question, needed by the fuzzy pass and by the result
+    lexical = stage(relevant_parts(asked, parts, vocabulary, limit).select(
+        "qid", "part_id", "order_key", "position"), "lexical_parts")
     without = asked.join(lexical.select("qid").distinct(), "qid", "left_anti").filter(
         F.exists("base", lambda w: ~w.isin(*vocabulary.broad_words)))
     needles = without.select("qid", F.array_join("base", " ").alias("needle"))
@@ -317,11 +323,15 @@ def fuzzy_parts(needles: DataFrame, parts: DataFrame, limit: int = 6) -> DataFra
     they travel as one array value.  Names are compared once each: equal names
     share one comparison before the rows of that name are ranked.
     """
-    batch = needles.agg(F.collect_list(F.struct(F.col("qid").cast("int").alias("qid"), "needle"))).scalar()
     similar = F.pandas_udf(_similar_needles, _SIMILAR)
     names = parts.filter(F.length("designation") > 0).select(F.lower("designation").alias("name")).distinct()
-    close = names.select("name", F.explode(similar("name", batch)).alias("hit")).select(
-        "name", "hit.qid", "hit.similarity")
+
+    def matches(some):
+        batch = some.agg(F.collect_list(F.struct(F.col("qid").cast("int").alias("qid"), "needle"))).scalar()
+        return names.select("name", F.explode(similar("name", batch)).alias("hit")).select(
+            "name", "hit.qid", "hit.similarity")
+
+    close = union_all([matches(some) for some in small_batches(needles, "qid")])
     rows = parts.withColumn("name", F.lower("designation")).join(close, "name")
     return top_per_key(rows.select("qid", "part_id", "similarity"), ["qid"],
                        [F.desc("similarity"), F.asc("part_id")], limit)

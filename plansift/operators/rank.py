@@ -7,7 +7,7 @@ from plansift.catalogue import page_title_text
 from plansift.functions import refs as R, text as T, vectors as X
 from plansift.operators import fts
 from plansift.operators.relational import (BROADCAST_ROWS, broadcast_within, keep_first, rows_up_to,
-                                           top_per_key)
+                                           small_batches, top_per_key, union_all, within_budget)
 from plansift.staging import stage
 from plansift.vocab import Vocabulary
 
@@ -48,11 +48,13 @@ def semantic_hits(page_vectors: DataFrame, query_vectors: DataFrame, k: int = DE
     one array value, so the search is a projection over the vector table followed
     by a top-k that each task applies before anything is shuffled.
     """
-    batch = query_vectors.agg(F.collect_list(F.struct("qid", F.col("vec").alias("qvec")))).scalar()
-    pairs = page_vectors.filter(F.col("vec").isNotNull()).select(
-        "page_id", "vec", F.explode(batch).alias("q"))
-    sims = pairs.select("q.qid", "page_id", X.dot(F.col("vec"), F.col("q.qvec")).alias("cos"))
-    return top_per_key(sims, ["qid"], [F.desc("cos"), F.asc("page_id")], k, rank="dense_rank")
+    def nearest(queries):
+        batch = queries.agg(F.collect_list(F.struct("qid", F.col("vec").alias("qvec")))).scalar()
+        pairs = page_vectors.filter(F.col("vec").isNotNull()).select("page_id", "vec", F.explode(batch).alias("q"))
+        sims = pairs.select("q.qid", "page_id", X.dot(F.col("vec"), F.col("q.qvec")).alias("cos"))
+        return top_per_key(sims, ["qid"], [F.desc("cos"), F.asc("page_id")], k, rank="dense_rank")
+
+    return union_all([nearest(batch) for batch in small_batches(query_vectors, "qid")])
 
 
 def candidates(scored: DataFrame, pool: int, dense: DataFrame | None = None) -> DataFrame:
@@ -203,7 +205,6 @@ def evidence_block(rows: DataFrame) -> DataFrame:
 
 def build_context(ranked: DataFrame, max_chars: int = CONTEXT_CHARS) -> DataFrame:
     """``qid, context``: evidence blocks in rank order that fit the character budget."""
-    from plansift.operators.relational import within_budget
     blocks = evidence_block(ranked).filter("block is not null").withColumn("cost", F.length("block"))
     kept = within_budget(blocks, ["qid"], [F.asc("rank")], "cost", max_chars)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "block")))

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: largest number of rows an operator may pin with a broadcast hint
 BROADCAST_ROWS = 1_000_000
+#: rows of a small side that may travel as one array value
+BATCH_ROWS = 1_000
 
 
 def rows_up_to(df: DataFrame, limit: int) -> int | None:
@@ -25,6 +27,27 @@ def broadcast_within(df: DataFrame, max_rows: int | None) -> DataFrame:
     return F.broadcast(df) if max_rows is not None and max_rows <= BROADCAST_ROWS else df
 
 
+def small_batches(df: DataFrame, key: str, limit: int = BATCH_ROWS) -> list[DataFrame]:
+    """The frame cut into batches of about ``limit`` rows by hash of ``key``.
+
+    For operators that carry their small side (query vectors, patterns, needles) to
+    the large one as an array value: an array stays small however many questions
+    are asked, at the price of one scan of the large side per batch.
+    """
+    count = max(1, -(-df.count() // limit))
+    if count == 1:
+        return [df]
+    number = F.pmod(F.xxhash64(key), F.lit(count))
+    return [df.filter(number == i) for i in range(count)]
+
+
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    merged = frames[0]
+    for frame in frames[1:]:
+        merged = merged.unionByName(frame)
+    return merged
+
+
 def explode_once(df: DataFrame, keep: Sequence[str], array: Column, name: str) -> DataFrame:
     """One row per array element, with the array evaluated once per row.
 
