@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plansift.functions import text as T
 from plansift.operators.relational import BROADCAST_ROWS, broadcast_within, rows_up_to
@@ -141,8 +141,8 @@ def bm25(freqs: DataFrame, key: str, phrases: DataFrame, corpus: DataFrame | Non
     ``all_score`` is null unless every word of the question matched; ``any_score``
     is the wide query's score.
     """
-    needed = phrases.groupBy("qid").agg(F.count_if(F.col("n_all") > 0).alias("n_needed"))
-    uses = phrases.join(needed, "qid").join(phrase_idf(freqs, corpus), "phrase")
+    n_needed = F.count_if(F.col("n_all") > 0).over(Window.partitionBy("qid"))
+    uses = phrases.withColumn("n_needed", n_needed).join(phrase_idf(freqs, corpus), "phrase")
     # one row per question word: counted, so the broadcast is only taken when it fits
     uses = broadcast_within(uses, rows_up_to(phrases, BROADCAST_ROWS))
     gain = (F.col("idf") * F.col("tf") * F.lit(K1 + 1.0)

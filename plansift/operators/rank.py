@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from plansift.catalogue import page_title_text
 from plansift.functions import refs as R, text as T, vectors as X
 from plansift.operators import fts
-from plansift.operators.relational import (BROADCAST_ROWS, broadcast_within, keep_first, rows_up_to,
+from plansift.operators.relational import (BROADCAST_ROWS, broadcast_within, rows_up_to,
                                            small_batches, top_per_key, union_all, within_budget)
 from plansift.staging import stage
 from plansift.vocab import Vocabulary
@@ -58,27 +58,32 @@ def semantic_hits(page_vectors: DataFrame, query_vectors: DataFrame, k: int = DE
 
 
 def candidates(scored: DataFrame, pool: int, dense: DataFrame | None = None) -> DataFrame:
-    """``qid, page_id, bm, strict, position``: the pool of pages to be scored.
+    """``qid, page_id, bm, strict, position, cos``: the pool of pages to be scored.
 
     Pages with every word come first; the wide query only fills up a pool the
-    strict one left short; dense neighbours not seen so far close the list.
+    strict one left short; dense neighbours not seen so far close the list.  A
+    page keeps its dense similarity whichever list it comes from.
     """
+    def listed(df, stage_no, rank_column, bm, cos):
+        return df.select("qid", "page_id", F.lit(stage_no).alias("stage"), F.col(rank_column).alias("rank"),
+                         bm.alias("bm"), cos.alias("cos"))
+
+    unknown = F.lit(None).cast("double")
     strict = top_per_key(scored.filter("all_score is not null"), ["qid"],
                          [F.asc("all_score"), F.asc("page_id")], pool)
     wide = top_per_key(scored, ["qid"], [F.asc("any_score"), F.asc("page_id")], pool)
-    rows = strict.select("qid", "page_id", F.lit(0).alias("stage"), "rank", F.col("all_score").alias("bm")) \
-        .unionByName(wide.select("qid", "page_id", F.lit(1).alias("stage"), "rank",
-                                 F.col("any_score").alias("bm")))
+    rows = listed(strict, 0, "rank", F.col("all_score"), unknown).unionByName(
+        listed(wide, 1, "rank", F.col("any_score"), unknown))
     if dense is not None:
-        rows = rows.unionByName(dense.select(
-            "qid", "page_id", F.lit(2).alias("stage"), F.col("dense_rank").alias("rank"),
-            F.lit(0.0).alias("bm")))
+        rows = rows.unionByName(listed(dense, 2, "dense_rank", F.lit(0.0), F.col("cos")))
     n_strict = F.count_if(F.col("stage") == 0).over(Window.partitionBy("qid"))
     open_rows = rows.withColumn("n_strict", n_strict).filter(
         (F.col("stage") != 1) | (F.col("n_strict") < pool))
-    firsts = keep_first(open_rows.drop("n_strict"), ["qid", "page_id"], [F.col("stage"), F.col("rank")])
-    return firsts.select("qid", "page_id", "bm", (F.col("stage") == 0).alias("strict"),
-                         (F.col("stage") * 1_000_000 + F.col("rank")).alias("position"))
+    place = F.col("stage") * 1_000_000 + F.col("rank")
+    firsts = open_rows.groupBy("qid", "page_id").agg(
+        F.min_by("bm", place).alias("bm"), F.min("stage").alias("stage"), F.min(place).alias("position"),
+        F.max("cos").alias("cos"))
+    return firsts.select("qid", "page_id", "bm", (F.col("stage") == 0).alias("strict"), "position", "cos")
 
 
 def drawing_counts(figures: DataFrame) -> DataFrame:
@@ -165,12 +170,7 @@ def search_pages(pages: DataFrame, questions: DataFrame, vocabulary: Vocabulary,
         prose = asked.filter(~F.col("is_ref")).select("qid")
         dense = semantic_hits(page_vectors, query_vectors.join(prose, "qid", "left_semi"),
                               max(limit, DENSE_FLOOR))
-    chosen = candidates(scored, pool, dense)
-    if dense is not None:
-        chosen = chosen.join(dense.select("qid", "page_id", "cos"), ["qid", "page_id"], "left")
-    else:
-        chosen = chosen.withColumn("cos", F.lit(None).cast("double"))
-    chosen = stage(chosen, "candidates")
+    chosen = stage(candidates(scored, pool, dense), "candidates")
     bound = rows_up_to(chosen, BROADCAST_ROWS)
     joined = pages.join(broadcast_within(chosen, bound), "page_id").join(
         broadcast_within(asked, bound), "qid")

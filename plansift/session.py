@@ -13,6 +13,7 @@ def local_session(cores: int | str = 8, name: str = "plansift") -> SparkSession:
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.ui.enabled", "false")
              .config("spark.driver.host", "127.0.0.1")
              .config("spark.driver.bindAddress", "127.0.0.1")
