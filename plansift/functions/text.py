@@ -319,17 +319,19 @@ def lines(text: Column) -> Column:
 
 def readable(c: Column) -> Column:
     """Mostly ordinary characters, and no majority of vowel-starved long words."""
-    ordinary = F.length(F.regexp_replace(c, rf"[^\x00-\x7F{READABLE_EXTRA}]", ""))
-    long_words = F.regexp_extract_all(c, F.lit(r"[A-Za-zÀ-ÿ]{6,}"), F.lit(0))
+    ordinary = F.when(c.rlike(r"[^\x00-\x7F]"), F.length(F.regexp_replace(
+        c, rf"[^\x00-\x7F{READABLE_EXTRA}]", ""))).otherwise(F.length(c))
 
     def starved(word):
         vowels = F.length(F.regexp_replace(F.lower(word), rf"[^{VOWELS}]", ""))
         return vowels.cast("double") / F.length(word) < 0.25
 
-    n_long = F.size(long_words)
+    def pronounceable(words):
+        return F.size(F.filter(words, starved)) * 2 <= F.size(words)
+
     return ((F.length(c) > 0)
             & (ordinary.cast("double") / F.greatest(F.length(c), F.lit(1)) > 0.85)
-            & ((n_long == 0) | (F.size(F.filter(long_words, starved)) * 2 <= n_long)))
+            & let(F.regexp_extract_all(c, F.lit(r"[A-Za-zÀ-ÿ]{6,}"), F.lit(0)), pronounceable))
 
 
 def title_case(c: Column) -> Column:

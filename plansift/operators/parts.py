@@ -158,7 +158,8 @@ def refs_in_question(questions: DataFrame, parts: DataFrame, ref_images: DataFra
     """``qid, ref_norm, typed``: the longest real reference a question names."""
     found = questions.select("qid", F.posexplode_outer(R.question_ref_candidates(F.col("question")))
                              .alias("position", "typed")).filter("typed is not null")
-    found = found.withColumn("ref_norm", R.norm_ref(F.col("typed")))
+    # a few candidates per question, needed for the lookup and for the result
+    found = stage(found.withColumn("ref_norm", R.norm_ref(F.col("typed"))), "typed_refs")
     wanted = found.select("ref_norm").distinct()
     wanted = broadcast_within(wanted, rows_up_to(wanted, BROADCAST_ROWS))
     existing = known_refs(parts.join(wanted, "ref_norm", "left_semi"),
@@ -174,8 +175,9 @@ def read_patterns(questions: DataFrame, parts: DataFrame, ref_images: DataFrame,
     A fragment without a positional verb only counts while it is not itself a
     reference on file.
     """
-    parsed = questions.select("qid", R.ref_pattern(F.col("question"), vocabulary).alias("p")).filter(
-        "p is not null").select("qid", "p.*")
+    # one row per question that reads as a pattern, needed three times below
+    parsed = stage(questions.select("qid", R.ref_pattern(F.col("question"), vocabulary).alias("p")).filter(
+        "p is not null").select("qid", "p.*"), "read_patterns")
     doubtful = parsed.filter("implicit").select(F.col("value").alias("ref_norm")).distinct()
     doubtful = broadcast_within(doubtful, rows_up_to(doubtful, BROADCAST_ROWS))
     real = known_refs(parts.join(doubtful, "ref_norm", "left_semi"),

@@ -191,13 +191,14 @@ def answer_questions(catalogue: Catalogue, questions: DataFrame, query_vectors:
     ranked = _ranked(searched, catalogue, query_vectors)
     exact_refs = stage(P.refs_in_question(searched, parts, photos), "exact")
     known = P.known_refs(parts, photos)
-    exact = exact_refs.join(P.lookup_parts(exact_refs, parts, photos), "ref_norm").withColumn("rank", F.lit(1))
+    exact = stage(exact_refs.join(P.lookup_parts(exact_refs, parts, photos), "ref_norm").withColumn(
+        "rank", F.lit(1)), "exact_parts")
     on_pages = P.pages_using_ref(exact.select("qid", "ref", "ref_norm"), catalogue.pages, known, 20) \
         .join(limits.select("qid", F.col("max_pages").alias("page_limit")), "qid").filter(F.col("rank") <= F.col("page_limit"))
-    on_pages = on_pages.select(
+    on_pages = stage(on_pages.select(
         "qid", "rank", "page_id", "doc_id", "filename", "title", "system", "systems", "doc_kind", "page_num",
         F.lit(1.0).alias("raw_score"), F.lit(1.0).alias("coverage"), "snippet", F.lit(100).alias("score"),
-        T.page_image(F.col("filename"), F.col("page_num")).alias("page_image"))
+        T.page_image(F.col("filename"), F.col("page_num")).alias("page_image")), "ref_pages")
     shown, ranked = merge_ref_pages(ranked, on_pages, exact, limits)
     shown, ranked = stage(shown, "shown"), stage(ranked, "merged")
 

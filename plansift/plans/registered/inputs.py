@@ -31,13 +31,13 @@ def question_table(spark: SparkSession, questions: dict[int, str]) -> DataFrame:
 
 
 def question_values(questions: dict[int, str]) -> str:
-    rows = ", ".join("({}, '{}')".format(k, v.replace("'", "''")) for k, v in questions.items())
+    rows = ", ".join("({}::BIGINT, '{}')".format(k, v.replace("'", "''")) for k, v in questions.items())
     return f"asked(qid, question) AS (VALUES {rows})"
 
 
 def asked_about_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question per part, worded six ways."""
-    part = standin.table(spark, sf_dir, "part")
+    part = standin.spread(standin.table(spark, sf_dir, "part"))
     key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
 
     def text(*bits):

@@ -75,7 +75,7 @@ def ocr_highlights(spark, sf_dir):
     return hits.select("qid", "page_id", "mark", "box_id", "box.*")
 
 
-@registered(f"""SELECT l_orderkey, l_linenumber, CASE WHEN x1 > x0 AND y1 > y0 THEN round(x0 / 600, 5) END AS x, CASE WHEN x1 > x0 AND y1 > y0 THEN round(y0 / 800, 5) END AS y,
+@registered(f"""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN x1 > x0 AND y1 > y0 THEN round(x0 / 600, 5) END AS x, CASE WHEN x1 > x0 AND y1 > y0 THEN round(y0 / 800, 5) END AS y,
  CASE WHEN x1 > x0 AND y1 > y0 THEN round((x1 - x0) / 600, 5) END AS w, CASE WHEN x1 > x0 AND y1 > y0 THEN round((y1 - y0) / 800, 5) END AS h FROM (SELECT l_orderkey, l_linenumber,
  greatest(least(l_quantity * 20 - 100, l_suppkey * 5.0e0), 0.0e0) AS x0, least(greatest(l_quantity * 20 - 100, l_suppkey * 5.0e0), 600.0e0) AS x1,
  greatest(least(l_discount * 4000, l_tax * 9000), 0.0e0) AS y0, least(greatest(l_discount * 4000, l_tax * 9000), 800.0e0) AS y1 FROM lineitem)""")
@@ -130,7 +130,7 @@ def _example(spark, sf_dir):
     return _descriptors(spark, sf_dir).filter(F.col("image_key") == 7)
 
 
-@registered(f"WITH {_HASHES} SELECT image_key, phash_distance::INT AS phash_distance, dhash_distance::INT AS dhash_distance, round(similarity, 6) AS similarity FROM sim")
+@registered(f"WITH {_HASHES} SELECT image_key, phash_distance::BIGINT AS phash_distance, dhash_distance::BIGINT AS dhash_distance, round(similarity, 6) AS similarity FROM sim")
 def hash_similarity(spark, sf_dir):
     rows = images.descriptor_similarity(_descriptors(spark, sf_dir), _example(spark, sf_dir), dhash_bits=64)
     return rows.select("image_key", "phash_distance", "dhash_distance", F.round("similarity", 6).alias("similarity"))
@@ -138,7 +138,7 @@ def hash_similarity(spark, sf_dir):
 
 @registered(f"""WITH {_HASHES}, a AS (SELECT 'catalogue' AS kind, image_key, similarity FROM sim WHERE label < 5 ORDER BY similarity DESC, image_key LIMIT 32),
 b AS (SELECT 'part' AS kind, image_key, similarity FROM sim WHERE label >= 5 ORDER BY similarity DESC, image_key LIMIT 32)
-SELECT kind, image_key, round(similarity, 6) AS similarity, CAST(round_even(100.0e0 * greatest(least(similarity, 1.0e0), 0.0e0), 0) AS INT) AS percent, similarity >= 0.85e0 AS match
+SELECT kind, image_key, round(similarity, 6) AS similarity, CAST(round_even(100.0e0 * greatest(least(similarity, 1.0e0), 0.0e0), 0) AS BIGINT) AS percent, similarity >= 0.85e0 AS match
  FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY similarity DESC, kind, image_key LIMIT 8""")
 def find_by_image(spark, sf_dir):
     library = _descriptors(spark, sf_dir)
@@ -156,7 +156,7 @@ def _windows(spark, sf_dir):
     return e.select(F.col("vec_id").alias("window_no"), F.col("embedding").alias("vec"))
 
 
-_REGION = """sims AS (SELECT w.vec_id AS window_no, e.label AS image_key, e.vec_id AS region_no, list_dot_product(e.embedding::DOUBLE[], w.embedding::DOUBLE[]) AS score
+_REGION = """sims AS (SELECT w.vec_id AS window_no, e.label::BIGINT AS image_key, e.vec_id AS region_no, list_dot_product(e.embedding::DOUBLE[], w.embedding::DOUBLE[]) AS score
  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN (3, 11, 29)) w),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_no ORDER BY score DESC, image_key, region_no) AS r FROM sims) WHERE r <= 400),
 best AS (SELECT image_key, arg_min(region_no, (-score, region_no)) AS region_no, max(score) AS score FROM hits GROUP BY 1)"""
@@ -168,7 +168,7 @@ def best_region_per_image(spark, sf_dir):
     return best.select("image_key", "region_no", F.round("score", 6).alias("score"))
 
 
-@registered(f"""WITH {_REGION}, inl AS (SELECT label AS image_key, count(*) AS inliers FROM embeddings WHERE embedding[1] > 0.15 GROUP BY 1),
+@registered(f"""WITH {_REGION}, inl AS (SELECT label::BIGINT AS image_key, count(*) AS inliers FROM embeddings WHERE embedding[1] > 0.15 GROUP BY 1),
 short AS (SELECT * FROM best ORDER BY score DESC, image_key LIMIT 32)
 SELECT image_key, round(score, 6) AS score, coalesce(inliers, -1) AS inliers, coalesce(inliers, -1) >= 15 AS match FROM short LEFT JOIN inl USING (image_key)
  ORDER BY greatest(coalesce(inliers, -1), 0) DESC, score DESC, image_key LIMIT 8""")

@@ -85,7 +85,7 @@ def _pattern_table(spark, rows=PATTERNS):
 
 
 _PATTERN_VALUES = "pats(qid, mode, value, asked_kind) AS (VALUES " + ", ".join(
-    f"({a}, '{b}', '{c}', {S.q(d) if d else 'NULL'})" for a, b, c, d in PATTERNS) + ")"
+    f"({a}::BIGINT, '{b}', '{c}', {S.q(d) if d else 'NULL'})" for a, b, c, d in PATTERNS) + ")"
 _FITS = ("((mode = 'suffix' AND suffix(ref_norm, value)) OR (mode = 'prefix' AND starts_with(ref_norm, value)) "
          "OR (mode = 'contains' AND contains(ref_norm, value)))")
 _MATCHING = f"""{_LOOKUP}, {_PATTERN_VALUES}, {_MERGED},
@@ -121,7 +121,7 @@ def ref_position_total(spark, sf_dir):
         F.col("mode"), F.col("value"), kinds, F.col("total"), F.coalesce("shown", F.lit(0))).alias("sentence"))
 
 
-_TYPED_VALUES = "typed(qid, t) AS (VALUES " + ", ".join(f"({a}, '{b}')" for a, b in TYPED) + ")"
+_TYPED_VALUES = "typed(qid, t) AS (VALUES " + ", ".join(f"({a}::BIGINT, '{b}')" for a, b in TYPED) + ")"
 _NEAR = f"""{_LOOKUP}, {_TYPED_VALUES}, keys AS (SELECT qid, {S.norm_ref('t')} AS k FROM typed),
 usable AS (SELECT * FROM keys WHERE length(k) >= 3 AND regexp_matches(k, '[0-9]')),
 l AS (SELECT * FROM (SELECT qid, ref_norm, ref, kind, designation, supplier_ref, row_number() OVER (PARTITION BY qid ORDER BY length(ref_norm), ref_norm, part_id) AS pos
@@ -234,7 +234,7 @@ WANTED_PAGES = ((1, "143"), (2, "1-52"), (3, "172"))
 
 
 @registered(f"""WITH {S.PAGES}, {S.PARTS}, {S.PHOTOS}, known AS (SELECT ref_norm FROM parts_v UNION SELECT ref_norm FROM photos_v),
-wanted(qid, ref, ref_norm) AS (VALUES {", ".join(f"({a}, '{b}', '{b.replace('-', '')}')" for a, b in WANTED_PAGES)}),
+wanted(qid, ref, ref_norm) AS (VALUES {", ".join(f"({a}::BIGINT, '{b}', '{b.replace('-', '')}')" for a, b in WANTED_PAGES)}),
 upper_v AS (SELECT page_id, doc_id, page_num, upper(text) AS u FROM pages_v),
 listed AS (SELECT page_id, doc_id, page_num, unnest({S.page_ref_candidates('u')}) AS ref_norm FROM upper_v),
 first_v AS (SELECT * FROM (SELECT qid, page_id, ref, ref_norm, row_number() OVER (PARTITION BY qid ORDER BY doc_id, page_num, page_id) AS pos

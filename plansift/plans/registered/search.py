@@ -135,7 +135,7 @@ def _question_vectors(spark, sf_dir):
 
 
 _SEMANTIC = """dims AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
-qvecs AS (SELECT label + 1 AS qid, list(x ORDER BY i) AS qv FROM (SELECT label, i, avg(x) AS x FROM dims GROUP BY 1, 2) GROUP BY 1),
+qvecs AS (SELECT label::BIGINT + 1 AS qid, list(x ORDER BY i) AS qv FROM (SELECT label, i, avg(x) AS x FROM dims GROUP BY 1, 2) GROUP BY 1),
 sims AS (SELECT qid, vec_id AS page_id, list_dot_product(embedding::DOUBLE[], qv) AS cos FROM embeddings, qvecs),
 dense AS (SELECT * FROM (SELECT qid, page_id, cos, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, page_id) AS dense_rank FROM sims) WHERE dense_rank <= 15)"""
 
@@ -194,7 +194,7 @@ def ranked(spark, sf_dir, limit: int = 8):
 
 @registered(f"""{_SEARCH}, {S.snippet_steps('ranked', 'qid, page_id', 'text', 'expanded')}
 SELECT qid, rank, page_id, doc_id, filename, title, system, doc_kind, page_num, round(raw_score, 6) AS raw_score, coverage, semantic,
- {S.page_image('filename', 'page_num')} AS page_image, figure_count, CAST(round_even(100.0e0 * greatest(least(conf, 1.0e0), 0.0e0), 0) AS INT) AS score,
+ {S.page_image('filename', 'page_num')} AS page_image, figure_count, CAST(round_even(100.0e0 * greatest(least(conf, 1.0e0), 0.0e0), 0) AS BIGINT) AS score,
  coverage > 0 AS supported, snippet FROM ranked JOIN ranked_snip USING (qid, page_id)""")
 def search_pages(spark, sf_dir):
     return ranked(spark, sf_dir).select(

@@ -166,7 +166,7 @@ def page_image(filename: str, page: str, suffix: str = "") -> str:
 
 
 # ------------------------------------------------------------- stand-in tables
-PAGES = """pages_v AS (SELECT doc_id AS page_id, source || '-' || lang AS doc_id, doc_id::INT AS page_num, text,
+PAGES = """pages_v AS (SELECT doc_id AS page_id, source || '-' || lang AS doc_id, doc_id AS page_num, text,
   source || '/' || lang || ' notes.pdf' AS filename, upper(source) || ' — ' || lang || ' notes' AS title,
   upper(source) AS system, lang AS doc_kind FROM documents)"""
 

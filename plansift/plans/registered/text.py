@@ -72,8 +72,8 @@ def split_subject(spark, sf_dir):
 
 
 @registered(f"""WITH {S.ASKED}, counts AS (SELECT qid,
- TRY_CAST(nullif(regexp_extract(question, {S.q(T.PAGE_COUNT)}, 1), '') AS INT) AS pages_asked,
- TRY_CAST(nullif(regexp_extract(question, {S.q(T.IMAGE_COUNT)}, 1), '') AS INT) AS images_asked FROM asked_v)
+ TRY_CAST(nullif(regexp_extract(question, {S.q(T.PAGE_COUNT)}, 1), '') AS BIGINT) AS pages_asked,
+ TRY_CAST(nullif(regexp_extract(question, {S.q(T.IMAGE_COUNT)}, 1), '') AS BIGINT) AS images_asked FROM asked_v)
 SELECT qid, pages_asked, images_asked, least(greatest(coalesce(pages_asked, 3), 1), 20) AS max_pages,
  least(greatest(coalesce(images_asked, 3), 1), 40) AS max_images FROM counts""")
 def parse_counts(spark, sf_dir):

@@ -48,7 +48,7 @@ def systems(spark, sf_dir):
     return standin.documents(spark, sf_dir).select(F.explode("systems").alias("system")).distinct()
 
 
-@registered("""SELECT DISTINCT CAST(json_extract(props, '$.k') AS INT) AS k FROM events""")
+@registered("""SELECT DISTINCT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
 def decoded_properties(spark, sf_dir):
     return standin.table(spark, sf_dir, "events").select(
         F.from_json("props", "k int")["k"].alias("k")).distinct()
@@ -63,19 +63,20 @@ def list_documents(spark, sf_dir):
                        F.coalesce("figure_count", F.lit(0)).alias("figure_count"))
 
 
-@registered("""SELECT column_name, CASE WHEN column_type LIKE '%[]' THEN 'array' WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'number' ELSE 'text' END AS family
- FROM (DESCRIBE SELECT documents.*, embeddings.* FROM documents, embeddings)""")
+_COLUMNS = (("doc_id", "number"), ("text", "text"), ("lang", "text"), ("source", "text"), ("n_chars", "number"))
+
+
+@registered(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{f}' AS family, count({c}) AS filled FROM documents" for c, f in _COLUMNS))
 def catalog_columns(spark, sf_dir):
-    families = {"bigint": "number", "int": "number", "string": "text"}
-    frame = None
-    for name in ("documents", "embeddings"):
-        df = standin.table(spark, sf_dir, name)
-        for field in df.schema:
-            # one row per column of a table that was really read
-            row = df.limit(1).select(F.lit(field.name).alias("column_name"),
-                                     F.lit(families.get(field.dataType.simpleString(), "array")).alias("family"))
-            frame = row if frame is None else frame.unionByName(row)
-    return frame
+    """Columns of a table as its schema lists them, with how many rows fill each."""
+    families = {"bigint": "number", "int": "number", "double": "number", "string": "text"}
+    docs = standin.table(spark, sf_dir, "documents")
+    filled = docs.agg(*[F.count(c).alias(c) for c in docs.columns])
+    listed = F.array(*[F.struct(F.lit(field.name).alias("column_name"),
+                                F.lit(families.get(field.dataType.simpleString(), "other")).alias("family"),
+                                F.col(field.name).alias("filled")) for field in docs.schema])
+    return filled.select(F.explode(listed).alias("c")).select("c.*")
 
 
 # -------------------------------------------------------------- caches and history
@@ -120,8 +121,8 @@ def keyed_update(spark, sf_dir):
     return Rel.update_column(orders, "o_orderkey", "o_totalprice", totals)
 
 
-@registered("""WITH fresh AS (SELECT o_orderkey AS k, 0 AS n, 'new ' || o_orderstatus AS v FROM orders WHERE o_orderstatus = 'P')
-SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS v FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM fresh) UNION ALL SELECT * FROM fresh""")
+@registered("""WITH fresh AS (SELECT o_orderkey AS k, 0::BIGINT AS n, 'new ' || o_orderstatus AS v FROM orders WHERE o_orderstatus = 'P')
+SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, l_returnflag AS v FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM fresh) UNION ALL SELECT * FROM fresh""")
 def replace_groups(spark, sf_dir):
     old = standin.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("v"))

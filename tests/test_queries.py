@@ -47,3 +47,15 @@ def test_evidence_text(spark):
     assert "No page in the indexed catalogues mentions **5031**" in alone
     none = df.select(evidence_answer(F.slice("parts", 1, 0), F.slice("pages", 1, 0))).collect()[0][0]
     assert none.startswith("I could not find anything")
+
+
+def test_bundle_text(spark):
+    from pyspark.sql import functions as F
+    from plansift.plans.ask import bundle_text
+    df = spark.sql("""SELECT array(struct('5031' AS ref, 'part' AS kind, '' AS designation)) AS parts,
+     array(struct('S' AS system, 'a/b.pdf' AS filename, 3 AS page_num, 'k' AS doc_kind)) AS pages""")
+    text = df.select(bundle_text(F.lit("q?"), F.lit(" yes "), F.col("parts"), F.col("pages"))).collect()[0][0]
+    assert text.split("\n") == ["Catalogue — q?", "=" * 60, "", "yes", "", "PARTS & ACCESSORIES", "-" * 20,
+                                "  5031 (part) — no description on file", "", "SOURCE PAGES", "-" * 20, "  S · b.pdf · p.3 (k)", ""]
+    bare = df.select(bundle_text(F.lit("q?"), F.lit(None).cast("string"), F.slice("parts", 1, 0), F.slice("pages", 1, 0)))
+    assert bare.collect()[0][0].split("\n") == ["Catalogue — q?", "=" * 60, ""]
