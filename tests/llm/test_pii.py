@@ -1,0 +1,69 @@
+import hashlib
+import re
+
+from plansift.llm import pii as P
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def slow_spans(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def passes(s):
+        d = [int(c) for c in digits(s)][::-1]
+        return 16 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0
+    rules = (("email", EMAIL, lambda s: True), ("ip", IP, lambda s: all(int(x) <= 255 for x in s.split("."))),
+             ("card", CARD, passes), ("phone", PHONE, lambda s: 8 <= len(digits(s)) <= 15))
+    return [(k, m.start(), m.end()) for k, p, ok in rules for m in p.finditer(text or "") if ok(m.group())]
+
+
+ODD = ["a@b@c.d and x@y..z q@-.-", "1.2.3.4.5.6.7.8 999.1.1.1 1.2.3.0004", "..@a.b a@b.c@d.e.f", "+1 (2) 3-4.5 6 7 8 9) +12345678",
+       "4111 1111 1111 1111 1 4111-1111-1111-1111", "é4111111111111111é +44 20 7946 0958 9", "1.1.1.1.1@a.b.c.d 10.0.0.256", "@a.b", ""]
+
+
+def test_base_equals_brute_force(spark, texts):
+    for _, text in [*texts, *((0, t) for t in ODD)]:
+        assert P.base_spans(text) == slow_spans(text)
+
+
+def test_query(spark, texts):
+    got = {r.doc_id: r for r in P.op7_pii(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(texts)
+    extra = 0
+    for d, text in texts:
+        said = ",".join(f"{k}:{s}:{e}" for k, s, e in slow_spans(text))
+        assert got[d].base_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[d].spans.startswith(said)
+        more = [x for x in got[d].spans[len(said):].split(",") if x]
+        extra += len(more)
+        for m in re.finditer(r"\bpassword=([0-9a-f]+)|\b(AKIA[0-9A-Z]{16})\b|\btoken = \"([0-9a-f]{40})\"", text):
+            k = next(i for i in (1, 2, 3) if m[i])
+            assert f"secret:{m.start(k)}:{m.end(k)}" in more, (d, m.group())
+    assert extra > 10
+
+
+def test_long_runs_take_linear_time():
+    assert P.base_spans("a" * 300_000 + "@") == [] and P.base_spans("1" * 300_000) == [] and P.base_spans("1." * 3 + "9" * 300_000) == []
+
+
+def test_new_identifiers_are_discovered(documents):
+    """Seeds are passwords; tokens written otherwise share their shape, and lend their cue to a third form."""
+    hexes = [hashlib.md5(str(i).encode()).hexdigest() for i in range(40)]
+    rows = [(i, f"Some text password={h} and more.", "en", "s") for i, h in enumerate(hexes[:15])]
+    rows += [(100 + i, f'Some text session = "{h}" and more.', "en", "s") for i, h in enumerate(hexes[15:30])]
+    rows += [(200, 'Text session = "not_hex_9Z" ends.', "en", "s"), (300, "Written in chapter B1234567 of the book.", "en", "s")]
+    got = {r.doc_id: r.spans for r in P.find_personal_data(documents(rows)).collect()}
+    assert all(got[100 + i].startswith("secret:") for i in range(15))
+    assert got[200] == "secret:16:26" and got[300] == ""
+
+
+def test_edges_and_redaction(documents, edge_rows):
+    docs = documents([*edge_rows, (9, "Write to a.b@c.org or password=abcdef123456 now.", "en", "src1")])
+    rows = P.find_personal_data(docs).collect()
+    assert len(rows) == 11 and {r.spans for r in rows if r.doc_id != 9} == {""}
+    clean = {r.doc_id: r for r in P.redact(docs).collect()}
+    assert clean[9].text == "Write to [email] or password=[secret] now." and clean[9].n_chars == len(clean[9].text)
+    assert clean[1].text is None and clean[5].text == edge_rows[5][1] and P.redact(docs).columns == docs.columns
+    assert P.redact(docs).count() == 11 and P.redact(documents([])).count() == 0
