@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right
 
@@ -17,8 +18,8 @@ CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
 #: Written after each document.
 END = np.array([1], "<u4").tobytes()
-#: Words whose ids a task remembers before it starts anew (memory only; results do not depend on it).
-REMEMBERED, LONGEST = 300_000, 64
+#: Parts of texts whose ids a task remembers before it starts anew (memory only; results do not depend on it).
+REMEMBERED, LONGEST = 1_000_000, 64
 _STATE: dict = {}
 
 
@@ -27,23 +28,52 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def word_ids(words: set[bytes], path: str) -> dict[bytes, bytes]:
-    """Little-endian ids of each word, remembered by the task; the tokenizer never joins ids across white space."""
+#: In a text of these bytes (ASCII without the apostrophe, and Latin-1 letters, whose first byte is C3) the tokenizer's
+#: pieces end wherever letters and punctuation meet, so words can be looked up without their commas and capitals.
+_PLAIN = bytes(b for b in (*range(9, 14), *range(32, 127), *range(128, 192), 0xC3) if b != 39)
+_MARKS = re.compile(rb"[!-/:-@\[-`{-~]+")
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
+
+
+def keys_of(text: bytes) -> list[bytes]:
+    """Parts of a text whose ids, joined, are the ids of the text: its words, or runs of letters and of marks."""
+    if text.translate(None, _PLAIN) or b"<|" in text or b"\xc3\x97" in text or b"\xc3\xb7" in text:
+        return text.split()
+    return _MARKS.sub(rb" \g<0> ", text.lower()).split()
+
+
+def part_ids(parts: set[bytes], path: str) -> dict[bytes, bytes]:
+    """Little-endian ids of each part, remembered by the task; the tokenizer never joins ids across white space."""
     if _STATE.get("path") != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _STATE.update(path=path, tokenizer=Tokenizer.from_file(path), known={})
+        tokenizer = Tokenizer.from_file(path)
+        last = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+        last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        _STATE.update(path=path, tokenizer=tokenizer, last=last, known={})
     if len(_STATE["known"]) > REMEMBERED:
         _STATE["known"] = {}
-    known = _STATE["known"]
-    new = [w for w in words if w not in known]
+    known, tokenizer = _STATE["known"], _STATE["tokenizer"]
+    new = [p for p in parts if p not in known]
+    letters = [p for p in new if _LETTERS.fullmatch(p)]
+    for i in range(0, len(letters), 2048):
+        some = letters[i:i + 2048]
+        ids = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(_STATE["last"][ids]) + 1  # a run of letters is one piece, and ends in a token of a word's end
+        if len(ends) != len(some):
+            break
+        coded, at = ids.tobytes(), 0
+        for p, end in zip(some, (4 * ends).tolist()):
+            known[p] = coded[at:end]
+            at = end
     extra = {}
-    for i in range(0, len(new), 4096):
-        some = new[i:i + 4096]
-        coded = _STATE["tokenizer"].encode_batch([w.decode() for w in some], add_special_tokens=False)
-        for w, c in zip(some, coded):
-            (known if len(w) <= LONGEST else extra)[w] = np.array(c.ids, "<u4").tobytes()
-    return {**{w: known[w] for w in words if w in known}, **extra} if extra else known
+    rest = [p for p in new if p not in known]
+    for i in range(0, len(rest), 4096):
+        some = rest[i:i + 4096]
+        coded = tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
+        for p, c in zip(some, coded):
+            (known if len(p) <= LONGEST else extra)[p] = np.array(c.ids, "<u4").tobytes()
+    return {**{p: known[p] for p in parts if p in known}, **extra} if extra else known
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -60,11 +90,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep: tuple[str
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 some = batch.slice(low, 500)
-                split = [t.split() for t in texts_of(some.column(n))]
-                ids = word_ids(set().union(*split), path)
+                split = [keys_of(t) for t in texts_of(some.column(n))]
+                ids = part_ids(set().union(*split), path)
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, words in enumerate(split):
-                    coded = b"".join([ids[w] for w in words]) + END
+                for i, parts in enumerate(split):
+                    coded = b"".join(map(ids.__getitem__, parts)) + END
                     for k, at in enumerate(range(0, len(coded), 4 * capacity)):
                         part = coded[at:at + 4 * capacity]
                         row.append(i)

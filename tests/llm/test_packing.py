@@ -37,11 +37,13 @@ def test_query_equals_whole_text_tokens(spark, texts):
     assert check(rows) <= least + 1
 
 
-def test_words_with_odd_characters_split_like_the_text():
+def test_parts_have_the_ids_of_the_text():
     tok = Tokenizer.from_file(K.tokenizer_path())
-    text = "don't 're  <|endoftext|> á ́b   x y ΑΣ ΑΣ. \x1c1\x1d 12ab!? 你好 'S 'll"
-    ids = K.word_ids(set(text.encode().split()), K.tokenizer_path())
-    assert b"".join(ids[w] for w in text.encode().split()) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    for text in ("don't 're  <|endoftext|> á ́b   x y ΑΣ ΑΣ. \x1c1\x1d 12ab!? 你好 'S 'll", "Êtes-vous là, ÉÉ?! a.b,c 12,5 x_y (z) --",
+                 "a×b é÷ü", "...end. # $%a", "<|ENDOFTEXT|> Aa", "ª º á. ", "\x00a\x7f, b", ""):
+        parts = K.keys_of(text.encode())
+        ids = K.part_ids(set(parts), K.tokenizer_path())
+        assert b"".join(ids[p] for p in parts) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
 def test_bins_hold_every_piece_and_two_replace_one():
