@@ -2,11 +2,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from plansift.llm import mixing, packing, pii, quality_rules, sharding, simhash, substrings
+from plansift.llm import embeddings, mixing, packing, pii, quality_rules, sharding, simhash, substrings
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_substrings": substrings.op2_substrings,
+    "op3_embeddings": embeddings.op3_embeddings,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
@@ -14,4 +15,5 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op2_substrings": substrings.ORACLE, "op4_quality_rules": quality_rules.ORACLE}
+ORACLE = {"op2_substrings": substrings.ORACLE, "op3_embeddings": embeddings.ORACLE,
+          "op4_quality_rules": quality_rules.ORACLE}
