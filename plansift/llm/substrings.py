@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plansift.llm.base import Words, slices, table, texts_of
+from plansift.llm.base import Words, mix, slices, table, texts_of
 from plansift.staging import stage
 
 WINDOW = 13
@@ -78,22 +78,49 @@ def _gather(bucket: pa.Table, kind):
     return tuple(np.concatenate(x) for x in (ids, keys, none, marks, docs, positions, hashes))
 
 
-def _found(keys, none, marks, doc, position) -> pa.Table:
-    """One row for each document (key, mark) with its positions, each once."""
-    key, mark, lack = keys[doc], marks[doc], none[doc]
-    order = np.lexsort((position, mark, key, lack))
-    key, mark, lack, position = key[order], mark[order], lack[order], position[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]) | (lack[1:] != lack[:-1])
-    keep = new.copy()
-    keep[1:] |= position[1:] != position[:-1]
-    key, mark, lack, position, new = key[keep], mark[keep], lack[keep], position[keep], new[keep]
-    edges = np.append(np.flatnonzero(new), len(key))
-    return pa.table({"key": pa.array(key[new]), "none": pa.array(lack[new]), "mark": pa.array(mark[new]),
-                     "at": pa.array([position[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())})
+_FOUND = "part int, keys binary, none binary, marks binary, counts binary, at binary"
 
 
-_FOUND = "key long, none boolean, mark long, at binary"
+def _sorted(keys, none, marks, position):
+    """Places by document, each once; where each document begins, with the end."""
+    order = np.lexsort((position, marks, keys, none))
+    columns = [c[order] for c in (keys, none, marks, position)]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:3]])
+    keep = new.copy()
+    keep[1:] |= columns[3][1:] != columns[3][:-1]
+    return (*(c[keep] for c in columns), np.append(np.flatnonzero(new[keep]), int(keep.sum())))
+
+
+def _found(keys, none, marks, doc, position, parts: int) -> pa.Table:
+    """What a bucket found, a row for each part of the documents (by hash of the key), so rows do not follow documents."""
+    keys, none, marks, position, edges = _sorted(keys[doc], none[doc], marks[doc], position)
+    part = (mix(keys[edges[:-1]].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    rows = []
+    for p in np.unique(part).tolist():
+        some = np.flatnonzero(part == p)
+        first, count = edges[some], (edges[some + 1] - edges[some])
+        at = np.concatenate([position[a:a + n] for a, n in zip(first.tolist(), count.tolist())])
+        rows.append((p, keys[first].tobytes(), none[first].tobytes(), marks[first].tobytes(), count.astype(np.uint32).tobytes(),
+                     at.tobytes()))
+    columns = list(zip(*rows)) if rows else [()] * 6
+    return pa.table({n.split()[0]: pa.array(c, pa.int32() if i == 0 else pa.binary())
+                     for i, (n, c) in enumerate(zip(_FOUND.split(", "), columns))})
+
+
+def _by_document(found: DataFrame) -> DataFrame:
+    """(key, none, mark, at): one row for each document with the places that all buckets found in it."""
+    def merge(key, rows):
+        columns = []
+        for name, kind in (("keys", np.int64), ("none", bool), ("marks", np.int64), ("counts", np.uint32), ("at", np.uint32)):
+            columns.append(np.frombuffer(b"".join(rows.column(name).to_pylist()), kind))
+        keys, none, marks = (np.repeat(c, columns[3]) for c in columns[:3])
+        keys, none, marks, position, edges = _sorted(keys, none, marks, columns[4])
+        first = edges[:-1]
+        return pa.table({"key": pa.array(keys[first]), "none": pa.array(none[first]), "mark": pa.array(marks[first]),
+                         "at": pa.array([position[a:b].tobytes() for a, b in zip(first, edges[1:])], pa.binary())})
+
+    return found.groupBy("part").applyInArrow(merge, "key long, none boolean, mark long, at binary")
 
 
 def _groups(hashes: np.ndarray):
@@ -132,10 +159,10 @@ def anchors(rows: DataFrame, block: int, buckets: int) -> DataFrame:
         most = np.maximum.reduceat(own, first)
         hit = (least[group] < own) | (index & (most[group] > own))
         some = order[hit]
-        return _found(keys, none, marks, doc[some], position[some])
+        return _found(keys, none, marks, doc[some], position[some], buckets)
 
     dealt = rows.select("id", "key", "none", "body").mapInArrow(deal, _BUCKET)
-    return dealt.groupBy("bucket").applyInArrow(match, _FOUND).drop("mark")
+    return _by_document(dealt.groupBy("bucket").applyInArrow(match, _FOUND)).drop("mark")
 
 
 def repeats(rows: DataFrame, block: int, window: int, buckets: int) -> DataFrame:
@@ -154,12 +181,11 @@ def repeats(rows: DataFrame, block: int, window: int, buckets: int) -> DataFrame
                 docs = {n: batch.column(i).slice(a, b - a).to_numpy(zero_copy_only=False)
                         for i, n in enumerate(("id", "key", "none", "mark"))}
                 near = np.zeros(len(words.hash) + window, np.int32)
-                for i, places in enumerate(hits[a:b]):
-                    for at in places:
-                        at = np.frombuffer(at, np.uint32).astype(np.int64)
-                        at = at[at + block <= words.count[i]] + words.first[i]
-                        np.add.at(near, np.maximum(at - (window - block), 0), 1)
-                        np.add.at(near, at + 1, -1)
+                for i, at in enumerate(hits[a:b]):
+                    at = np.frombuffer(at, np.uint32).astype(np.int64)
+                    at = at[at + block <= words.count[i]] + words.first[i]
+                    np.add.at(near, np.maximum(at - (window - block), 0), 1)
+                    np.add.at(near, at + 1, -1)
                 starts, hashes = words.windows(window, seed=2)
                 open_ = np.cumsum(near)[starts] > 0
                 if open_.any():
@@ -170,18 +196,17 @@ def repeats(rows: DataFrame, block: int, window: int, buckets: int) -> DataFrame
         order, first, group = _groups(hashes)
         own = ids[doc[order]]
         some = order[np.minimum.reduceat(own, first)[group] < own]
-        return _found(keys, none, marks, doc[some], position[some])
+        return _found(keys, none, marks, doc[some], position[some], buckets)
 
     dealt = rows.select("id", "key", "none", "mark", "body", "at").mapInArrow(deal, _BUCKET)
-    return dealt.groupBy("bucket").applyInArrow(match, _FOUND)
+    return _by_document(dealt.groupBy("bucket").applyInArrow(match, _FOUND))
 
 
-def covered_words(n: int, places: list[bytes], window: int) -> np.ndarray:
+def covered_words(n: int, places: bytes, window: int) -> np.ndarray:
     step = np.zeros(n + 1, np.int32)
-    for at in places:
-        at = np.frombuffer(at, np.uint32).astype(np.int64)
-        np.add.at(step, at, 1)
-        np.add.at(step, at + window, -1)
+    at = np.frombuffer(places, np.uint32).astype(np.int64)
+    step[at] += 1  # places differ
+    step[at + window] -= 1
     return np.cumsum(step)[:n] > 0
 
 
@@ -205,8 +230,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     found = stage(anchors(rows, block, buckets), "anchors")
-    places = found.groupBy("key", "none").agg(F.collect_list("at").alias("at"))
-    met = rows.join(places, ["key", "none"], "left")
+    met = rows.join(found, ["key", "none"], "left")
 
     # texts without anchors are kept as they are; the others are written with their anchors
     def plain(batches):
@@ -219,13 +243,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
                 names=["doc_id", "id", "key", "none", "body", "at", "n_words", "sha"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    types = f"doc_id {kind}, id long, key long, none boolean, body string, at array<binary>, n_words long, sha string"
+    types = f"doc_id {kind}, id long, key long, none boolean, body string, at binary, n_words long, sha string"
     mark = F.when(F.col("sha").isNull(), F.xxhash64("body"))
     split = met.select("doc_id", "id", "key", "none", "body", "at").mapInArrow(plain, types)
     split = stage(split.withColumn("mark", mark).withColumn("body", F.when(F.col("sha").isNull(), F.col("body"))), "met")
     open_ = split.filter("sha is null")
-    flagged = stage(repeats(open_, block, window, buckets), "repeats")
-    flagged = flagged.groupBy("key", "none", "mark").agg(F.collect_list("at").alias("windows"))
+    flagged = stage(repeats(open_, block, window, buckets), "repeats").withColumnRenamed("at", "windows")
     last = open_.select("doc_id", "key", "none", "mark", "body").join(flagged, ["key", "none", "mark"], "left")
 
     def remove(batches):
@@ -233,7 +256,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
             out = []
             for t, places in zip(texts_of(batch.column(1)), batch.column(2).to_pylist()):
                 words = t.split()
-                gone = covered_words(len(words), places or [], window)
+                gone = covered_words(len(words), places or b"", window)
                 out.append((len(words), int(gone.sum()),
                             hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist()) if not g])).hexdigest()))
             columns = list(zip(*out)) if out else [()] * 3
