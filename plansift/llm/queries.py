@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from plansift.llm import embeddings, mixing, packing, pii, quality_rules, sharding, simhash, substrings
+from plansift.llm import classifier, embeddings, lm_scoring, mixing, packing, pii, quality_rules, sharding, simhash, substrings
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_pii": pii.op7_pii,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_classifier": classifier.op9_classifier,
+    "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {"op2_substrings": substrings.ORACLE, "op3_embeddings": embeddings.ORACLE,
