@@ -11,7 +11,6 @@ from plansift.operators.relational import (BROADCAST_ROWS, bag_counts, broadcast
 from plansift.vocab import Vocabulary
 
 FACET_PAGES, FACET_LIMIT = 24, 10
-COMPONENT_ROWS = 600
 SUGGESTIONS = 6
 
 
@@ -46,7 +45,7 @@ def component_families(questions: DataFrame, parts: DataFrame, vocabulary: Vocab
     """``qid, family, n, rank``: part families behind a question, singletons dropped.
 
     A named kind takes that whole kind; other questions take the parts their words
-    or synonyms match (the first 600 by listing).
+    or synonyms match, all of them.
     """
     asked = questions.select("qid", F.array_distinct(T.content_tokens(F.col("question"))).alias("base"))
     asked = asked.withColumn("kind", asked_part_kind(F.col("base")))
@@ -63,8 +62,7 @@ def component_families(questions: DataFrame, parts: DataFrame, vocabulary: Vocab
     tokens = fts.token_rows(parts.select("part_id", "ref", "designation"), "part_id", fts.PART_WEIGHTS)
     matched = fts.phrase_frequencies(tokens, "part_id", phrases).join(
         phrases.filter("n_any = 1").select("qid", "phrase"), "phrase").select("qid", "part_id").distinct()
-    first = top_per_key(matched, ["qid"], [F.asc("part_id")], COMPONENT_ROWS)
-    by_words = (parts.join(first, "part_id")
+    by_words = (parts.join(matched, "part_id")
                 .select("qid", T.designation_group(F.col("designation")).alias("family"))
                 .filter(F.col("family") != "").groupBy("qid", "family").agg(F.count(F.lit(1)).alias("n")))
     ranked = top_per_key(by_kind.unionByName(by_words), ["qid"], [F.desc("n"), F.asc("family")], limit)

@@ -4,10 +4,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plansift.functions import vectors as X
-from plansift.operators.relational import best_by, top_per_key
+from plansift.operators.relational import best_by
 
 PER_LIST_FACTOR = 4
-REGIONS_PER_WINDOW, SHORTLIST = 400, 32
+SHORTLIST = 32
 
 
 def descriptor_similarity(images: DataFrame, query: DataFrame, dhash_bits: int = X.DHASH_BITS) -> DataFrame:
@@ -43,36 +43,32 @@ def find_by_hash(figures: DataFrame, photos: DataFrame, query: DataFrame, max_re
                       (F.col("similarity") >= min_similarity).alias("match"))
 
 
-def region_hits(regions: DataFrame, windows: DataFrame, k: int = REGIONS_PER_WINDOW) -> DataFrame:
-    """``window_no, image_key, score``: the k most similar regions of each query window.
+def best_regions(regions: DataFrame, windows: DataFrame) -> DataFrame:
+    """``image_key, region_no, score``: each image by its single best match of a region and a window.
 
-    The query has at most ten windows; they travel as one array value.
+    The query has at most ten windows; they travel as one array value and are
+    compared inside the region's row, so no pair becomes a row.  Every region
+    counts: images are reduced to their best one before anything is cut.
     """
-    batch = windows.agg(F.collect_list(F.struct("window_no", F.col("vec").alias("qvec")))).scalar()
-    pairs = regions.select("image_key", "region_no", "vec", F.explode(batch).alias("w"))
-    sims = pairs.select("w.window_no", "image_key", "region_no",
-                        X.dot(F.col("vec"), F.col("w.qvec")).alias("score"))
-    return top_per_key(sims, ["window_no"], [F.desc("score"), F.asc("image_key"), F.asc("region_no")], k)
+    batch = windows.agg(F.collect_list("vec")).scalar()
+    scored = regions.withColumn("windows", batch).select(
+        "image_key", "region_no", F.array_max(F.transform("windows", lambda w: X.dot(F.col("vec"), w))).alias("score"))
+    return best_by(scored.filter(F.col("score").isNotNull()), ["image_key"], "score", "region_no")
 
 
-def best_regions(regions: DataFrame, windows: DataFrame, k: int = REGIONS_PER_WINDOW) -> DataFrame:
-    """``image_key, region_no, score``: each image by its single best region match."""
-    hits = region_hits(regions, windows, k).select("image_key", "region_no", "score")
-    return best_by(hits, ["image_key"], "score", "region_no")
-
-
-def rerank(best: DataFrame, inliers: DataFrame | None = None, max_results: int = 8) -> DataFrame:
+def rerank(best: DataFrame, inliers: DataFrame | None = None, max_results: int = 8,
+           shortlist: int = SHORTLIST) -> DataFrame:
     """Final order of region matches.
 
     Without geometry the score decides (match from 0.55).  With ``inliers``
-    (``image_key, inliers``) the 32 best are ordered by inliers, then score, and
+    (``image_key, inliers``) the ``shortlist`` best are ordered by inliers, then score, and
     15 inliers make a match; -1 marks a pair that could not be verified.
     """
     if inliers is None:
         top = best.orderBy(F.desc("score"), F.asc("image_key")).limit(max_results)
         return top.select("image_key", "score", F.lit(-1).alias("inliers"),
                           (F.col("score") >= X.REGION_MATCH).alias("match"))
-    short = best.orderBy(F.desc("score"), F.asc("image_key")).limit(SHORTLIST)
+    short = best.orderBy(F.desc("score"), F.asc("image_key")).limit(shortlist)
     checked = short.join(inliers, "image_key", "left").withColumn("inliers", F.coalesce("inliers", F.lit(-1)))
     ordered = checked.orderBy(F.desc(F.greatest("inliers", F.lit(0))), F.desc("score"), F.asc("image_key"))
     return ordered.limit(max_results).select(

@@ -14,7 +14,7 @@ from plansift.vocab import Vocabulary
 # fixed values: relevance weights and the fuzzy cut-off
 SPECIFIC_BONUS, SAME_SYSTEM_BONUS, FUZZY_CUTOFF = 0.5, 1.5, 72.0
 RANK_SCALE, BM_SCALE = 10, 0.1
-CANDIDATE_FACTOR, NEAR_FACTOR = 6, 3
+NEAR_FACTOR = 3
 SYSTEM_NUMBER = r"(?i)\b(\d{2})\s*TH\b"
 PHOTO_ROOT = "/refmedia/"
 
@@ -118,15 +118,17 @@ def refs_matching(patterns: DataFrame, parts: DataFrame, ref_images: DataFrame,
                         ["qid", "ref_norm"], [F.col("part_id")])
     bare = _position_hits(patterns.filter(F.col("kind").isNull()),
                           photo_only(parts, ref_images).withColumn("kind", F.lit("photo only")))
-    rows = listed.select("qid", "ref_norm", "ref", "kind", "supplier_ref", F.lit(0).alias("stage")) \
+    rows = listed.select("qid", "ref_norm", "ref", "kind", "supplier_ref", F.col("part_id").alias("hit_id"), F.lit(0).alias("stage")) \
         .unionByName(bare.select("qid", "ref_norm", "ref", "kind", F.lit("").alias("supplier_ref"),
-                                 F.lit(1).alias("stage")))
+                                 F.lit(None).cast("long").alias("hit_id"), F.lit(1).alias("stage")))
     totals = patterns.select("qid").join(
         rows.groupBy("qid").agg(F.count(F.lit(1)).alias("total")), "qid", "left") \
         .select("qid", F.coalesce("total", F.lit(0)).alias("total"))
     top = top_per_key(rows, ["qid"], [F.asc("stage"), F.length("ref_norm"), F.asc("ref_norm")], limit)
-    merged = merged_designation(parts.join(top.select("ref_norm").distinct(), "ref_norm", "left_semi"))
-    shown = top.join(merged, "ref_norm", "left").withColumn(
+    listings = parts.select("ref_norm", "part_id", "designation").join(
+        top.filter("hit_id is not null").select("qid", "ref_norm", "hit_id"), "ref_norm")
+    merged = merged_designation(listings.withColumn("hit", F.col("part_id") == F.col("hit_id")), ("qid", "ref_norm"), preferred="hit")
+    shown = top.join(merged, ["qid", "ref_norm"], "left").withColumn(
         "designation", F.coalesce("designation", F.lit("")))
     shown = with_photo(shown, ref_images)
     return shown.select("qid", "rank", "ref", "ref_norm", "kind", "designation", "supplier_ref", "photo"), totals
@@ -218,27 +220,23 @@ def part_subject(questions: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             .withColumn("forms", F.transform("base", lambda w: T.expand(F.array(w), vocabulary))))
 
 
-def relevant_parts(asked: DataFrame, parts: DataFrame, vocabulary: Vocabulary, limit: int) -> DataFrame:
-    """``qid, part_id, order_key``: lexical hits that pass the relevance test.
+def relevant_parts(asked: DataFrame, parts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``qid, part_id, order_key``: all lexical hits that pass the relevance test.
 
     Rows holding every word are used when there are any, else rows holding any.
     """
     scored = fts.search(parts.select("part_id", "ref", "designation"), "part_id", fts.PART_WEIGHTS,
                         fts.phrase_rows(asked))
-    pool = limit * CANDIDATE_FACTOR
-    strict = top_per_key(scored.filter("all_score is not null"), ["qid"],
-                         [F.asc("all_score"), F.asc("part_id")], pool)
-    wide = top_per_key(scored, ["qid"], [F.asc("any_score"), F.asc("part_id")], pool)
-    wide = wide.join(strict.select("qid").distinct(), "qid", "left_anti")
-    hits = strict.select("qid", "part_id", "rank", F.col("all_score").alias("bm")).unionByName(
-        wide.select("qid", "part_id", "rank", F.col("any_score").alias("bm")))
+    strict = scored.filter("all_score is not null").select("qid", "part_id", F.col("all_score").alias("bm"))
+    wide = scored.join(strict.select("qid").distinct(), "qid", "left_anti").select("qid", "part_id", F.col("any_score").alias("bm"))
+    hits = strict.unionByName(wide)
     rows = parts.join(hits, "part_id").join(asked, "qid")
     rows = rows.withColumn("relevance", relevance(
         T.blank_to_empty(F.col("designation")), T.blank_to_empty(F.col("kind")), F.col("base"), F.col("forms"),
         F.col("asked_system"), vocabulary))
     key = F.lit(RANK_SCALE) * F.col("relevance") - F.col("bm") * F.lit(BM_SCALE)
     return rows.filter(F.col("relevance") > 0).select(
-        "qid", "part_id", (-key).alias("order_key"), F.col("rank").alias("position"), "relevance", "bm")
+        "qid", "part_id", (-key).alias("order_key"), F.col("bm").alias("position"), "relevance", "bm")
 
 
 def find_parts(questions: DataFrame, parts: DataFrame, ref_images: DataFrame, vocabulary: Vocabulary,
@@ -246,18 +244,18 @@ def find_parts(questions: DataFrame, parts: DataFrame, ref_images: DataFrame, vo
     """Parts that answer the subject of each question, best first."""
     asked = part_subject(questions, vocabulary)
     # a few rows per question, needed by the fuzzy pass and by the result
-    lexical = stage(relevant_parts(asked, parts, vocabulary, limit).select(
+    lexical = stage(relevant_parts(asked, parts, vocabulary).select(
         "qid", "part_id", "order_key", "position"), "lexical_parts")
     without = asked.join(lexical.select("qid").distinct(), "qid", "left_anti").filter(
         F.exists("base", lambda w: ~w.isin(*vocabulary.broad_words)))
     needles = without.select("qid", F.array_join("base", " ").alias("needle"))
     fuzzy = fuzzy_parts(needles, parts, limit).select(
-        "qid", "part_id", (-F.col("similarity")).alias("order_key"), F.col("rank").alias("position"))
+        "qid", "part_id", (-F.col("similarity")).alias("order_key"), F.col("rank").cast("double").alias("position"))
     hits = lexical.unionByName(fuzzy)
     rows = parts.join(hits, "part_id").select("qid", "ref_norm", "order_key", "position", "ref", "kind",
                                               "supplier_ref", F.col("part_id").alias("hit_id"))
-    unique = keep_first(rows, ["qid", "ref_norm"], [F.col("order_key"), F.col("position")])
-    top = top_per_key(unique, ["qid"], [F.asc("order_key"), F.asc("position")], limit)
+    unique = keep_first(rows, ["qid", "ref_norm"], [F.col("order_key"), F.col("position"), F.col("hit_id")])
+    top = top_per_key(unique, ["qid"], [F.asc("order_key"), F.asc("position"), F.asc("hit_id")], limit)
     listings = parts.select("ref_norm", "part_id", "designation").join(
         top.select("qid", "ref_norm", "hit_id"), "ref_norm").withColumn("hit", F.col("part_id") == F.col("hit_id"))
     merged = merged_designation(listings, ("qid", "ref_norm"), preferred="hit")
@@ -307,9 +305,6 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(ratios)
 
 
-_SIMILAR = "array<struct<qid:int,similarity:double>>"
-
-
 def _similar_needles(names: pd.Series, needles: pd.Series) -> pd.Series:
     """For every name, the needles at or above the cut-off."""
     def one(name, batch):
@@ -325,11 +320,12 @@ def fuzzy_parts(needles: DataFrame, parts: DataFrame, limit: int = 6) -> DataFra
     they travel as one array value.  Names are compared once each: equal names
     share one comparison before the rows of that name are ranked.
     """
-    similar = F.pandas_udf(_similar_needles, _SIMILAR)
+    kind = needles.schema["qid"].dataType.simpleString()
+    similar = F.pandas_udf(_similar_needles, f"array<struct<qid:{kind},similarity:double>>")
     names = parts.filter(F.length("designation") > 0).select(F.lower("designation").alias("name")).distinct()
 
     def matches(some):
-        batch = some.agg(F.collect_list(F.struct(F.col("qid").cast("int").alias("qid"), "needle"))).scalar()
+        batch = some.agg(F.collect_list(F.struct("qid", "needle"))).scalar()
         return names.select("name", F.explode(similar("name", batch)).alias("hit")).select(
             "name", "hit.qid", "hit.similarity")
 
@@ -354,33 +350,28 @@ def pages_with_refs(pages: DataFrame, known: DataFrame) -> DataFrame:
             .withColumn("refs", F.coalesce("found_refs", F.array().cast("array<string>"))).drop("found_refs"))
 
 
-# fixed values: phrases of a table of contents
-_CONTENTS_MARKERS = ("schematic cross-sections", "contents", "pages 50-51", "pages 52-53")
-
-
-def pages_using_ref(wanted: DataFrame, pages: DataFrame, known: DataFrame, limit: int = 6) -> DataFrame:
+def pages_using_ref(wanted: DataFrame, pages: DataFrame, known: DataFrame, vocabulary: Vocabulary,
+                  limit: int = 6) -> DataFrame:
     """Pages whose text names a reference as a word of its own.
 
-    ``wanted`` has ``qid, ref, ref_norm``.  The first ``3 * limit`` pages listing
-    the reference (document, page order) are inspected; contents pages go.
+    ``wanted`` has ``qid, ref, ref_norm``.  Every page listing the reference is
+    inspected; contents pages go; the first ``limit`` by document and page stay.
     """
     wanted = wanted.filter(F.col("ref_norm") != "")
     wanted = broadcast_within(wanted, rows_up_to(wanted, BROADCAST_ROWS))
     candidates = explode_once(pages, ["page_id", "doc_id", "page_num"], R.page_ref_candidates(F.col("text")), "ref_norm")
     listed = candidates.join(wanted, "ref_norm").join(known, "ref_norm", "left_semi")
-    first = top_per_key(listed, ["qid"], [F.asc("doc_id"), F.asc("page_num"), F.asc("page_id")], 3 * limit)
-    chosen = first.select("qid", "page_id", "ref", "ref_norm", F.col("rank").alias("position"))
-    rows = pages.join(chosen, "page_id")
+    rows = pages.join(listed.select("qid", "page_id", "ref", "ref_norm"), "page_id")
     body = F.concat("text", F.lit(" "), T.blank_to_empty(F.col("ocr_text")))
     terms = F.array(F.lower("ref_norm"), F.lower("ref"))
     rows = rows.withColumn("body", body).withColumn(
         "snippet", T.snippet(F.coalesce(F.nullif("text", F.lit("")), F.col("ocr_text")), terms))
     low = F.lower("body")
     markers = F.lit(False)
-    for marker in _CONTENTS_MARKERS:
+    for marker in vocabulary.contents_markers:
         markers = markers | F.contains(low, F.lit(marker))
     generic = (F.length(T.strip(F.col("snippet"))) < 40) & markers
-    divider = (F.length(T.strip(F.col("body"))) < 120) & F.contains(low, F.lit(_CONTENTS_MARKERS[0]))
+    divider = (F.length(T.strip(F.col("body"))) < 120) & F.contains(low, F.lit(vocabulary.divider_marker))
     named = F.rlike(F.col("body"), R.standalone(F.col("ref_norm"))) | F.rlike(F.col("body"), R.standalone(F.col("ref")))
     kept = rows.filter(named & ~generic & ~divider)
-    return top_per_key(kept, ["qid"], [F.asc("position")], limit)
+    return top_per_key(kept, ["qid"], [F.asc("doc_id"), F.asc("page_num"), F.asc("page_id")], limit)

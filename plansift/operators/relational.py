@@ -57,15 +57,16 @@ def explode_once(df: DataFrame, keep: Sequence[str], array: Column, name: str) -
     return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None = None,
                 rank: str = "rank") -> DataFrame:
-    """First ``k`` rows of every key.
+    """First ``k`` rows of every key, numbered; all rows without ``k``.
 
     The rank filter lets Spark cut each task's rows to ``k`` per key before the
     shuffle, so a hot key never arrives whole in one task.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+    numbered = df.withColumn(rank, F.row_number().over(window))
+    return numbered if k is None else numbered.filter(F.col(rank) <= k)
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -44,17 +44,18 @@ def broad_questions(questions: DataFrame, ranked: DataFrame, catalogue: Catalogu
 
 
 def with_limits(questions: DataFrame) -> DataFrame:
-    """Result sizes: asked for in the words, else asked for in the request, else three."""
+    """Result sizes: asked for in the words, else asked for in the request, else three; 0 is not a size."""
     q = F.col("question")
+    in_words = F.nullif(T.pages_asked(q), F.lit(0))
 
     def asked(name):
-        return F.col(name) if name in questions.columns else F.lit(None).cast("int")
+        return F.nullif(name, F.lit(0)) if name in questions.columns else F.lit(None).cast("int")
 
-    pages = F.coalesce(T.pages_asked(q), asked("max_pages"), F.lit(DEFAULT_PAGES))
-    images = F.coalesce(T.images_asked(q), asked("max_images"), F.lit(DEFAULT_IMAGES))
+    pages = F.coalesce(in_words, asked("max_pages"), F.lit(DEFAULT_PAGES))
+    images = F.coalesce(F.nullif(T.images_asked(q), F.lit(0)), asked("max_images"), F.lit(DEFAULT_IMAGES))
     return questions.select("qid", T.strip(q).alias("question"), T.clamp(pages, 1, 20).alias("max_pages"),
                             T.clamp(images, 1, 40).alias("max_images"),
-                            T.clamp(F.coalesce(T.pages_asked(q), F.lit(PATTERN_SHOWN)), 1, PATTERN_MAX).alias("max_refs"))
+                            T.clamp(F.coalesce(in_words, F.lit(PATTERN_SHOWN)), 1, PATTERN_MAX).alias("max_refs"))
 
 
 def _ranked(questions: DataFrame, catalogue: Catalogue, query_vectors: DataFrame | None) -> DataFrame:
@@ -86,7 +87,7 @@ def merge_ref_pages(ranked: DataFrame, ref_pages: DataFrame, exact: DataFrame, l
     def merged(rest):
         both = priority_union(first.select(*shared), rest.select(*shared), keys=["qid", "page_id"], order="rank")
         return top_per_key(both.withColumnRenamed("rank", "position"), ["qid"],
-                           [F.asc("stage"), F.asc("position")], 1000).drop("stage", "position")
+                           [F.asc("stage"), F.asc("position")]).drop("stage", "position")
 
     shown = merged(shown_first).join(limits, "qid").filter(F.col("rank") <= F.col("max_pages")).drop(
         "max_pages", "max_images", "max_refs", "question")
@@ -193,7 +194,7 @@ def answer_questions(catalogue: Catalogue, questions: DataFrame, query_vectors:
     known = P.known_refs(parts, photos)
     exact = stage(exact_refs.join(P.lookup_parts(exact_refs, parts, photos), "ref_norm").withColumn(
         "rank", F.lit(1)), "exact_parts")
-    on_pages = P.pages_using_ref(exact.select("qid", "ref", "ref_norm"), catalogue.pages, known, 20) \
+    on_pages = P.pages_using_ref(exact.select("qid", "ref", "ref_norm"), catalogue.pages, known, vocabulary, 20) \
         .join(limits.select("qid", F.col("max_pages").alias("page_limit")), "qid").filter(F.col("rank") <= F.col("page_limit"))
     on_pages = stage(on_pages.select(
         "qid", "rank", "page_id", "doc_id", "filename", "title", "system", "systems", "doc_kind", "page_num",

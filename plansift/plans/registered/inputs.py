@@ -54,5 +54,5 @@ def asked_about_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("qid"), question.alias("question"))
 
 
-def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return standin.table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standin.table(spark, sf_dir, "conversations")

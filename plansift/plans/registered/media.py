@@ -158,8 +158,7 @@ def _windows(spark, sf_dir):
 
 _REGION = """sims AS (SELECT w.vec_id AS window_no, e.label::BIGINT AS image_key, e.vec_id AS region_no, list_dot_product(e.embedding::DOUBLE[], w.embedding::DOUBLE[]) AS score
  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN (3, 11, 29)) w),
-hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_no ORDER BY score DESC, image_key, region_no) AS r FROM sims) WHERE r <= 400),
-best AS (SELECT image_key, arg_min(region_no, (-score, region_no)) AS region_no, max(score) AS score FROM hits GROUP BY 1)"""
+best AS (SELECT image_key, arg_min(region_no, (-score, region_no)) AS region_no, max(score) AS score FROM sims GROUP BY 1)"""
 
 
 @registered(f"WITH {_REGION} SELECT image_key, region_no, round(score, 6) AS score FROM best")

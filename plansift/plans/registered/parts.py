@@ -89,15 +89,18 @@ _PATTERN_VALUES = "pats(qid, mode, value, asked_kind) AS (VALUES " + ", ".join(
 _FITS = ("((mode = 'suffix' AND suffix(ref_norm, value)) OR (mode = 'prefix' AND starts_with(ref_norm, value)) "
          "OR (mode = 'contains' AND contains(ref_norm, value)))")
 _MATCHING = f"""{_LOOKUP}, {_PATTERN_VALUES}, {_MERGED},
-listed AS (SELECT qid, ref_norm, arg_min((ref, kind, supplier_ref), part_id) AS r FROM parts_v JOIN pats ON {_FITS} WHERE asked_kind IS NULL OR kind = asked_kind GROUP BY 1, 2),
+listed AS (SELECT qid, ref_norm, arg_min((ref, kind, supplier_ref, part_id), part_id) AS r FROM parts_v JOIN pats ON {_FITS} WHERE asked_kind IS NULL OR kind = asked_kind GROUP BY 1, 2),
 bare AS (SELECT qid, ref_norm, arg_min(ref, image_id) AS ref FROM (SELECT * FROM photos_v ANTI JOIN parts_v USING (ref_norm)) JOIN pats ON asked_kind IS NULL AND {_FITS} GROUP BY 1, 2),
-every AS (SELECT qid, ref_norm, r[1] AS ref, r[2] AS kind, r[3] AS supplier_ref, 0 AS stage FROM listed UNION ALL SELECT qid, ref_norm, ref, 'photo only', '', 1 FROM bare),
+every AS (SELECT qid, ref_norm, r[1] AS ref, r[2] AS kind, r[3] AS supplier_ref, r[4] AS hit, 0 AS stage FROM listed UNION ALL SELECT qid, ref_norm, ref, 'photo only', '', NULL, 1 FROM bare),
 totals AS (SELECT qid, count(*) AS total FROM every GROUP BY 1),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY stage, length(ref_norm), ref_norm) AS rank FROM every) WHERE rank <= 30)"""
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY stage, length(ref_norm), ref_norm) AS rank FROM every) WHERE rank <= 30),
+names AS (SELECT qid, ref_norm, regexp_replace(lower(designation), '[^a-z0-9]', '', 'g') AS nk, min((part_id <> hit, part_id)) AS place, arg_min(trim(designation), (part_id <> hit, part_id)) AS name
+ FROM top JOIN parts_v USING (ref_norm) GROUP BY 1, 2, 3),
+named AS (SELECT qid, ref_norm, array_to_string(list_slice(list(name ORDER BY place), 1, 2), ' · ') AS designation FROM names WHERE nk <> '' GROUP BY 1, 2)"""
 
 
 @registered(f"""{_MATCHING} SELECT qid, rank, ref, ref_norm, kind, coalesce(designation, '') AS designation, supplier_ref, photo
- FROM top LEFT JOIN merged USING (ref_norm) LEFT JOIN first_photo USING (ref_norm)""")
+ FROM top LEFT JOIN named USING (qid, ref_norm) LEFT JOIN first_photo USING (ref_norm)""")
 def ref_position_search(spark, sf_dir):
     shown, _ = P.refs_matching(_pattern_table(spark), *_tables(spark, sf_dir))
     return shown
@@ -194,8 +197,8 @@ single AS (SELECT qid, unnest(base) AS word, generate_subscripts(base, 1) AS i F
 {S.expand_steps('one', 'qid, i, word')}"""
 _PART_FTS = _bm25([("ref", 2.0), ("designation", 1.0)], "parts_p")
 _RELEVANCE = f"""WITH {S.PARTS}, parts_p AS (SELECT part_id AS page_id, * FROM parts_v), {_SUBJECT}, {_PART_FTS},
-st AS (SELECT * FROM (SELECT qid, page_id AS part_id, all_score AS bm, row_number() OVER (PARTITION BY qid ORDER BY all_score, page_id) AS pos FROM scored WHERE all_score IS NOT NULL) WHERE pos <= 36),
-wi AS (SELECT * FROM (SELECT qid, page_id AS part_id, any_score AS bm, row_number() OVER (PARTITION BY qid ORDER BY any_score, page_id) AS pos FROM scored) WHERE pos <= 36),
+st AS (SELECT qid, page_id AS part_id, all_score AS bm, (all_score, page_id) AS pos FROM scored WHERE all_score IS NOT NULL),
+wi AS (SELECT qid, page_id AS part_id, any_score AS bm, (any_score, page_id) AS pos FROM scored),
 hits AS (SELECT * FROM st UNION ALL SELECT * FROM wi ANTI JOIN st USING (qid)),
 marks AS (SELECT h.qid, h.part_id, h.bm, h.pos, i, word, len(list_filter(expanded, lambda f: contains(lower(designation || ' ' || kind), f))) > 0 AS hit
  FROM hits h JOIN parts_v USING (part_id) JOIN one_expanded o ON o.qid = h.qid),
@@ -206,14 +209,14 @@ relevant AS (SELECT *, m::DOUBLE / n + 0.5e0 * sp AS relevance FROM rel WHERE sp
 @registered(f"{_RELEVANCE} SELECT qid, part_id, round(relevance, 6) AS relevance, round(bm, 6) AS bm FROM relevant")
 def part_relevance(spark, sf_dir):
     asked = P.part_subject(question_table(spark, PART_QUESTIONS), VOCAB)
-    hits = P.relevant_parts(asked, standin.parts(spark, sf_dir), VOCAB, 6)
+    hits = P.relevant_parts(asked, standin.parts(spark, sf_dir), VOCAB)
     return hits.select("qid", "part_id", F.round("relevance", 6).alias("relevance"), F.round("bm", 6).alias("bm"))
 
 
 # every question here is answered lexically or names category words only, so no
 # fuzzy comparison takes part and SQL can state the whole result
 @registered(f"""{_RELEVANCE}, {S.PHOTOS}, {S.FIRST_PHOTO}, keyed AS (SELECT qid, part_id, pos, -(10 * relevance - bm * 0.1e0) AS k, ref_norm, ref, kind, supplier_ref FROM relevant JOIN parts_v USING (part_id)),
-one_each AS (SELECT qid, ref_norm, arg_min((part_id, ref, kind, supplier_ref), (k, pos)) AS r, min((k, pos)) AS o FROM keyed GROUP BY 1, 2),
+one_each AS (SELECT qid, ref_norm, arg_min((part_id, ref, kind, supplier_ref), (k, pos, part_id)) AS r, min((k, pos, part_id)) AS o FROM keyed GROUP BY 1, 2),
 top AS (SELECT * FROM (SELECT qid, ref_norm, r, row_number() OVER (PARTITION BY qid ORDER BY o) AS rank FROM one_each) WHERE rank <= 6),
 names AS (SELECT qid, ref_norm, regexp_replace(lower(designation), '[^a-z0-9]', '', 'g') AS nk, min((part_id <> r[1], part_id)) AS place, arg_min(trim(designation), (part_id <> r[1], part_id)) AS name
  FROM top JOIN parts_v USING (ref_norm) GROUP BY 1, 2, 3),
@@ -238,7 +241,7 @@ wanted(qid, ref, ref_norm) AS (VALUES {", ".join(f"({a}::BIGINT, '{b}', '{b.repl
 upper_v AS (SELECT page_id, doc_id, page_num, upper(text) AS u FROM pages_v),
 listed AS (SELECT page_id, doc_id, page_num, unnest({S.page_ref_candidates('u')}) AS ref_norm FROM upper_v),
 first_v AS (SELECT * FROM (SELECT qid, page_id, ref, ref_norm, row_number() OVER (PARTITION BY qid ORDER BY doc_id, page_num, page_id) AS pos
- FROM listed JOIN wanted USING (ref_norm) SEMI JOIN known USING (ref_norm)) WHERE pos <= 18),
+ FROM listed JOIN wanted USING (ref_norm) SEMI JOIN known USING (ref_norm))),
 joined AS (SELECT first_v.*, text, [lower(ref_norm), lower(ref)] AS terms FROM first_v JOIN pages_v USING (page_id)), {S.snippet_steps('joined', 'qid, page_id', 'text', 'terms')},
 checked AS (SELECT qid, page_id, pos, snippet, lower(text) AS low, text FROM joined JOIN joined_snip USING (qid, page_id)
  WHERE regexp_matches(text || ' ', '(?i)(^|[^A-Za-z0-9])' || ref_norm || '([^A-Za-z0-9]|$)') OR regexp_matches(text || ' ', '(?i)(^|[^A-Za-z0-9])' || ref || '([^A-Za-z0-9]|$)')),
@@ -248,7 +251,7 @@ SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY pos) AS
 def pages_using_ref(spark, sf_dir):
     wanted = question_table(spark, dict(WANTED_PAGES)).select(
         "qid", F.col("question").alias("ref"), R.norm_ref(F.col("question")).alias("ref_norm"))
-    hits = P.pages_using_ref(wanted, standin.pages(spark, sf_dir), P.known_refs(*_tables(spark, sf_dir)))
+    hits = P.pages_using_ref(wanted, standin.pages(spark, sf_dir), P.known_refs(*_tables(spark, sf_dir)), VOCAB)
     return hits.select("qid", "rank", "page_id", "snippet")
 
 
@@ -285,8 +288,7 @@ fam AS (SELECT part_id, kind, {S.designation_group('designation')} AS family FRO
 {S.expand_steps('kinds_v', 'qid, asked_kind')}, ptok AS (SELECT part_id, unnest(list_concat({S.index_tokens('ref')}, {S.index_tokens('designation')})) AS term FROM parts_v),
 asked_words AS (SELECT qid, unnest(expanded) AS phrase FROM kinds_v_expanded WHERE asked_kind IS NULL),
 match_v AS (SELECT DISTINCT qid, part_id FROM ptok JOIN asked_words ON starts_with(term, phrase)),
-first600 AS (SELECT qid, part_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY part_id) AS r FROM match_v) WHERE r <= 600),
-rows_v AS (SELECT qid, family FROM fam JOIN kinds_v ON kind = asked_kind UNION ALL SELECT qid, family FROM fam JOIN first600 USING (part_id)),
+rows_v AS (SELECT qid, family FROM fam JOIN kinds_v ON kind = asked_kind UNION ALL SELECT qid, family FROM fam JOIN match_v USING (part_id)),
 families AS (SELECT * FROM (SELECT qid, family, n, row_number() OVER (PARTITION BY qid ORDER BY n DESC, family) AS rank FROM (SELECT qid, family, count(*) AS n FROM rows_v WHERE family <> '' GROUP BY 1, 2)) WHERE rank <= 10 AND n > 1)"""
 
 

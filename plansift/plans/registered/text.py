@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plansift import vocab as V
 from plansift.functions import refs as R, text as T
 from plansift.plans.registered import sqlparts as S
-from plansift.plans.registered.inputs import asked_about_parts, user_turns
+from plansift.plans.registered.inputs import asked_about_parts, turns
 from plansift.sources import standin
 
 VOCAB = standin.VOCABULARY
@@ -35,14 +35,14 @@ def _text(spark, sf_dir):
     return standin.spread(standin.table(spark, sf_dir, "documents")).select("doc_id", "text")
 
 
-@registered(f"SELECT conv_id, turn, array_to_string({S.tokens('text')}, ' ') AS tokens FROM conversations WHERE role = 'user'")
+@registered(f"SELECT conv_id, turn, array_to_string({S.tokens('text')}, ' ') AS tokens FROM conversations")
 def tokens(spark, sf_dir):
-    return user_turns(spark, sf_dir).select("conv_id", "turn", joined(T.tokens(F.col("text"))).alias("tokens"))
+    return turns(spark, sf_dir).select("conv_id", "turn", joined(T.tokens(F.col("text"))).alias("tokens"))
 
 
-@registered(f"SELECT conv_id, turn, array_to_string({S.content('text')}, ' ') AS words FROM conversations WHERE role = 'user'")
+@registered(f"SELECT conv_id, turn, array_to_string({S.content('text')}, ' ') AS words FROM conversations")
 def content_tokens(spark, sf_dir):
-    return user_turns(spark, sf_dir).select(
+    return turns(spark, sf_dir).select(
         "conv_id", "turn", joined(T.content_tokens(F.col("text"))).alias("words"))
 
 
@@ -74,16 +74,16 @@ def split_subject(spark, sf_dir):
 @registered(f"""WITH {S.ASKED}, counts AS (SELECT qid,
  TRY_CAST(nullif(regexp_extract(question, {S.q(T.PAGE_COUNT)}, 1), '') AS BIGINT) AS pages_asked,
  TRY_CAST(nullif(regexp_extract(question, {S.q(T.IMAGE_COUNT)}, 1), '') AS BIGINT) AS images_asked FROM asked_v)
-SELECT qid, pages_asked, images_asked, least(greatest(coalesce(pages_asked, 3), 1), 20) AS max_pages,
- least(greatest(coalesce(images_asked, 3), 1), 40) AS max_images FROM counts""")
+SELECT qid, pages_asked, images_asked, least(greatest(coalesce(nullif(pages_asked, 0), 3), 1), 20) AS max_pages,
+ least(greatest(coalesce(nullif(images_asked, 0), 3), 1), 40) AS max_images FROM counts""")
 def parse_counts(spark, sf_dir):
     rows = asked_about_parts(spark, sf_dir).select(
         "qid", T.pages_asked(F.col("question")).alias("pages_asked"),
         T.images_asked(F.col("question")).alias("images_asked"))
     return rows.select(
         "qid", "pages_asked", "images_asked",
-        T.clamp(F.coalesce("pages_asked", F.lit(3)), 1, 20).alias("max_pages"),
-        T.clamp(F.coalesce("images_asked", F.lit(3)), 1, 40).alias("max_images"))
+        T.clamp(F.coalesce(F.nullif("pages_asked", F.lit(0)), F.lit(3)), 1, 20).alias("max_pages"),
+        T.clamp(F.coalesce(F.nullif("images_asked", F.lit(0)), F.lit(3)), 1, 40).alias("max_images"))
 
 
 _FLAG_ORACLE = f"""WITH {S.ASKED}, toks AS (SELECT *, {S.tokens('question')} AS w FROM asked_v)
@@ -233,9 +233,9 @@ def _tidy(x):
 
 
 @registered(f"""SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda s: {_tidy('s')}),
- lambda s: length(s) BETWEEN 5 AND 90 AND NOT suffix(s, ':'))[1:6], '|') AS options FROM conversations WHERE role = 'assistant'""")
+ lambda s: length(s) BETWEEN 5 AND 90 AND NOT suffix(s, ':'))[1:6], '|') AS options FROM conversations""")
 def suggestion_lines(spark, sf_dir):
-    rows = standin.table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    rows = standin.table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", F.array_join(T.suggestion_lines(F.col("text")), "|").alias("options"))
 
 

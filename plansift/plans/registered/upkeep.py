@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plansift.functions import text as T
-from plansift.operators import relational as Rel
+from plansift.operators import cache, relational as Rel
 from plansift.plans.registered import sqlparts as S
 from plansift.sources import ingest, standin
 
@@ -80,14 +80,13 @@ def catalog_columns(spark, sf_dir):
 
 
 # -------------------------------------------------------------- caches and history
-@registered("""WITH stored AS (SELECT sha256(lower(trim(text)) || '|' || 'v1') AS k, max(text) AS answer FROM conversations WHERE role = 'user' GROUP BY 1)
+@registered("""WITH stored AS (SELECT sha256(lower(trim(text)) || '|' || 'v1') AS k, max(text) AS answer FROM conversations GROUP BY 1)
 SELECT item_id, sha256(lower(trim(text)) || '|' || 'v1') AS cache_key, answer IS NOT NULL AS hit FROM benchmark LEFT JOIN stored ON k = sha256(lower(trim(text)) || '|' || 'v1')""")
 def cache_lookup(spark, sf_dir):
-    key = T.cache_key(F.col("text"), F.lit("v1")).alias("cache_key")
-    stored = standin.table(spark, sf_dir, "conversations").filter("role = 'user'").select(key, "text") \
-        .groupBy("cache_key").agg(F.max("text").alias("answer"))
-    asked = standin.table(spark, sf_dir, "benchmark").select("item_id", key)
-    return asked.join(stored, "cache_key", "left").select("item_id", "cache_key", F.col("answer").isNotNull().alias("hit"))
+    key = T.cache_key(F.col("text"), F.lit("v1"))
+    stored = standin.table(spark, sf_dir, "conversations").groupBy(key.alias("key")).agg(F.max("text").alias("answer"))
+    asked = standin.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"), F.lit("v1").alias("signature"))
+    return cache.lookup(asked, stored).select("item_id", F.col("key").alias("cache_key"), F.col("answer").isNotNull().alias("hit"))
 
 
 @registered("""SELECT k AS cache_key, first_at FROM (SELECT event_type || ':' || user_id AS k, min(ts) AS first_at FROM events GROUP BY 1) ORDER BY first_at DESC, k LIMIT 200""")

@@ -13,18 +13,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from plansift.functions import text as T
 
-# fixed values: limits of the outside engines
-ENCODER_CHARS, RANSAC_PIXELS, RANSAC_ROUNDS = 2000, 6.0, 500
+# fixed values: limits of the geometric check
+RANSAC_PIXELS, RANSAC_ROUNDS = 6.0, 500
 
 Encoder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 Recogniser = Callable[[str], str]
 
 
-def page_encoding_text(pages: DataFrame) -> DataFrame:
-    """``page_id, content``: what an encoder reads of a page, cut to its input limit."""
+def page_encoding_text(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """``page_id, content``: what an encoder reads of a page; whole unless ``max_chars`` is the encoder's input limit."""
     head = F.concat_ws(" | ", "title", F.array_join("systems", " "), "doc_kind")
     whole = F.concat_ws("\n", head, T.clean_text(F.col("text")), T.blank_to_empty(F.col("ocr_text")))
-    return pages.select("page_id", F.substring(whole, 1, ENCODER_CHARS).alias("content"))
+    return pages.select("page_id", (whole if max_chars is None else F.substring(whole, 1, max_chars)).alias("content"))
 
 
 def encode(rows: DataFrame, key: str, content: str, factory: Callable[[], Encoder]) -> DataFrame:

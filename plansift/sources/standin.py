@@ -18,6 +18,8 @@ VOCABULARY = Vocabulary(
     system_words=("first", "second", "seventh", "source"),
     system_codes=("70TH", "45TH", "70", "45"),
     prompts=("Ring plates", "Which rods fit 143?", "Small anvil sizes"),
+    contents_markers=("schematic cross-sections", "contents", "pages 50-51", "pages 52-53"),
+    divider_marker="schematic cross-sections",
 )
 
 

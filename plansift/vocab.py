@@ -163,6 +163,9 @@ class Vocabulary:
     brand_words: tuple[str, ...] = ()
     #: questions always offered by autocomplete when the typed text occurs in them
     prompts: tuple[str, ...] = ()
+    #: lower-case phrases of a contents page, and the one that a divider page consists of
+    contents_markers: tuple[str, ...] = ("contents",)
+    divider_marker: str = "contents"
 
     @property
     def broad_words(self) -> tuple[str, ...]:

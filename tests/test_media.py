@@ -172,3 +172,13 @@ def test_history_and_favourites(table):
     recent = sorted((r.u, r["rank"], r.i) for r in Rel.recent_unique(events, "u", "i", "at", 1).collect())
     assert recent == [(1, 1, "a"), (2, 1, "c")]
     assert sorted((r.u, r.i) for r in Rel.toggled_on(events, "u", "i", "at", 20).collect()) == [(1, "b"), (2, "c")]
+
+
+def test_every_image_keeps_its_best_region(spark):
+    """Many close regions of one image take no place from another image."""
+    from plansift.operators import images
+    regions = spark.createDataFrame([(1, i, [1.0, i / 1e4]) for i in range(600)] + [(2, 0, [0.2, 1.0]), (3, 0, None)],
+                                    "image_key int, region_no int, vec array<double>")
+    windows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1])], "window_no int, vec array<double>")
+    got = {r.image_key: (r.region_no, round(r.score, 6)) for r in images.best_regions(regions, windows).collect()}
+    assert got == {1: (0, 1.0), 2: (0, 0.28)}

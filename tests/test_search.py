@@ -189,3 +189,19 @@ def test_page_text_is_read_once_for_matching(spark, pages, questions):
     plan = fts.phrase_frequencies(fts.token_rows(rank.indexed_pages(pages), "page_id", fts.PAGE_WEIGHTS), "page_id", phrases)
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Generate explode(g") <= 2 and "CartesianProduct" not in text
+
+
+def test_families_count_every_matching_part(spark, table):
+    from plansift.operators import facets
+    from plansift.vocab import Vocabulary
+    rows = [(i, f"A{i}", f"A{i}", "part", "", f"BROOM FIRST {i % 2}") for i in range(700)]
+    rows += [(1000 + i, f"B{i}", f"B{i}", "part", "", "LATE BROOM") for i in range(900)]
+    parts = table("part_id long, ref string, ref_norm string, kind string, supplier_ref string, designation string", rows)
+    got = facets.component_families(table("qid int, question string", [(1, "brooms")]), parts, Vocabulary()).collect()
+    assert [r.n for r in sorted(got, key=lambda r: r["rank"])][0] == 900
+
+
+def test_a_count_of_zero_is_no_size(table):
+    from plansift.plans.ask import with_limits
+    rows = with_limits(table("qid int, question string, max_pages int", [(1, "seals on 0 pages", 7), (2, "seals on 0 pages", 0), (3, "seals on 5 pages", 7)]))
+    assert {r.qid: r.max_pages for r in rows.collect()} == {1: 7, 2: 3, 3: 5}
