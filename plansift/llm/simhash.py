@@ -1,6 +1,7 @@
 """Near-duplicate texts: SimHash fingerprints, linked through vantage-point trees."""
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plansift.llm.base import fresh, table, texts_of
+from plansift.llm.base import Words, fresh, mix, slices, table, texts_of
 from plansift.llm.components import components
 from plansift.staging import stage
 
@@ -254,25 +255,134 @@ def near_duplicates(docs: DataFrame, bits: int = 4) -> DataFrame:
     return fps.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, bits: int = 4) -> DataFrame:
+def word_prints(words: np.ndarray, prints: int) -> np.ndarray:
+    """``prints`` independent SimHashes of a set of word hashes; zeros for none."""
+    if not len(words):
+        return np.zeros(prints, np.int64)
+    step = np.arange(prints, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    bits = np.unpackbits(mix(np.unique(words)[None, :] + step).view(np.uint8), axis=1, bitorder="little").reshape(prints, -1, 64)
+    ones = np.add.reduce(bits, axis=1, dtype=np.uint32)
+    return np.packbits(2 * ones > bits.shape[1], axis=1, bitorder="little").view(np.int64)[:, 0]
+
+
+def _keyed(docs: DataFrame, text: str, prints: int = 0) -> DataFrame:
+    """``docs`` with ``key`` (MD5 of the lower-cased words) and, if asked for, ``f``: prints of the set of words."""
+    at, names = docs.columns.index(text), docs.columns
+    types = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["key string"]
+                      + ["f array<long>"] * bool(prints))
+
+    def run(batches):
+        for batch in batches:
+            texts = texts_of(batch.column(at))
+            made = [pa.array([hashlib.md5(b" ".join(t.lower().split())).hexdigest() for t in texts], pa.string())]
+            if prints:
+                found = []
+                for a, b in slices(texts):
+                    words = Words(texts[a:b], lower=True)
+                    found += [word_prints(words.hash[i:j], prints) for i, j in zip(words.first[:-1], words.first[1:])]
+                made.append(pa.array(found, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, "key"] + ["f"] * bool(prints))
+
+    return docs.mapInArrow(run, types)
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    words = Words([text], lower=True)
+    found = words.windows(size)[1]
+    return np.unique(found if len(found) else words.hash.sum(keepdims=True))
+
+
+def similar_in_group(sets: list[np.ndarray], similarity: float, columns: int = 8192) -> np.ndarray:
+    """Smallest index that each set is linked to, through Jaccard similarities of ``similarity`` or more."""
+    size = np.array([len(x) for x in sets])
+    kinds, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(inverse, kind="stable")
+    edges = np.searchsorted(inverse[order], np.arange(0, len(kinds) + columns, columns))
+    for low, (a, b) in zip(range(0, len(kinds), columns), zip(edges, edges[1:])):
+        some = order[a:b]
+        block = np.zeros((len(sets), min(columns, len(kinds) - low)), np.float32)
+        block[row[some], inverse[some] - low] = 1
+        common += block @ block.T
+    groups = Groups(len(sets))
+    groups.add(*np.nonzero(common >= similarity * (size[:, None] + size[None, :] - common) - 1e-3))
+    return groups.merge()
+
+
+def similar_groups(docs: DataFrame, text: str, ids: str, similarity: float = 0.8, size: int = 5, prints: int = 4, bits: int = 7,
+                   blocks: int = 4, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(nodes, roots): different texts (key, node, least), and (node, root) of those linked with others.
+
+    Candidates: texts of which one of ``prints`` SimHashes of the set of words
+    differs in ``bits`` or fewer bits, found through vantage-point trees; texts
+    that differ in few words agree there more closely than by shingles.  Then
+    exact: inside each component of candidates the sets of ``size``-word
+    shingles are compared, in pairs of blocks of ``block`` texts, and
+    similarities of ``similarity`` or more link.
+    """
+    rows = stage(_keyed(docs.select(ids, text), text, prints).select(ids, "key", "f"), "prints")
+    nodes = stage(rows.groupBy("key").agg(F.min(ids).alias("least"), F.first("f").alias("f"))
+                  .withColumn("node", F.monotonically_increasing_id()), "nodes")
+    near = None
+    for i in range(prints):
+        own = stage(nodes.groupBy(F.col("f")[i].alias("fp")).agg(F.min("node").alias("rep")), "own")
+        same = nodes.select(F.col("node").alias("a"), F.col("f")[i].alias("fp")).join(own, "fp").select("a", F.col("rep").alias("b"))
+        links = near_links(own.select("fp"), bits, blocks)
+        links = links.join(own.withColumnsRenamed({"fp": "a", "rep": "x"}), "a").join(own.withColumnsRenamed({"fp": "b", "rep": "y"}), "b")
+        links = same.unionByName(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        near = links if near is None else near.unionByName(links)
+    placed = nodes.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = placed.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1")
+    members = stage(placed.join(sizes, "root").select("key", "node", "root", "size"), "members")
+    once = _keyed(docs.select(text), text).groupBy("key").agg(F.first(text).alias("body"))
+    n_blocks = F.ceil(F.col("size") / block).cast("int")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = once.join(members, "key").withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    small = F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(parts)).cast("string"))
+    large = F.concat_ws("/", F.col("root").cast("string"), F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
+    cut = cut.select(F.when(F.col("blocks") == 1, small).otherwise(large).alias("part"), "root", "node", "body")
+
+    def shingles(batches):
+        for batch in batches:
+            sets = [shingle_set(t, size).tobytes() for t in texts_of(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["part", "root", "node", "sets"])
+
+    def compare(key, rows):
+        root, node, sets = rows.column("root").to_numpy(), rows.column("node").to_numpy(), rows.column("sets").to_pylist()
+        order = np.argsort(root, kind="stable")
+        edges, a, b = np.append(np.flatnonzero(np.append(True, np.diff(root[order]) != 0)), len(order)), [], []
+        for low, high in zip(edges, edges[1:]):
+            at = order[low:high]
+            linked = similar_in_group([np.frombuffer(sets[i], np.uint64) for i in at], similarity)
+            moved = np.flatnonzero(linked != np.arange(len(at)))
+            a.append(node[at[moved]])
+            b.append(node[at[linked[moved]]])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+    shingled = cut.mapInArrow(shingles, "part string, root long, node long, sets binary")
+    return nodes.select("key", "node", "least"), components(shingled.groupBy("part").applyInArrow(compare, "a long, b long"))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id, all columns as they are.
 
-    Of rows repeated with the same doc_id and fingerprint one stays.  A group
-    without any doc_id keeps the row of its smallest fingerprint.
+    Texts whose sets of five-word shingles (lower-cased) have a Jaccard
+    similarity of ``similarity`` or more are linked; texts without words are
+    equal.  Of rows repeated with the same words one stays.  A group without
+    any doc_id keeps one of its rows.
     """
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     moved = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])
     ids, text = own["doc_id"], own["text"]
-    fps = stage(fingerprints(moved, text, (ids,)), "fp")
-    groups = group_fingerprints(fps, ids, bits)
-    members = fps.groupBy("fp").agg(F.min(ids).alias("id")).join(groups, "fp")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first")
-    kept = stage(members.groupBy("root").agg(first).select("first.id", "first.fp"), "kept")
-    key = F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.hex("fp"))
-    rows = fingerprints(moved.withColumn("body_", F.col(text)), "body_", tuple(own.values()))
-    rows = rows.withColumn("id", F.col(ids)).withColumn("key", key)
-    rows = rows.join(kept.select(key.alias("key")), "key", "left_semi").dropDuplicates(["key"])
-    return rows.select(*[F.col(a).alias(c) for c, a in own.items()])
+    nodes, roots = similar_groups(moved, text, ids, similarity)
+    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("first")
+    kept = stage(placed.groupBy("root").agg(first).select("first.key", F.col("first.least").alias("id")), "kept")
+    rows = _keyed(moved, text).join(kept, "key")
+    # of the rows with the text that stays, the one with the id that stays
+    return rows.filter(F.col(ids).eqNullSafe(F.col("id"))).dropDuplicates(["key"]).select(*[F.col(a).alias(c) for c, a in own.items()])
 
 
 def op1_simhash(spark, sf_dir):

@@ -31,6 +31,61 @@ def slow_groups(fps, bits=4):
     return [find(i) for i in range(len(fps))]
 
 
+def slow_similar(texts, similarity=0.8):
+    """Component (smallest index) of each text by Jaccard similarity of five-word shingles, all pairs with a common one."""
+    sets, holders, root = [], {}, list(range(len(texts)))
+    for i, t in enumerate(texts):
+        w = [x.lower() for x in (t or "").encode().split()]
+        sets.append({tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))})
+        for x in sets[-1]:
+            holders.setdefault(x, []).append(i)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i, s in enumerate(sets):
+        for j in {j for x in s for j in holders[x] if j < i}:
+            if 10 * len(s & sets[j]) >= 10 * similarity * len(s | sets[j]) - 1e-6:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_similar_texts_equal_brute_force(spark):
+    """All links of the larger sample, where candidates come from fingerprints alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    kept = {r.doc_id for r in S.keep_one(docs).select("doc_id").collect()}
+    want = {rows[i][0] for i, g in enumerate(slow_similar([t for _, t in rows])) if g == i}
+    assert kept == want
+
+
+def test_large_groups_are_compared_in_blocks(documents):
+    """Texts that differ from one of them in a word or two; blocks far smaller than the group."""
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 500, 120)]
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for k in rng.integers(0, 120, i % 4):
+            words[k] = f"x{rng.integers(0, 1000)}"
+        rows.append((i, " ".join(words), "en", "s"))
+    rows += [(100 + i, " ".join(f"y{x}" for x in rng.integers(0, 900, 80)), "en", "s") for i in range(40)]
+    nodes, roots = S.similar_groups(documents(rows).repartition(3), "text", "doc_id", block=16)
+    by, ids = {r.node: r.root for r in roots.collect()}, {r.node: r.least for r in nodes.collect()}
+    groups = {}
+    for node, doc in ids.items():
+        groups.setdefault(by.get(node, node), set()).add(doc)
+    want = {}
+    for i, g in enumerate(slow_similar([r[1] for r in rows])):
+        want.setdefault(g, set()).add(rows[i][0])
+    texts = {}
+    for d, t, *_ in rows:
+        texts.setdefault(t, d)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(set(w) & set(texts.values())) for w in want.values())
+
+
 def test_equals_brute_force(spark, texts):
     rows = sorted(texts)
     fps = [slow_fingerprint(t) for _, t in rows]
