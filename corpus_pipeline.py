@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plansift.llm import mixing, packing, pii, quality_rules, simhash
+from plansift.llm import base, mixing, packing, pii, quality_rules, simhash
 from plansift.staging import stage
 
 ORACLE_SQL = None
@@ -15,16 +15,19 @@ ORACLE_SQL = None
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failed lines go, then documents that lose too much or fail the base rule."""
+    base.bound_batches(spark)
     return quality_rules.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    base.bound_batches(spark)
     return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind."""
+    base.bound_batches(spark)
     return pii.redact(docs)
 
 
@@ -35,6 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their place in sequences of at most 4096 tokens."""
+    base.bound_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -19,7 +19,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Written after each document.
 END = np.array([1], "<u4").tobytes()
 #: Parts of texts whose ids a task remembers before it starts anew (memory only; results do not depend on it).
-REMEMBERED, LONGEST = 1_000_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 _STATE: dict = {}
 
 
