@@ -43,7 +43,7 @@ def test_edges_and_cleaning(documents, edge_rows):
     assert len(rows) == 11
     assert [(r.n_words, r.base_failed, r.kept) for r in rows[:3]] == [(0, True, False)] * 3
     kept = Q.clean(docs).collect()
-    assert {r.doc_id for r in kept} >= {None, 5, 6, 9} and not {1, 2, 3} & {r.doc_id for r in kept}
+    assert {r.doc_id for r in kept} == {9}  # the others have too few words or repeat themselves
     last = next(r for r in kept if r.doc_id == 9)
     assert "Home" not in last.text and "rights" not in last.text and last.n_chars == len(last.text)
     assert last.fp == "fp10" and Q.clean(docs).columns == docs.columns
