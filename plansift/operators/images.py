@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plansift.functions import vectors as X
+from plansift.operators.figures import MEDIA_ROOT
 from plansift.operators.relational import best_by
 
 PER_LIST_FACTOR = 4
@@ -43,6 +44,16 @@ def find_by_hash(figures: DataFrame, photos: DataFrame, query: DataFrame, max_re
                       (F.col("similarity") >= min_similarity).alias("match"))
 
 
+def with_pages(hits: DataFrame, figures: DataFrame, pages: DataFrame) -> DataFrame:
+    """Image hits that are figures, with where they stand: kind, url, and document, page and system columns.
+
+    ``hits`` has ``image_key``; a hit without figure or page keeps its row.  Page text is not read.
+    """
+    drawn = figures.select("image_key", "page_id", "kind", F.concat(F.lit(MEDIA_ROOT), "filename").alias("url"))
+    about = pages.select("page_id", "doc_id", "filename", "title", "system", "page_num")
+    return hits.join(drawn, "image_key", "left").join(about, "page_id", "left")
+
+
 def best_regions(regions: DataFrame, windows: DataFrame) -> DataFrame:
     """``image_key, region_no, score``: each image by its single best match of a region and a window.
 

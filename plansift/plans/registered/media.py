@@ -146,6 +146,25 @@ def find_by_image(spark, sf_dir):
     return top.select("kind", "image_key", F.round("similarity", 6).alias("similarity"), "percent", "match")
 
 
+def _figure_library(spark, sf_dir):
+    """Every figure (repeated numbers once) with the descriptors of the vector its number falls on."""
+    n = standin.table(spark, sf_dir, "embeddings").count()
+    figures = standin.figures(spark, sf_dir).groupBy("figure_id", "page_id", "filename").agg(F.min("kind").alias("kind")).withColumn("vec", F.pmod("figure_id", F.lit(n)))
+    return figures.join(_descriptors(spark, sf_dir).withColumnRenamed("image_key", "vec"), "vec").withColumn("image_key", F.col("figure_id"))
+
+
+@registered(f"""WITH {S.PAGES}, {S.FIGURES}, {_HASHES}, once AS (SELECT figure_id, page_id, filename, min(kind) AS kind FROM figures_v GROUP BY 1, 2, 3),
+lib AS (SELECT figure_id, f.page_id, f.filename, kind, similarity FROM once f JOIN sim ON f.figure_id % (SELECT count(*) FROM embeddings) = sim.image_key),
+top AS (SELECT * FROM lib ORDER BY similarity DESC, figure_id LIMIT 8)
+SELECT figure_id AS image_key, round(similarity, 6) AS similarity, kind, '/media/' || top.filename AS url, page_id, doc_id, p.filename, p.title, system, page_num FROM top LEFT JOIN pages_v p USING (page_id)""")
+def image_hits_on_pages(spark, sf_dir):
+    library = _figure_library(spark, sf_dir)
+    top = images.find_by_hash(library, library.limit(0), _example(spark, sf_dir), dhash_bits=64).select("image_key", "similarity")
+    placed = images.with_pages(top, library.drop("label"), standin.pages(spark, sf_dir))
+    return placed.select("image_key", F.round("similarity", 6).alias("similarity"), "kind", "url", "page_id", "doc_id", "filename",
+                         "title", "system", F.col("page_num").cast("bigint").alias("page_num"))
+
+
 def _regions(spark, sf_dir):
     e = standin.table(spark, sf_dir, "embeddings")
     return e.select(F.col("label").alias("image_key"), F.col("vec_id").alias("region_no"), F.col("embedding").alias("vec"))
@@ -193,12 +212,19 @@ def image_descriptors(spark, sf_dir):
                         F.round(F.aggregate("edge", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("edge_norm"))
 
 
-@registered()
+@registered("""WITH spots AS (SELECT 0 AS window_no, 0 AS r0, 0 AS c0, 4 AS side UNION ALL SELECT 1 + 3 * r + c, r, c, 2 FROM range(3) a(r), range(3) b(c)),
+cells AS (SELECT vec_id AS image_key, r, c, k, embedding[16 * r + 4 * c + k + 1]::DOUBLE AS x, embedding[16 * r + 4 * c + 1]::DOUBLE AS grey FROM embeddings, range(4) a(r), range(4) b(c), range(4) d(k)),
+pooled AS (SELECT image_key, window_no, k, avg(x) AS mean, stddev_pop(grey) AS spread FROM cells JOIN spots ON r >= r0 AND r < r0 + side AND c >= c0 AND c < c0 + side GROUP BY 1, 2, 3),
+normed AS (SELECT *, sqrt(sum(mean * mean) OVER (PARTITION BY image_key, window_no)) AS norm FROM pooled WHERE window_no = 0 OR spread >= 0.05e0)
+SELECT image_key, window_no::BIGINT AS window_no, k::BIGINT AS dimension, round((CASE WHEN norm > 0 THEN mean / norm ELSE mean END)::FLOAT::DOUBLE, 4) + 0.0e0 AS value FROM normed""")
 def window_vectors(spark, sf_dir):
-    """Pooled window vectors of every vector read as a 4x4 grid of 4-dimensional patches."""
-    grids = standin.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_key"), F.col("embedding").alias("patches"))
+    """Pooled window vectors of every vector read as a 4x4 grid of 4-dimensional patches, the first value as brightness."""
+    grids = standin.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("image_key"), F.col("embedding").alias("patches"),
+        F.transform(F.sequence(F.lit(1), F.lit(61), F.lit(4)), lambda i: F.element_at("embedding", i)).alias("grey"))
     found = descriptors.window_vectors(grids, grid=4, scales=((2, 1),))
-    return found.select("image_key", "window_no", F.array_join(F.transform("vec", lambda x: F.round(x.cast("double"), 4).cast("string")), ",").alias("vec"))
+    rows = found.select("image_key", "window_no", F.posexplode("vec").alias("dimension", "x"))
+    return rows.select("image_key", "window_no", "dimension", (F.round(F.col("x").cast("double"), 4) + F.lit(0.0)).alias("value"))
 
 
 def _strokes(spark, sf_dir):

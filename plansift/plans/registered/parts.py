@@ -125,7 +125,7 @@ def ref_position_total(spark, sf_dir):
 
 
 _TYPED_VALUES = "typed(qid, t) AS (VALUES " + ", ".join(f"({a}::BIGINT, '{b}')" for a, b in TYPED) + ")"
-_NEAR = f"""{_LOOKUP}, {_TYPED_VALUES}, keys AS (SELECT qid, {S.norm_ref('t')} AS k FROM typed),
+_NEAREST = f"""keys AS (SELECT qid, {S.norm_ref('t')} AS k FROM typed),
 usable AS (SELECT * FROM keys WHERE length(k) >= 3 AND regexp_matches(k, '[0-9]')),
 l AS (SELECT * FROM (SELECT qid, ref_norm, ref, kind, designation, supplier_ref, row_number() OVER (PARTITION BY qid ORDER BY length(ref_norm), ref_norm, part_id) AS pos
  FROM parts_v JOIN usable ON starts_with(ref_norm, k)) WHERE pos <= 24),
@@ -133,7 +133,8 @@ ph AS (SELECT * FROM (SELECT qid, ref_norm, ref, row_number() OVER (PARTITION BY
  FROM (SELECT ref_norm, arg_min(ref, image_id) AS ref FROM photos_v GROUP BY 1) JOIN usable ON starts_with(ref_norm, k)) WHERE pos <= 24),
 both_v AS (SELECT qid, 0 AS stage, pos, ref, ref_norm, kind, designation, supplier_ref FROM l UNION ALL
  SELECT qid, 1, pos, ref, ref_norm, 'part', '', '' FROM ph ANTI JOIN l USING (qid, ref_norm)),
-near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY stage, pos) AS rank FROM both_v) WHERE rank <= 8)"""
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY stage, pos) AS rank FROM both_v) WHERE rank <= NEAR_LIMIT)"""
+_NEAR = f"{_LOOKUP}, {_TYPED_VALUES}, {_NEAREST.replace('NEAR_LIMIT', '8')}"
 
 
 @registered(f"{_NEAR} SELECT qid, rank, ref, ref_norm, kind, designation, supplier_ref, photo FROM near LEFT JOIN first_photo USING (ref_norm)")
@@ -189,14 +190,14 @@ def find_ref_in_question(spark, sf_dir):
 
 
 # --------------------------------------------------------------- subject search
-_SUBJECT = f"""{question_values(PART_QUESTIONS)}, subject AS (SELECT qid, question, list_filter({S.content('question')}, lambda w: NOT {S.is_system_word('w')}) AS base FROM asked),
+_SUBJECT = f"""subject AS (SELECT qid, question, list_filter({S.content('question')}, lambda w: NOT {S.is_system_word('w')}) AS base FROM asked),
 subject_ok AS (SELECT * FROM subject WHERE len(base) > 0), {S.expand_steps('subject_ok', 'qid, question')}, understood AS (SELECT * FROM subject_ok_expanded),
 words AS (SELECT qid, unnest(base) AS phrase, 1 AS n_all, 0 AS n_any FROM understood UNION ALL SELECT qid, unnest(expanded), 0, 1 FROM understood),
 phrases AS (SELECT qid, phrase, sum(n_all) AS n_all, max(n_any) AS n_any FROM words GROUP BY 1, 2),
 single AS (SELECT qid, unnest(base) AS word, generate_subscripts(base, 1) AS i FROM understood), one AS (SELECT qid, i, word, [word] AS base FROM single),
 {S.expand_steps('one', 'qid, i, word')}"""
 _PART_FTS = _bm25([("ref", 2.0), ("designation", 1.0)], "parts_p")
-_RELEVANCE = f"""WITH {S.PARTS}, parts_p AS (SELECT part_id AS page_id, * FROM parts_v), {_SUBJECT}, {_PART_FTS},
+_RELEVANT = f"""parts_p AS (SELECT part_id AS page_id, * FROM parts_v), {_SUBJECT}, {_PART_FTS},
 st AS (SELECT qid, page_id AS part_id, all_score AS bm, (all_score, page_id) AS pos FROM scored WHERE all_score IS NOT NULL),
 wi AS (SELECT qid, page_id AS part_id, any_score AS bm, (any_score, page_id) AS pos FROM scored),
 hits AS (SELECT * FROM st UNION ALL SELECT * FROM wi ANTI JOIN st USING (qid)),
@@ -204,6 +205,7 @@ marks AS (SELECT h.qid, h.part_id, h.bm, h.pos, i, word, len(list_filter(expande
  FROM hits h JOIN parts_v USING (part_id) JOIN one_expanded o ON o.qid = h.qid),
 rel AS (SELECT qid, part_id, any_value(bm) AS bm, any_value(pos) AS pos, count(*) FILTER (WHERE hit) AS m, count(*) FILTER (WHERE hit AND NOT list_contains({S.strings(VOCAB.broad_words)}, word)) AS sp, count(*) AS n FROM marks GROUP BY 1, 2),
 relevant AS (SELECT *, m::DOUBLE / n + 0.5e0 * sp AS relevance FROM rel WHERE sp > 0)"""
+_RELEVANCE = f"WITH {S.PARTS}, {question_values(PART_QUESTIONS)}, {_RELEVANT}"
 
 
 @registered(f"{_RELEVANCE} SELECT qid, part_id, round(relevance, 6) AS relevance, round(bm, 6) AS bm FROM relevant")
@@ -226,9 +228,27 @@ def part_search(spark, sf_dir):
     return P.find_parts(question_table(spark, PART_QUESTIONS), *_tables(spark, sf_dir), VOCAB)
 
 
-@registered()
+# the longest common subsequence as a table of lengths, one row of it in each step of the recursion
+_FUZZY = """fz_names AS (SELECT DISTINCT lower(designation) AS name FROM parts_v WHERE length(designation) > 0),
+fz_pairs AS (SELECT qid, name, list_sort(list_distinct(list_filter(string_split(needle, ' '), lambda x: x <> ''))) AS wa, list_sort(list_distinct(list_filter(string_split(name, ' '), lambda x: x <> ''))) AS wb FROM needles, fz_names),
+fz_shared AS (SELECT *, list_filter(wa, lambda x: list_contains(wb, x)) AS sh FROM fz_pairs WHERE len(wa) > 0 AND len(wb) > 0),
+fz_texts AS (SELECT qid, name, length(array_to_string(sh, ' ')) AS c, array_to_string(list_concat(sh, list_filter(wa, lambda x: NOT list_contains(sh, x))), ' ') AS l,
+ array_to_string(list_concat(sh, list_filter(wb, lambda x: NOT list_contains(sh, x))), ' ') AS r, len(sh) > 0 AND (len(sh) = len(wa) OR len(sh) = len(wb)) AS whole FROM fz_shared),
+fz_steps AS (SELECT qid, name, 0 AS i, list_transform(range(0, length(l) + 1), lambda j: 0) AS lens FROM fz_texts WHERE NOT whole
+ UNION ALL SELECT f.qid, f.name, i + 1, list_transform(range(1, length(l) + 2), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest(lens[j], list_max(list_transform(range(1, j), lambda k: lens[k] + (l[k] = r[i + 1])::INT))) END)
+ FROM fz_steps f JOIN fz_texts t ON f.qid = t.qid AND f.name = t.name WHERE i < length(r)),
+fz_common AS (SELECT qid, name, lens[-1] AS common FROM fz_steps JOIN fz_texts USING (qid, name) WHERE i = length(r)),
+fz_similar AS (SELECT qid, name, CASE WHEN whole THEN 100.0e0 ELSE greatest(200.0e0 * common / (length(l) + length(r)), 200.0e0 * c / (c + length(l)), 200.0e0 * c / (c + length(r))) END AS similarity
+ FROM fz_texts LEFT JOIN fz_common USING (qid, name)),
+fuzzy AS (SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, part_id) AS rank, part_id, similarity
+ FROM fz_similar JOIN parts_v ON lower(designation) = name WHERE similarity >= 72) WHERE rank <= FUZZY_LIMIT)"""
+NEEDLES = {1: "smal rnig", 2: "anvil blu", 3: "plate new 12mm", 4: "gizmoo"}
+
+
+@registered(f"""WITH RECURSIVE {S.PARTS}, {question_values(NEEDLES)}, needles AS (SELECT qid, question AS needle FROM asked), {_FUZZY.replace("FUZZY_LIMIT", "6")}
+SELECT qid, rank, part_id, round(similarity, 6) AS similarity FROM fuzzy""")
 def fuzzy_parts(spark, sf_dir):
-    needles = question_table(spark, {1: "smal rnig", 2: "anvil blu", 3: "plate new 12mm", 4: "gizmoo"})
+    needles = question_table(spark, NEEDLES)
     hits = P.fuzzy_parts(needles.select("qid", F.col("question").alias("needle")), standin.parts(spark, sf_dir))
     return hits.select("qid", "rank", "part_id", F.round("similarity", 6).alias("similarity"))
 
@@ -313,9 +333,23 @@ def suggestions(spark, sf_dir):
         facets.topics(top, pages, VOCAB), facets.page_facets(top), VOCAB)
 
 
-@registered()
+TYPING = {1: "143", 2: "ring", 3: "small anvil", 4: "x", 5: "19", 6: "smal rnig", 7: "anvill"}
+
+
+@registered(f"""WITH RECURSIVE {S.PARTS}, {S.PHOTOS}, {question_values(TYPING)}, typed AS (SELECT qid, question AS t FROM asked), {_NEAREST.replace("NEAR_LIMIT", "5")}, {_RELEVANT},
+needles AS (SELECT qid, array_to_string(base, ' ') AS needle FROM understood WHERE qid NOT IN (SELECT qid FROM relevant) AND len(list_filter(base, lambda w: NOT list_contains({S.strings(VOCAB.broad_words)}, w))) > 0),
+{_FUZZY.replace("FUZZY_LIMIT", "3")},
+keyed AS (SELECT qid, ref_norm, ref, -(10 * relevance - bm * 0.1e0) AS k, bm AS p, part_id FROM relevant JOIN parts_v USING (part_id)
+ UNION ALL SELECT qid, ref_norm, ref, -similarity, rank::DOUBLE, part_id FROM fuzzy JOIN parts_v USING (part_id)),
+one_each AS (SELECT qid, arg_min(ref, (k, p, part_id)) AS ref, min((k, p, part_id)) AS o FROM keyed GROUP BY qid, ref_norm),
+found AS (SELECT * FROM (SELECT qid, ref, row_number() OVER (PARTITION BY qid ORDER BY o) AS rank FROM one_each) WHERE rank <= 3),
+prompts AS (SELECT unnest({S.strings(VOCAB.prompts)}) AS prompt, unnest(range({len(VOCAB.prompts)})) AS pos),
+offers AS (SELECT qid, 0 AS stage, rank AS pos, ref AS s FROM near UNION ALL SELECT qid, 1, rank, ref FROM found
+ UNION ALL SELECT qid, 2, pos, prompt FROM typed, prompts WHERE contains(lower(prompt), lower(trim(t)))),
+uniq AS (SELECT qid, arg_min(s, (stage, pos)) AS suggestion, min((stage, pos)) AS o FROM offers JOIN typed USING (qid) WHERE length(trim(t)) >= 2 GROUP BY qid, lower(s))
+SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY o) AS rank, suggestion FROM uniq) WHERE rank <= 6""")
 def autocomplete(spark, sf_dir):
-    typed = question_table(spark, {1: "143", 2: "ring", 3: "small anvil", 4: "x", 5: "19"})
+    typed = question_table(spark, TYPING)
     parts, photos = _tables(spark, sf_dir)
     near = P.near_misses(typed.select("qid", R.norm_ref(F.col("question")).alias("key")), parts, photos, limit=5)
     found = P.find_parts(typed, parts, photos, VOCAB, limit=3)

@@ -63,6 +63,13 @@ def list_documents(spark, sf_dir):
                        F.coalesce("figure_count", F.lit(0)).alias("figure_count"))
 
 
+@registered(f"""WITH d AS (SELECT source || '-' || lang AS doc_id, source || '/' || lang || ' notes.pdf' AS filename, upper(source) AS system, count(*) AS num_pages FROM documents GROUP BY source, lang)
+SELECT doc_id, filename, system, num_pages, row_number() OVER (ORDER BY system, filename) AS position FROM d""")
+def ordered_documents(spark, sf_dir):
+    listed = ingest.with_ids(standin.documents(spark, sf_dir), ["system", "filename"], "position").orderBy("position")
+    return listed.select("doc_id", "filename", "system", "num_pages", "position")
+
+
 _COLUMNS = (("doc_id", "number"), ("text", "text"), ("lang", "text"), ("source", "text"), ("n_chars", "number"))
 
 
