@@ -19,9 +19,11 @@ ORDER = 7
 #: Branches of the trie that hold a smaller share of the corpus's symbols are cut; so an order has at most 1 / SHARE branches.
 SHARE = 2.0 ** -21
 SPACE, END = 0x20, 0x0A
-#: Bytes that no text in UTF-8 has.  One of them opens every word of a document of some class (its language); it is coded
-#: once, after the end of the document before, so a score is the probability of class and text together.
+#: Bytes that no text in UTF-8 has.  One of them opens every word of a document of some class.  The class follows from the
+#: text alone; it is coded once, after the end of the document before, then the text given the class: a two-part code.
 CLASSES = bytes([0xC0, 0xC1, *range(0xF5, 0x100)])
+#: Word hashes are counted by class in so many slots, so what tells classes apart has a fixed size.
+SLOTS = 1 << 14
 #: Documents of a slice at most (their numbers are packed together with words').
 SLICE_DOCS = 4096
 
@@ -38,6 +40,51 @@ def class_byte(name: str) -> Column:
     return F.when(F.col(name).isNull(), F.lit(SPACE)).otherwise(F.element_at(F.array(*[F.lit(b) for b in CLASSES]), at + 1))
 
 
+@dataclass(frozen=True)
+class Classes:
+    """Naive Bayes over the words of a text: ``opening`` bytes, their prior and by slot the logarithms of word shares."""
+    opening: np.ndarray
+    prior: np.ndarray
+    logs: np.ndarray
+
+    def of(self, words: Words) -> np.ndarray:
+        """Class byte of each document; without words, that of the likeliest class."""
+        slot = (words.hash % np.uint64(self.logs.shape[1])).astype(np.int64)
+        fit = np.array([p + np.bincount(words.doc, log[slot], len(words.count)) for p, log in zip(self.prior, self.logs)])
+        return self.opening[fit.argmax(0)]
+
+
+ONE_CLASS = Classes(np.array([SPACE], np.uint8), np.zeros(1), np.zeros((1, 1)))
+
+
+def learn_classes(rows: DataFrame, slots: int = SLOTS) -> Classes:
+    """Classes of the texts in column body by their class bytes in column opening; all texts are counted.
+
+    At most (classes x slots) sums come to the driver.
+    """
+    def run(batches):
+        total = np.zeros(256 * slots, np.int64)
+        for batch in batches:
+            texts, opening = texts_of(batch.column(0)), batch.column(1).to_numpy()
+            for a, b in slices(texts):
+                words = Words(texts[a:b], lower=True)
+                slot = (words.hash % np.uint64(slots)).astype(np.int64)
+                total += np.bincount(opening[a:b][words.doc].astype(np.int64) * slots + slot, minlength=256 * slots)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    got = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(256 * slots)
+    counts[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    counts = counts.reshape(256, slots)
+    opening = np.flatnonzero(counts.any(axis=1))
+    if not len(opening):
+        return ONE_CLASS
+    counts = counts[opening]
+    size = counts.sum(axis=1)
+    return Classes(opening.astype(np.uint8), np.log(size / size.sum()), np.log((counts + 0.5) / (size[:, None] + 0.5 * slots)))
+
+
 def unique_words(words: Words, opening: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first place, inverse) of the different words of each class; ``opening``: a document's class byte."""
     both = mix(words.hash + opening[words.doc].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -160,17 +207,18 @@ class Trie:
         return out
 
 
-def count_symbols(rows: DataFrame, order: int, buckets: int) -> DataFrame:
-    """(code, n): how often each symbol follows each context of ``order`` bytes in the training texts (body, opening)."""
+def count_symbols(rows: DataFrame, classes: Classes, order: int, buckets: int) -> DataFrame:
+    """(code, n): how often each symbol follows each context of ``order`` bytes in the training texts (body)."""
     def run(batches):
         codes, counts, held = [], [], 0
         for batch in batches:
-            texts, opening = texts_of(batch.column(0)), batch.column(1).to_numpy()
+            texts = texts_of(batch.column(0))
             for a, b in _slices(texts):
                 words = Words(texts[a:b], lower=True)
-                first, inverse = unique_words(words, opening[a:b])
-                code, word = symbol_codes(words, first, opening[a:b], order)
-                ends = ends_of(opening[a:b]) & np.uint64((1 << (8 * order + 8)) - 1)
+                opening = classes.of(words)
+                first, inverse = unique_words(words, opening)
+                code, word = symbol_codes(words, first, opening, order)
+                ends = ends_of(opening) & np.uint64((1 << (8 * order + 8)) - 1)
                 n = np.bincount(inverse, minlength=len(first))
                 code, n = _summed(np.append(code, ends), np.append(n[word], np.ones(len(ends), np.int64)))
                 codes.append(code)
@@ -197,9 +245,9 @@ def count_symbols(rows: DataFrame, order: int, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, codes binary, counts binary").groupBy("bucket").applyInArrow(add, "code long, n long")
 
 
-def learn(rows: DataFrame, order: int = ORDER, share: float = SHARE, buckets: int = 8) -> Trie:
-    """Trie of the texts in column body, with class bytes in column opening.  All texts are counted; branches under ``share`` of all symbols are cut."""
-    now = stage(count_symbols(rows, order, buckets), "symbols")
+def learn(rows: DataFrame, classes: Classes = ONE_CLASS, order: int = ORDER, share: float = SHARE, buckets: int = 8) -> Trie:
+    """Trie of the texts in column body.  All texts are counted; branches under ``share`` of all symbols are cut."""
+    now = stage(count_symbols(rows, classes, order, buckets), "symbols")
     total = now.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(2, int(np.ceil(total * share)))
     levels = []
@@ -223,11 +271,13 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     Null and empty texts are their end alone.  Rows without id are learned
-    from.  Repeated rows count as often as they come and get equal scores.
-    ``by``: column of classes whose words are told apart at their start.
+    from.  Repeated rows count as often as they come.
+    ``by``: column of the training rows that names classes, whose words are
+    then told apart at their start; every text's own class, in training and
+    scoring, is inferred from its words, so equal texts get equal scores.
 
-    Three passes: one counts symbols for the trie, one scores every text by it
-    and deals the words, as hashes with their documents, to buckets that know
+    Passes: one counts words by class, one symbols for the trie, one scores
+    every text by it and deals the words, as hashes with their documents, to buckets that know
     all of a word's counts, from where each slice of documents gets back sums.
     Neither the vocabulary nor any text is sent to the driver or broadcast.
     """
@@ -236,21 +286,24 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds
                        (class_byte(by) if by else F.lit(SPACE)).alias("opening"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    trie = learn(rows.filter("learns").select("body", "opening"), order, share, buckets)
+    taught = rows.filter("learns").select("body", "opening")
+    classes = learn_classes(taught) if by else ONE_CLASS
+    trie = learn(taught.select("body"), classes, order, share, buckets)
     model = docs.sparkSession.sparkContext.broadcast(trie)  # at most (order + 1) / share branches
     kind = dict(rows.dtypes)["doc_id"]
 
     def deal(batches):
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts, opening = texts_of(batch.column(2)), batch.column(3).to_numpy()
+            texts = texts_of(batch.column(2))
             learns = batch.column(1).to_numpy(zero_copy_only=False)
             for a, b in _slices(texts):
                 words = Words(texts[a:b], lower=True)
+                opening = classes.of(words)
                 hashes, inverse = np.unique(words.hash, return_inverse=True)
-                distinct, place = unique_words(words, opening[a:b])
-                code, word = symbol_codes(words, distinct, opening[a:b], order)
-                code, back = np.unique(np.append(code, ends_of(opening[a:b])), return_inverse=True)
+                distinct, place = unique_words(words, opening)
+                code, word = symbol_codes(words, distinct, opening, order)
+                code, back = np.unique(np.append(code, ends_of(opening)), return_inverse=True)
                 value = model.value.log10(code)[back]
                 score = value[len(word):].reshape(2, -1).sum(0)
                 value = np.bincount(word, value[:len(word)], len(distinct))
@@ -296,7 +349,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds
         kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["slice", "who", "logs", "known", "words"])
 
-    postings = rows.select("doc_id", "learns", "body", "opening").mapInArrow(deal, _POSTINGS)
+    postings = rows.select("doc_id", "learns", "body").mapInArrow(deal, _POSTINGS)
     sums = postings.groupBy("bucket").applyInArrow(count, "slice string, who binary, logs binary, known binary, words long")
     parts = F.pmod(F.xxhash64("slice"), F.lit(buckets)).cast("int")
 

@@ -18,14 +18,36 @@ def opening_of(lang):
     return b" " if lang is None else L.CLASSES[(zlib.crc32(lang.encode()) >> 16) % len(L.CLASSES):][:1]
 
 
+class SlowClasses:
+    """Classes by word counts in dictionaries."""
+
+    def __init__(self, texts):
+        self.counts, self.size = defaultdict(Counter), Counter()
+        for text, lang in texts:
+            for slot in self.slots(text):
+                self.counts[opening_of(lang)][slot] += 1
+                self.size[opening_of(lang)] += 1
+
+    def slots(self, text):
+        return [int(h) % L.SLOTS for h in Words([(text or "").encode()], lower=True).hash]
+
+    def of(self, text):
+        if not self.size:
+            return b" "
+        fit = {c: log10(n / self.size.total()) + sum(log10((self.counts[c][s] + 0.5) / (n + 0.5 * L.SLOTS)) for s in self.slots(text))
+               for c, n in sorted(self.size.items())}
+        return max(fit, key=fit.get)
+
+
 class SlowTrie:
     """The same model in dictionaries, symbol by symbol."""
 
     def __init__(self, texts, order, share):
+        self.classes = SlowClasses(texts)
         self.order, self.counts = order, [defaultdict(Counter) for _ in range(order + 1)]
         for text, lang in texts:
             for w in [0, *words_of(text), None]:
-                for context, symbol in self.symbols(w, opening_of(lang)):
+                for context, symbol in self.symbols(w, self.classes.of(text)):
                     for k in range(order + 1):
                         self.counts[k][context[max(0, len(context) - k):] if k else b""][symbol] += 1
         total = sum(self.counts[0][b""].values())
@@ -56,8 +78,8 @@ class SlowTrie:
             excluded |= set(kept)
         return out - log10(256 - len(excluded))
 
-    def text(self, text, lang):
-        return sum(self.log10(c, s) for w in [0, *words_of(text), None] for c, s in self.symbols(w, opening_of(lang)))
+    def text(self, text):
+        return sum(self.log10(c, s) for w in [0, *words_of(text), None] for c, s in self.symbols(w, self.classes.of(text)))
 
 
 def slow_base(rows):
@@ -86,7 +108,7 @@ def compare(got, rows, order, share):
     for g in got:
         scores[g[0]].append(g[6])
     for d, t, lang in rows:
-        want = slow.text(t, lang)
+        want = slow.text(t)
         assert min(abs(s - want) for s in scores[d]) < 1e-6 * max(1, abs(want))
 
 
@@ -113,7 +135,7 @@ def test_equals_slow_model(spark, documents, texts, order, share):
 
 
 def test_probabilities_add_up(spark, documents, texts):
-    docs = documents([(d, t[:2000], "en", "s") for d, t in texts[:100]]).selectExpr("text AS body", "32 AS opening")
+    docs = documents([(d, t[:2000], "en", "s") for d, t in texts[:100]]).selectExpr("text AS body")
     trie = L.learn(docs, share=0.0005)
     for context in (b" ", b" th", b"nd", b"xqzzk", b"\x00\x00\x00\x00 ", b" thaaaa"):
         code = int.from_bytes(context[-7:], "big") << 8
@@ -121,6 +143,16 @@ def test_probabilities_add_up(spark, documents, texts):
         assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
 
 
+def test_classes_follow_the_text_alone(spark, documents, texts):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").selectExpr("text AS body", "lang")
+    classes = L.learn_classes(rows.select("body", L.class_byte("lang").alias("opening")))
+    some = [r for r in rows.limit(1500).collect() if len(words_of(r.body)) >= 20]
+    got = [bytes([classes.of(Words([r.body.encode()], lower=True))[0]]) for r in some]
+    assert sum(g == opening_of(r.lang) for g, r in zip(got, some)) >= 0.95 * len(some)
+    pair = documents([(1011, texts[0][1], "en", "s"), (1011, texts[0][1], "de", "s"), *((d, t[:500], "de", "s") for d, t in texts[1:20])])
+    assert len({r.score for r in L.score_texts(pair).collect() if r.doc_id == 1011}) == 1
+
+
 def test_codes():
     words = Words([b"ab  C", b"abcdefghij"], lower=True)
     code, word = L.symbol_codes(words, np.array([0, 1, 2]), np.array([32, 32]), 5)
