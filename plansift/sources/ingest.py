@@ -121,9 +121,9 @@ def parts_from_cells(cells: DataFrame) -> DataFrame:
 
 
 def photos_from_files(files: DataFrame) -> DataFrame:
-    """``path, ref, ref_norm``: a photo's reference is its file stem in capitals."""
+    """``path, ref, ref_norm``: a photo's reference is its file stem in capitals; file contents are not read."""
     stem = F.upper(F.trim(F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1)))
-    return files.withColumn("ref", stem).withColumn("ref_norm", R.norm_ref(F.col("ref")))
+    return files.select("path", stem.alias("ref")).withColumn("ref_norm", R.norm_ref(F.col("ref")))
 
 
 # --------------------------------------------------------------------- ids, documents
