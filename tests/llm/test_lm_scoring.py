@@ -46,8 +46,9 @@ class SlowTrie:
         self.classes = SlowClasses(texts)
         self.order, self.counts = order, [defaultdict(Counter) for _ in range(order + 1)]
         for text, lang in texts:
+            opening = self.classes.of(text)
             for w in [0, *words_of(text), None]:
-                for context, symbol in self.symbols(w, self.classes.of(text)):
+                for context, symbol in self.symbols(w, opening):
                     for k in range(order + 1):
                         self.counts[k][context[max(0, len(context) - k):] if k else b""][symbol] += 1
         total = sum(self.counts[0][b""].values())
@@ -79,7 +80,8 @@ class SlowTrie:
         return out - log10(256 - len(excluded))
 
     def text(self, text):
-        return sum(self.log10(c, s) for w in [0, *words_of(text), None] for c, s in self.symbols(w, self.classes.of(text)))
+        opening = self.classes.of(text)
+        return sum(self.log10(c, s) for w in [0, *words_of(text), None] for c, s in self.symbols(w, opening))
 
 
 def slow_base(rows):
