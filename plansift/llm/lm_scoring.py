@@ -16,8 +16,11 @@ from plansift.staging import stage
 
 #: Bytes of context at most (with the symbol they make a 64-bit code); a context never reaches past the opening of its word.
 ORDER = 7
-#: Branches of the trie that hold a smaller share of the corpus's symbols are cut; so an order has at most 1 / SHARE branches.
+#: Branches of the trie that hold a smaller share of the corpus's symbols can be cut; the query cuts none.
 SHARE = 2.0 ** -21
+#: Orders below this are broadcast: over bytes they have at most 2^24 branches, whatever is read.  Longer contexts are dealt
+#: to buckets by their last ``LOW`` bytes, so a bucket has all branches of its contexts.
+LOW = 3
 SPACE, END = 0x20, 0x0A
 #: Bytes that no text in UTF-8 has.  One of them opens every word of a document of some class.  The class follows from the
 #: text alone; it is coded once, after the end of the document before, then the text given the class: a two-part code.
@@ -157,9 +160,10 @@ class Trie:
     context all bytes left are equally likely.
     """
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        """``levels`` by order from 0: sorted codes and counts of branches kept, sorted contexts and their totals."""
-        self.levels = []
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], least: int = 1):
+        """``levels`` by order from 0: sorted codes and counts of branches kept, sorted contexts and their totals; branches and
+        contexts under ``least`` were cut."""
+        self.levels, self.least = [], least
         for order, (code, count, context, total) in enumerate(levels):
             at, _ = _find(context, code >> np.uint64(8))
             size = len(context)
@@ -174,6 +178,16 @@ class Trie:
                 level.above = np.zeros(size)
             self.levels.append(level)
 
+    def deepened(self, order: int, code: np.ndarray, count: np.ndarray) -> Trie:
+        """This trie with longer contexts up to ``order``, from all ``code`` of some of these contexts and their counts."""
+        higher, counts = [], count
+        for k in range(order, len(self.levels) - 1, -1):
+            code, counts = _summed(code & np.uint64((1 << (8 * k + 8)) - 1), counts)
+            context, total = _summed(code >> np.uint64(8), counts)
+            some, large = counts >= self.least, total >= self.least
+            higher.append((code[some], counts[some].astype(np.float64), context[large], total[large].astype(np.float64)))
+        return Trie([(v.code, v.count, v.context, v.total) for v in self.levels] + higher[::-1], self.least)
+
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 of the probability of each code's symbol after its context."""
         out = np.zeros(len(codes))
@@ -207,6 +221,39 @@ class Trie:
         return out
 
 
+def text_codes(words: Words, opening: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(code, document) for each symbol of the texts, with their classes and ends."""
+    code, word = symbol_codes(words, np.arange(len(words.hash)), opening, order)
+    ends = ends_of(opening) & np.uint64((1 << (8 * order + 8)) - 1)
+    return np.append(code, ends), np.append(words.doc[word], np.tile(np.arange(len(opening)), 2))
+
+
+def code_buckets(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each code, by the last ``LOW`` bytes of its context."""
+    near = codes >> np.uint64(8) & np.uint64((1 << (8 * LOW)) - 1)
+    return (mix(near) % np.uint64(buckets)).astype(np.int64)
+
+
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Sorted codes by their bytes of each place, compressed: the upper ones come in runs."""
+    planes = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8).T)
+    return len(codes).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def unpack_codes(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = pa.Codec("zstd").decompress(data[8:], 8 * n, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view(np.uint64).reshape(n)
+
+
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def count_symbols(rows: DataFrame, classes: Classes, order: int, buckets: int) -> DataFrame:
     """(code, n): how often each symbol follows each context of ``order`` bytes in the training texts (body)."""
     def run(batches):
@@ -245,11 +292,16 @@ def count_symbols(rows: DataFrame, classes: Classes, order: int, buckets: int) -
     return rows.mapInArrow(run, "bucket int, codes binary, counts binary").groupBy("bucket").applyInArrow(add, "code long, n long")
 
 
+def least_count(total: int, share: float) -> int:
+    """Smallest count of a branch that stays: 1 for a ``share`` of zero."""
+    return max(2, int(np.ceil(total * share))) if share else 1
+
+
 def learn(rows: DataFrame, classes: Classes = ONE_CLASS, order: int = ORDER, share: float = SHARE, buckets: int = 8) -> Trie:
     """Trie of the texts in column body.  All texts are counted; branches under ``share`` of all symbols are cut."""
     now = stage(count_symbols(rows, classes, order, buckets), "symbols")
     total = now.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(2, int(np.ceil(total * share)))
+    least = least_count(total, share)
     levels = []
     for k in range(order, -1, -1):
         if k < order:
@@ -261,10 +313,23 @@ def learn(rows: DataFrame, classes: Classes = ONE_CLASS, order: int = ORDER, sha
             by = np.argsort(code)
             pair += [code[by], n[by]]
         levels.append(tuple(pair))
-    return Trie(levels[::-1])
+    return Trie(levels[::-1], least)
 
 
-_POSTINGS = "bucket int, slice string, learns binary, hashes binary, at binary, times binary, who binary"
+_POSTINGS = ("bucket int, slice string, learns binary, hashes binary, at binary, times binary, codes binary, code_at binary, "
+             "code_times binary, who binary")
+
+
+def dealt(kinds: np.ndarray, bucket: np.ndarray, inverse: np.ndarray, doc: np.ndarray, docs: int, buckets: int) -> list[tuple]:
+    """By bucket: kinds (sorted), and packed places (kind * docs + doc) and running times of what ``inverse`` lists."""
+    by = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    pairs, times = np.unique(rank[inverse] * docs + doc, return_counts=True)
+    first = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    cut = np.searchsorted(pairs, first * docs)
+    return [(kinds[by[first[k]:first[k + 1]]], pack_steps(pairs[cut[k]:cut[k + 1]] - first[k] * docs),
+             pack_steps(np.cumsum(times[cut[k]:cut[k + 1]]))) for k in range(buckets)]
 
 
 def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds: int = 5, by: str | None = "lang") -> DataFrame:
@@ -276,10 +341,11 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds
     then told apart at their start; every text's own class, in training and
     scoring, is inferred from its words, so equal texts get equal scores.
 
-    Passes: one counts words by class, one symbols for the trie, one scores
-    every text by it and deals the words, as hashes with their documents, to buckets that know
-    all of a word's counts, from where each slice of documents gets back sums.
-    Neither the vocabulary nor any text is sent to the driver or broadcast.
+    Passes: one counts words by class, one symbols after contexts under
+    ``LOW`` bytes, one deals words, as hashes, and all symbol codes with their
+    documents to buckets that know all counts of a word and of a context, from
+    where each slice of documents gets back sums.  No vocabulary, longer
+    context or text is sent to the driver or broadcast.
     """
     train = F.coalesce(held_out_fold("doc_id", folds) != 1, F.lit(True))
     rows = docs.select(F.col("doc_id"), train.alias("learns"), F.coalesce(F.col("text"), F.lit("")).alias("body"),
@@ -288,8 +354,8 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     taught = rows.filter("learns").select("body", "opening")
     classes = learn_classes(taught) if by else ONE_CLASS
-    trie = learn(taught.select("body"), classes, order, share, buckets)
-    model = docs.sparkSession.sparkContext.broadcast(trie)  # at most (order + 1) / share branches
+    trie = learn(taught.select("body"), classes, min(order, LOW - 1), share, buckets)
+    model = docs.sparkSession.sparkContext.broadcast(trie)  # orders under LOW
     kind = dict(rows.dtypes)["doc_id"]
 
     def deal(batches):
@@ -300,34 +366,48 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds
             for a, b in _slices(texts):
                 words = Words(texts[a:b], lower=True)
                 opening = classes.of(words)
-                hashes, inverse = np.unique(words.hash, return_inverse=True)
-                distinct, place = unique_words(words, opening)
-                code, word = symbol_codes(words, distinct, opening, order)
-                code, back = np.unique(np.append(code, ends_of(opening)), return_inverse=True)
-                value = model.value.log10(code)[back]
-                score = value[len(word):].reshape(2, -1).sum(0)
-                value = np.bincount(word, value[:len(word)], len(distinct))
-                score += np.bincount(words.doc, value[place], b - a)
+                n = b - a
                 sink = pa.BufferOutputStream()
-                who = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(~learns[a:b]), pa.array(words.count + 1),
-                                                  pa.array(score)], names=["doc_id", "held_out", "n_tokens", "score"])
+                who = pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(~learns[a:b]), pa.array(words.count + 1)],
+                                                 names=["doc_id", "held_out", "n_tokens"])
                 with pa.ipc.new_stream(sink, who.schema) as writer:
                     writer.write_batch(who)
-                pairs, times = np.unique(inverse * (b - a) + words.doc, return_counts=True)
-                owner = pairs // (b - a)
+                hashes, inverse = np.unique(words.hash, return_inverse=True)
                 bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                some = dealt(hashes, bucket, inverse, words.doc, n, buckets)
+                code, doc = text_codes(words, opening, order)
+                code, inverse = np.unique(code, return_inverse=True)
+                more = dealt(code, code_buckets(code, buckets), inverse, doc, n, buckets)
                 out = []
-                for k in np.unique(bucket).tolist() or [0]:
-                    own = np.flatnonzero(bucket == k)
-                    some = np.flatnonzero(bucket[owner] == k)
-                    at = np.searchsorted(own, owner[some]) * (b - a) + pairs[some] % (b - a)
-                    out.append((k, f"{task}/{number}", learns[a:b].tobytes(), hashes[own].tobytes(), pack_steps(at),
-                                pack_steps(np.cumsum(times[some])), b"" if out else sink.getvalue().to_pybytes()))
+                for k in range(buckets):
+                    if len(some[k][0]) or len(more[k][0]):
+                        out.append((k, f"{task}/{number}", learns[a:b].tobytes(), some[k][0].tobytes(), *some[k][1:], pack_codes(more[k][0]),
+                                    squeeze(more[k][1]), squeeze(more[k][2]), b"" if out else sink.getvalue().to_pybytes()))
                 number += 1
-                kinds = [pa.int32(), pa.string()] + [pa.binary()] * 5
+                kinds = [pa.int32(), pa.string()] + [pa.binary()] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                                                  names=[c.split()[0] for c in _POSTINGS.split(", ")])
 
+    def code_sums(rows):
+        """Sums of the symbols' logarithms by document, for each row; one row's postings are unpacked at a time."""
+        codes = [unpack_codes(r["codes"]) for r in rows]
+        kinds, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+        places = np.split(inverse.astype(np.int32), np.cumsum([len(c) for c in codes])[:-1])
+        counts = np.zeros(len(kinds), np.int64)
+
+        def unpacked(r):
+            learns, at = np.frombuffer(r["learns"], bool), unpack_steps(unsqueeze(r["code_at"]))
+            return learns, at // len(learns), at % len(learns), np.diff(unpack_steps(unsqueeze(r["code_times"])), prepend=0)
+
+        for r, place in zip(rows, places):
+            learns, which, doc, times = unpacked(r)
+            counts[place] += np.bincount(which, times * learns[doc], len(place)).astype(np.int64)  # a row has a code once
+        seen = counts > 0
+        values = model.value.deepened(order, kinds[seen], counts[seen]).log10(kinds)
+        for r, place in zip(rows, places):
+            learns, which, doc, times = unpacked(r)
+            yield np.bincount(doc, times * values[place[which]], len(learns))
+
     def count(key, bucket):
         rows, parts, seen = bucket.to_pylist(), [], 0
         for r in rows:
@@ -341,23 +421,26 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds
         for word, doc, times, learns in parts:
             counts += np.bincount(inverse[word], times * learns[doc], len(kinds))
         logs, out = np.log10(counts + 0.5), []
-        for i, (r, (word, doc, times, learns)) in enumerate(zip(rows, parts)):
+        for i, (r, (word, doc, times, learns), score) in enumerate(zip(rows, parts, code_sums(rows))):
             c = inverse[word]
-            out.append((r["slice"], r["who"], np.bincount(doc, times * logs[c], len(learns)).tobytes(),
+            out.append((r["bucket"], r["slice"], r["who"], score.tobytes(), np.bincount(doc, times * logs[c], len(learns)).tobytes(),
                         np.bincount(doc, times * (counts[c] > 0), len(learns)).astype(np.uint32).tobytes(),
                         int((counts > 0).sum()) if i == 0 else 0))
-        kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["slice", "who", "logs", "known", "words"])
+        kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
+                        names=["bucket", "slice", "who", "score", "logs", "known", "words"])
 
     postings = rows.select("doc_id", "learns", "body").mapInArrow(deal, _POSTINGS)
-    sums = postings.groupBy("bucket").applyInArrow(count, "slice string, who binary, logs binary, known binary, words long")
+    sums = postings.groupBy("bucket").applyInArrow(
+        count, "bucket int, slice string, who binary, score binary, logs binary, known binary, words long")
     parts = F.pmod(F.xxhash64("slice"), F.lit(buckets)).cast("int")
 
     def gather(key, rows):
         by, out = {}, []
-        for r in rows.to_pylist():
-            s = by.setdefault(r["slice"], {"who": b"", "logs": 0, "known": 0, "words": 0})
+        for r in rows.sort_by("bucket").to_pylist():  # equal texts get sums in the same order
+            s = by.setdefault(r["slice"], {"who": b"", "score": 0, "logs": 0, "known": 0, "words": 0})
             s["who"] = r["who"] or s["who"]
+            s["score"] = s["score"] + np.frombuffer(r["score"], np.float64)
             s["logs"] = s["logs"] + np.frombuffer(r["logs"], np.float64)
             s["known"] = s["known"] + np.frombuffer(r["known"], np.uint32).astype(np.int64)
             s["words"] += r["words"]
@@ -365,8 +448,8 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds
             who = pa.ipc.open_stream(s["who"]).read_all().combine_chunks()
             words = np.zeros(len(who), np.int64)
             words[:1] = s["words"]
-            out.append(who.append_column("logs", pa.array(s["logs"])).append_column("known", pa.array(s["known"]))
-                       .append_column("words", pa.array(words)))
+            out.append(who.append_column("score", pa.array(s["score"])).append_column("logs", pa.array(s["logs"]))
+                       .append_column("known", pa.array(s["known"])).append_column("words", pa.array(words)))
         return pa.concat_tables(out)
 
     done = sums.withColumn("part", parts).groupBy("part").applyInArrow(
@@ -382,4 +465,4 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds
 
 
 def op10_lm_scoring(spark, sf_dir):
-    return score_texts(table(spark, sf_dir, "documents"))
+    return score_texts(table(spark, sf_dir, "documents"), share=0)

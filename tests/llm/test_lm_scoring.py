@@ -167,3 +167,22 @@ def test_edges(documents, edge_rows):
     compare(L.score_texts(documents(rows)).collect(), [r[:3] for r in rows], L.ORDER, L.SHARE)
     assert L.score_texts(documents([])).count() == 0
     assert L.score_texts(documents(edge_rows[:2])).count() == 2
+
+
+class WholeTrie(SlowTrie):
+    """The model with every branch that was counted."""
+
+    def __init__(self, texts, order):
+        super().__init__(texts, order, 0)
+        self.kept = [{c: dict(n) for c, n in level.items()} for level in self.counts]
+        self.total = [{c: sum(n.values()) for c, n in level.items()} for level in self.counts]
+
+
+def test_no_context_is_cut(spark, documents, texts, monkeypatch):
+    """Scores of the query's model follow from all counted contexts, also those seen once."""
+    rows = [(d, t[:300], ("en", "de", None)[d % 3], "s") for d, t in texts[:60]]
+    monkeypatch.setattr(L, "table", lambda *_: documents(rows).repartition(3))
+    got = {r.doc_id: r.score for r in L.op10_lm_scoring(spark, "").collect()}
+    slow = WholeTrie([(t, lang) for d, t, lang, _ in rows if zlib.crc32(str(d).encode()) % 5 != 1], L.ORDER)
+    for d, t, *_ in rows:
+        assert abs(got[d] - slow.text(t)) < 1e-6 * abs(slow.text(t))
