@@ -14,7 +14,7 @@ from plansift.llm.classifier import held_out_fold
 from plansift.llm.substrings import BUCKET_BYTES, pack_steps, unpack_steps
 from plansift.staging import stage
 
-#: Bytes of context at most (with the symbol they make a 64-bit code); a context never reaches past the opening of its word.
+#: Bytes of context at most (with the symbol they make a 64-bit code).
 ORDER = 7
 #: Branches of the trie that hold a smaller share of the corpus's symbols can be cut; the query cuts none.
 SHARE = 2.0 ** -21
@@ -221,11 +221,39 @@ class Trie:
         return out
 
 
-def text_codes(words: Words, opening: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """(code, document) for each symbol of the texts, with their classes and ends."""
-    code, word = symbol_codes(words, np.arange(len(words.hash)), opening, order)
-    ends = ends_of(opening) & np.uint64((1 << (8 * order + 8)) - 1)
-    return np.append(code, ends), np.append(words.doc[word], np.tile(np.arange(len(opening)), 2))
+def text_codes(words: Words, opening: np.ndarray, order: int = ORDER, across: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(code, document) for each symbol of the texts, with their classes and ends.
+
+    ``across``: contexts run over the words before, back to the end of the
+    document before; there the class byte stands for each space passed.
+    Otherwise they stop at the opening of the word.
+    """
+    if not across:
+        code, word = symbol_codes(words, np.arange(len(words.hash)), opening, order)
+        ends = ends_of(opening) & np.uint64((1 << (8 * order + 8)) - 1)
+        return np.append(code, ends), np.append(words.doc[word], np.tile(np.arange(len(opening)), 2))
+    docs = len(opening)
+    length = words.end - words.start
+    size = np.bincount(words.doc, length + 1, docs).astype(np.int64)
+    stride = size + order + 2  # zeros and the end before, the class, words with the space after each, the end
+    first = np.cumsum(stride) - stride
+    data = np.zeros(int(stride.sum()), np.uint8)
+    is_symbol = np.ones(len(data), bool)
+    is_symbol[(first[:, None] + np.arange(order)).ravel()] = False
+    if order:
+        data[first + order - 1] = END
+    data[first + order], data[first + stride - 1] = opening, END
+    run = np.cumsum(length + 1) - length - 1
+    start = run + (first + order + 1 - (np.cumsum(size) - size))[words.doc]
+    within = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    data[np.repeat(start, length) + within] = np.frombuffer(words.data, np.uint8)[np.repeat(words.start, length) + within]
+    data[start + length] = opening[words.doc]
+    symbol = data.copy()
+    symbol[start + length] = SPACE
+    code = symbol.astype(np.uint64)
+    for t in range(1, order + 1):
+        code[t:] |= data[:-t].astype(np.uint64) << np.uint64(8 * t)
+    return code[is_symbol], np.repeat(np.arange(docs), size + 2)
 
 
 def code_buckets(codes: np.ndarray, buckets: int) -> np.ndarray:
@@ -254,7 +282,7 @@ def unsqueeze(data: bytes) -> bytes:
     return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
 
 
-def count_symbols(rows: DataFrame, classes: Classes, order: int, buckets: int) -> DataFrame:
+def count_symbols(rows: DataFrame, classes: Classes, order: int, buckets: int, across: bool = False) -> DataFrame:
     """(code, n): how often each symbol follows each context of ``order`` bytes in the training texts (body)."""
     def run(batches):
         codes, counts, held = [], [], 0
@@ -263,11 +291,14 @@ def count_symbols(rows: DataFrame, classes: Classes, order: int, buckets: int) -
             for a, b in _slices(texts):
                 words = Words(texts[a:b], lower=True)
                 opening = classes.of(words)
-                first, inverse = unique_words(words, opening)
-                code, word = symbol_codes(words, first, opening, order)
-                ends = ends_of(opening) & np.uint64((1 << (8 * order + 8)) - 1)
-                n = np.bincount(inverse, minlength=len(first))
-                code, n = _summed(np.append(code, ends), np.append(n[word], np.ones(len(ends), np.int64)))
+                if across:
+                    code, n = np.unique(text_codes(words, opening, order)[0], return_counts=True)
+                else:
+                    first, inverse = unique_words(words, opening)
+                    code, word = symbol_codes(words, first, opening, order)
+                    ends = ends_of(opening) & np.uint64((1 << (8 * order + 8)) - 1)
+                    n = np.bincount(inverse, minlength=len(first))
+                    code, n = _summed(np.append(code, ends), np.append(n[word], np.ones(len(ends), np.int64)))
                 codes.append(code)
                 counts.append(n)
                 held += len(code)
@@ -297,9 +328,10 @@ def least_count(total: int, share: float) -> int:
     return max(2, int(np.ceil(total * share))) if share else 1
 
 
-def learn(rows: DataFrame, classes: Classes = ONE_CLASS, order: int = ORDER, share: float = SHARE, buckets: int = 8) -> Trie:
+def learn(rows: DataFrame, classes: Classes = ONE_CLASS, order: int = ORDER, share: float = SHARE, buckets: int = 8,
+          across: bool = False) -> Trie:
     """Trie of the texts in column body.  All texts are counted; branches under ``share`` of all symbols are cut."""
-    now = stage(count_symbols(rows, classes, order, buckets), "symbols")
+    now = stage(count_symbols(rows, classes, order, buckets, across), "symbols")
     total = now.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = least_count(total, share)
     levels = []
@@ -332,7 +364,8 @@ def dealt(kinds: np.ndarray, bucket: np.ndarray, inverse: np.ndarray, doc: np.nd
              pack_steps(np.cumsum(times[cut[k]:cut[k + 1]]))) for k in range(buckets)]
 
 
-def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds: int = 5, by: str | None = "lang") -> DataFrame:
+def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds: int = 5, by: str | None = "lang",
+                across: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     Null and empty texts are their end alone.  Rows without id are learned
@@ -340,6 +373,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds
     ``by``: column of the training rows that names classes, whose words are
     then told apart at their start; every text's own class, in training and
     scoring, is inferred from its words, so equal texts get equal scores.
+    ``across``: contexts run over the words before, else over the own word.
 
     Passes: one counts words by class, one symbols after contexts under
     ``LOW`` bytes, one deals words, as hashes, and all symbol codes with their
@@ -354,7 +388,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     taught = rows.filter("learns").select("body", "opening")
     classes = learn_classes(taught) if by else ONE_CLASS
-    trie = learn(taught.select("body"), classes, min(order, LOW - 1), share, buckets)
+    trie = learn(taught.select("body"), classes, min(order, LOW - 1), share, buckets, across)
     model = docs.sparkSession.sparkContext.broadcast(trie)  # orders under LOW
     kind = dict(rows.dtypes)["doc_id"]
 
@@ -375,7 +409,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds
                 hashes, inverse = np.unique(words.hash, return_inverse=True)
                 bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 some = dealt(hashes, bucket, inverse, words.doc, n, buckets)
-                code, doc = text_codes(words, opening, order)
+                code, doc = text_codes(words, opening, order, across)
                 code, inverse = np.unique(code, return_inverse=True)
                 more = dealt(code, code_buckets(code, buckets), inverse, doc, n, buckets)
                 out = []
@@ -465,4 +499,4 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds
 
 
 def op10_lm_scoring(spark, sf_dir):
-    return score_texts(table(spark, sf_dir, "documents"), share=0)
+    return score_texts(table(spark, sf_dir, "documents"), share=0, across=True)

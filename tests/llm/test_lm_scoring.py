@@ -170,13 +170,28 @@ def test_edges(documents, edge_rows):
 
 
 class WholeTrie(SlowTrie):
-    """The model with every branch that was counted."""
+    """The model with every branch that was counted, over contexts that run across words."""
 
     def __init__(self, texts, order):
-        super().__init__(texts, order, 0)
+        self.classes = SlowClasses(texts)
+        self.order, self.counts = order, [defaultdict(Counter) for _ in range(order + 1)]
+        for text, _ in texts:
+            for context, symbol in self.stream(text):
+                for k in range(order + 1):
+                    self.counts[k][context[max(0, len(context) - k):] if k else b""][symbol] += 1
         self.kept = [{c: dict(n) for c, n in level.items()} for level in self.counts]
         self.total = [{c: sum(n.values()) for c, n in level.items()} for level in self.counts]
 
+    def stream(self, text):
+        opening = self.classes.of(text)
+        symbols = opening + b"".join(w.encode() + b" " for w in words_of(text)) + b"\n"
+        data = b"\n" + opening + b"".join(w.encode() + opening for w in words_of(text)) + b"\n"
+        for i, s in enumerate(symbols):
+            yield data[max(0, i + 1 - self.order):i + 1], s
+
+    def text(self, text):
+        return sum(self.log10(c, s) for c, s in self.stream(text))
+
 
 def test_no_context_is_cut(spark, documents, texts, monkeypatch):
     """Scores of the query's model follow from all counted contexts, also those seen once."""
@@ -186,3 +201,16 @@ def test_no_context_is_cut(spark, documents, texts, monkeypatch):
     slow = WholeTrie([(t, lang) for d, t, lang, _ in rows if zlib.crc32(str(d).encode()) % 5 != 1], L.ORDER)
     for d, t, *_ in rows:
         assert abs(got[d] - slow.text(t)) < 1e-6 * abs(slow.text(t))
+
+
+def test_shuffled_words_score_lower(spark, documents, texts, monkeypatch):
+    rng = np.random.default_rng(6)
+    train = [(d, t, "en", "s") for d, t in texts[:400] if zlib.crc32(str(d).encode()) % 5 != 1]
+    held = [t for d, t in texts[:400] if zlib.crc32(str(d).encode()) % 5 == 1 and len(words_of(t)) >= 30][:20]
+    ids = [d for d in range(10 ** 6, 10 ** 6 + 1000) if zlib.crc32(str(d).encode()) % 5 == 1]
+    mixed = [" ".join(rng.permutation(words_of(t))) for t in held]
+    rows = train + [(ids[i], t, "en", "s") for i, t in enumerate(held)] + [(ids[100 + i], t, "en", "s") for i, t in enumerate(mixed)]
+    monkeypatch.setattr(L, "table", lambda *_: documents(rows).repartition(3))
+    got = {r.doc_id: r.score for r in L.op10_lm_scoring(spark, "").collect()}
+    gains = [got[ids[i]] - got[ids[100 + i]] for i in range(len(held))]
+    assert len(held) == 20 and sum(g > 0 for g in gains) >= 18 and sum(gains) > 0
