@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plansift.llm.base import Words, mix, slices, table, texts_of
+from plansift.llm.base import SLICE_BYTES, Words, mix, slices, table, texts_of
 from plansift.llm.classifier import held_out_fold
 from plansift.llm.substrings import BUCKET_BYTES, pack_steps, unpack_steps
 from plansift.staging import stage
@@ -31,8 +31,12 @@ SLOTS = 1 << 14
 SLICE_DOCS = 4096
 
 
-def _slices(texts):
-    for a, b in slices(texts):
+#: Bytes of text whose different codes are asked for together.
+ASKED_BYTES = 1 << 22
+
+
+def _slices(texts, limit: int = SLICE_BYTES):
+    for a, b in slices(texts, limit):
         for i in range(a, b, SLICE_DOCS):
             yield i, min(b, i + SLICE_DOCS)
 
@@ -256,22 +260,26 @@ def text_codes(words: Words, opening: np.ndarray, order: int = ORDER, across: bo
     return code[is_symbol], np.repeat(np.arange(docs), size + 2)
 
 
-def code_buckets(codes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each code, by the last ``LOW`` bytes of its context."""
-    near = codes >> np.uint64(8) & np.uint64((1 << (8 * LOW)) - 1)
-    return (mix(near) % np.uint64(buckets)).astype(np.int64)
+def turned(codes: np.ndarray) -> np.ndarray:
+    """Codes with their bytes in another order: the last three of the context, the symbol, the others from near to far."""
+    far = (codes >> np.uint64(32)).astype(np.uint32).byteswap().astype(np.uint64)
+    return (codes >> np.uint64(8) & np.uint64(0xFFFFFF)) << np.uint64(40) | (codes & np.uint64(0xFF)) << np.uint64(32) | far
+
 
+def turned_back(codes: np.ndarray) -> np.ndarray:
+    far = codes.astype(np.uint32).byteswap().astype(np.uint64)
+    return far << np.uint64(32) | codes >> np.uint64(40) << np.uint64(8) | codes >> np.uint64(32) & np.uint64(0xFF)
 
-def pack_codes(codes: np.ndarray) -> bytes:
-    """Sorted codes by their bytes of each place, compressed: the upper ones come in runs."""
-    planes = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8).T)
-    return len(codes).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
 
+def asked(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(kinds, inverse, by, first): different codes, turned; their order by bucket, and where each bucket starts in it.
 
-def unpack_codes(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = pa.Codec("zstd").decompress(data[8:], 8 * n, asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view(np.uint64).reshape(n)
+    A bucket goes by the last ``LOW`` bytes of the context.
+    """
+    kinds, inverse = np.unique(turned(codes), return_inverse=True)
+    bucket = (mix(kinds >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    return kinds, inverse, by, np.searchsorted(bucket[by], np.arange(buckets + 1))
 
 
 def squeeze(data: bytes) -> bytes:
@@ -282,6 +290,26 @@ def unsqueeze(data: bytes) -> bytes:
     return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
 
 
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Eight-byte numbers by their bytes of each place, compressed."""
+    return squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_numbers(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(unsqueeze(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).reshape(-1)
+
+
+def pack_values(x: np.ndarray) -> list[bytes]:
+    """Numbers with many repeats: the different ones, and the place of each among them."""
+    kinds, at = np.unique(x, return_inverse=True)
+    return [pack_numbers(kinds), pack_numbers(at.astype(np.int64))]
+
+
+def unpack_values(kinds: bytes, at: bytes) -> np.ndarray:
+    return unpack_numbers(kinds, np.float64)[unpack_numbers(at, np.int64)]
+
+
 def count_symbols(rows: DataFrame, classes: Classes, order: int, buckets: int, across: bool = False) -> DataFrame:
     """(code, n): how often each symbol follows each context of ``order`` bytes in the training texts (body)."""
     def run(batches):
@@ -348,8 +376,8 @@ def learn(rows: DataFrame, classes: Classes = ONE_CLASS, order: int = ORDER, sha
     return Trie(levels[::-1], least)
 
 
-_POSTINGS = ("bucket int, slice string, learns binary, hashes binary, at binary, times binary, codes binary, code_at binary, "
-             "code_times binary, who binary")
+_POSTINGS = ("bucket int, slice string, learns binary, hashes binary, at binary, times binary, codes binary, learned binary, "
+             "who binary")
 
 
 def dealt(kinds: np.ndarray, bucket: np.ndarray, inverse: np.ndarray, doc: np.ndarray, docs: int, buckets: int) -> list[tuple]:
@@ -376,10 +404,11 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds
     ``across``: contexts run over the words before, else over the own word.
 
     Passes: one counts words by class, one symbols after contexts under
-    ``LOW`` bytes, one deals words, as hashes, and all symbol codes with their
-    documents to buckets that know all counts of a word and of a context, from
-    where each slice of documents gets back sums.  No vocabulary, longer
-    context or text is sent to the driver or broadcast.
+    ``LOW`` bytes, one deals words, as hashes with their documents, and the
+    different symbol codes of each slice of documents to buckets that know all
+    counts of a word and of a context; the slice gets back sums and each code's
+    logarithm, and meets its texts again.  No vocabulary, longer context or text
+    is sent to the driver or broadcast.
     """
     train = F.coalesce(held_out_fold("doc_id", folds) != 1, F.lit(True))
     rows = docs.select(F.col("doc_id"), train.alias("learns"), F.coalesce(F.col("text"), F.lit("")).alias("body"),
@@ -397,50 +426,47 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds
         for batch in batches:
             texts = texts_of(batch.column(2))
             learns = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b in _slices(texts):
+            for a, b in _slices(texts, ASKED_BYTES):
                 words = Words(texts[a:b], lower=True)
                 opening = classes.of(words)
                 n = b - a
                 sink = pa.BufferOutputStream()
-                who = pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(~learns[a:b]), pa.array(words.count + 1)],
-                                                 names=["doc_id", "held_out", "n_tokens"])
-                with pa.ipc.new_stream(sink, who.schema) as writer:
+                who = pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(~learns[a:b]), pa.array(words.count + 1),
+                                                  pa.array(texts[a:b], pa.large_binary()), pa.array(opening)],
+                                                 names=["doc_id", "held_out", "n_tokens", "text", "opening"])
+                with pa.ipc.new_stream(sink, who.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                     writer.write_batch(who)
                 hashes, inverse = np.unique(words.hash, return_inverse=True)
                 bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 some = dealt(hashes, bucket, inverse, words.doc, n, buckets)
                 code, doc = text_codes(words, opening, order, across)
-                code, inverse = np.unique(code, return_inverse=True)
-                more = dealt(code, code_buckets(code, buckets), inverse, doc, n, buckets)
+                code, inverse, by, first = asked(code, buckets)
+                learned = np.bincount(inverse, learns[a:b][doc], len(code)).astype(np.int64)
                 out = []
                 for k in range(buckets):
-                    if len(some[k][0]) or len(more[k][0]):
-                        out.append((k, f"{task}/{number}", learns[a:b].tobytes(), some[k][0].tobytes(), *some[k][1:], pack_codes(more[k][0]),
-                                    squeeze(more[k][1]), squeeze(more[k][2]), b"" if out else sink.getvalue().to_pybytes()))
+                    own = by[first[k]:first[k + 1]]
+                    if len(own) or len(some[k][0]):
+                        out.append((k, f"{task}/{number}", learns[a:b].tobytes(), some[k][0].tobytes(), *some[k][1:],
+                                    pack_numbers(code[own]), pack_numbers(learned[own]), b"" if out else sink.getvalue().to_pybytes()))
                 number += 1
-                kinds = [pa.int32(), pa.string()] + [pa.binary()] * 8
+                kinds = [pa.int32(), pa.string()] + [pa.binary()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                                                  names=[c.split()[0] for c in _POSTINGS.split(", ")])
 
-    def code_sums(rows):
-        """Sums of the symbols' logarithms by document, for each row; one row's postings are unpacked at a time."""
-        codes = [unpack_codes(r["codes"]) for r in rows]
+    def code_values(rows):
+        """The logarithms of each row's codes."""
+        codes = [unpack_numbers(r["codes"], np.uint64) for r in rows]
         kinds, inverse = np.unique(np.concatenate(codes), return_inverse=True)
         places = np.split(inverse.astype(np.int32), np.cumsum([len(c) for c in codes])[:-1])
+        del codes, inverse
         counts = np.zeros(len(kinds), np.int64)
-
-        def unpacked(r):
-            learns, at = np.frombuffer(r["learns"], bool), unpack_steps(unsqueeze(r["code_at"]))
-            return learns, at // len(learns), at % len(learns), np.diff(unpack_steps(unsqueeze(r["code_times"])), prepend=0)
-
         for r, place in zip(rows, places):
-            learns, which, doc, times = unpacked(r)
-            counts[place] += np.bincount(which, times * learns[doc], len(place)).astype(np.int64)  # a row has a code once
+            counts[place] += unpack_numbers(r["learned"], np.int64)  # a row has a code once
+        kinds = turned_back(kinds)
         seen = counts > 0
         values = model.value.deepened(order, kinds[seen], counts[seen]).log10(kinds)
-        for r, place in zip(rows, places):
-            learns, which, doc, times = unpacked(r)
-            yield np.bincount(doc, times * values[place[which]], len(learns))
+        for place in places:
+            yield pack_values(values[place])
 
     def count(key, bucket):
         rows, parts, seen = bucket.to_pylist(), [], 0
@@ -455,35 +481,39 @@ def score_texts(docs: DataFrame, order: int = ORDER, share: float = SHARE, folds
         for word, doc, times, learns in parts:
             counts += np.bincount(inverse[word], times * learns[doc], len(kinds))
         logs, out = np.log10(counts + 0.5), []
-        for i, (r, (word, doc, times, learns), score) in enumerate(zip(rows, parts, code_sums(rows))):
+        for i, (r, (word, doc, times, learns), values) in enumerate(zip(rows, parts, code_values(rows))):
             c = inverse[word]
-            out.append((r["bucket"], r["slice"], r["who"], score.tobytes(), np.bincount(doc, times * logs[c], len(learns)).tobytes(),
+            out.append((r["bucket"], r["slice"], r["who"], *values, np.bincount(doc, times * logs[c], len(learns)).tobytes(),
                         np.bincount(doc, times * (counts[c] > 0), len(learns)).astype(np.uint32).tobytes(),
                         int((counts > 0).sum()) if i == 0 else 0))
-        kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        kinds = (pa.int32(), pa.string(), *[pa.binary()] * 5, pa.int64())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
-                        names=["bucket", "slice", "who", "score", "logs", "known", "words"])
+                        names=["bucket", "slice", "who", "values", "at", "logs", "known", "words"])
 
     postings = rows.select("doc_id", "learns", "body").mapInArrow(deal, _POSTINGS)
     sums = postings.groupBy("bucket").applyInArrow(
-        count, "bucket int, slice string, who binary, score binary, logs binary, known binary, words long")
+        count, "bucket int, slice string, who binary, values binary, at binary, logs binary, known binary, words long")
     parts = F.pmod(F.xxhash64("slice"), F.lit(buckets)).cast("int")
 
     def gather(key, rows):
         by, out = {}, []
-        for r in rows.sort_by("bucket").to_pylist():  # equal texts get sums in the same order
-            s = by.setdefault(r["slice"], {"who": b"", "score": 0, "logs": 0, "known": 0, "words": 0})
-            s["who"] = r["who"] or s["who"]
-            s["score"] = s["score"] + np.frombuffer(r["score"], np.float64)
-            s["logs"] = s["logs"] + np.frombuffer(r["logs"], np.float64)
-            s["known"] = s["known"] + np.frombuffer(r["known"], np.uint32).astype(np.int64)
-            s["words"] += r["words"]
-        for s in by.values():
-            who = pa.ipc.open_stream(s["who"]).read_all().combine_chunks()
-            words = np.zeros(len(who), np.int64)
-            words[:1] = s["words"]
-            out.append(who.append_column("score", pa.array(s["score"])).append_column("logs", pa.array(s["logs"]))
-                       .append_column("known", pa.array(s["known"])).append_column("words", pa.array(words)))
+        for r in rows.sort_by("bucket").to_pylist():
+            by.setdefault(r["slice"], []).append(r)
+        for some in by.values():
+            who = pa.ipc.open_stream(b"".join(r["who"] for r in some)).read_all().combine_chunks()
+            n = len(who)
+            code, doc = text_codes(Words(texts_of(who.column("text")), lower=True), who.column("opening").to_numpy(), order, across)
+            kinds, inverse, place, _ = asked(code, buckets)
+            del code
+            value = np.empty(len(kinds))
+            value[place] = np.concatenate([unpack_values(r["values"], r["at"]) for r in some])
+            score = np.bincount(doc, value[inverse], n)
+            words = np.zeros(n, np.int64)
+            words[:1] = sum(r["words"] for r in some)
+            logs = sum(np.frombuffer(r["logs"], np.float64) for r in some)
+            known = sum(np.frombuffer(r["known"], np.uint32).astype(np.int64) for r in some)
+            out.append(who.drop_columns(["text", "opening"]).append_column("score", pa.array(score)).append_column("logs", pa.array(logs))
+                       .append_column("known", pa.array(known)).append_column("words", pa.array(words)))
         return pa.concat_tables(out)
 
     done = sums.withColumn("part", parts).groupBy("part").applyInArrow(
