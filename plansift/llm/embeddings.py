@@ -289,6 +289,52 @@ def count_links(members: DataFrame, threshold: float, block: int, parts: int) ->
     return groups.groupBy("grp").applyInArrow(compare, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def cross_links(placed: DataFrame, loose: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): for each vector of ``loose`` (node) and each other component, one vector at ``threshold`` or more, if any.
+
+    Exact: blocks of ``loose`` against blocks of all of ``placed`` (node, root,
+    unit), a pair of blocks in a task.
+    """
+    lone = placed.join(loose, "node", "left_semi")
+    left, right = (max(1, -(-df.count() // block)) for df in (lone, placed))
+
+    def side(df, n, other, mine):
+        own = F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")
+        far = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        df = df.select("node", "root", "unit", own.alias("own"), far.alias("far"), F.lit(mine).alias("asks"))
+        name = F.concat_ws("/", *(("own", "far") if mine else ("far", "own")))
+        return df.select(name.alias("grp"), "asks", "node", "root", "unit")
+
+    def compare(key, rows):
+        asks, node, root = (rows.column(c).to_numpy() for c in ("asks", "node", "root"))
+        units = rows.column("unit").to_pylist()
+        lengths, found = np.array([len(u) for u in units]), []
+        for length in np.unique(lengths).tolist():
+            p, q = (np.flatnonzero((lengths == length) & (asks == side)) for side in (True, False))
+            if not len(p) or not len(q):
+                continue
+            q = q[np.argsort(root[q], kind="stable")]
+            x, y = (np.frombuffer(b"".join([units[i] for i in at]), np.float64).reshape(len(at), -1) for at in (p, q))
+            first = np.flatnonzero(np.append(True, np.diff(root[q]) != 0))
+            for i in range(0, len(p), 512):
+                some = p[i:i + 512]
+                near = (x[i:i + 512] @ y.T >= threshold) & (root[some][:, None] != root[q][None, :])
+                a, g = np.nonzero(np.logical_or.reduceat(near, first, axis=1))
+                at = [first[k] + int(near[j, first[k]:].argmax()) for j, k in zip(a, g)]
+                found.append((node[some[a]], node[q[np.array(at, np.int64)]]))
+        a, b = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    both = side(lone, left, right, True).unionByName(side(placed, right, left, False))
+    return both.groupBy("grp").applyInArrow(compare, "a long, b long")
+
+
+def saturated(graph: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(node) of the vectors whose list is full and still linked at its end: others may be missing from it."""
+    last = graph.groupBy("u").agg(F.count("*").alias("kept"), F.min("sim").alias("least"))
+    return last.filter((F.col("kept") >= k) & (F.col("least") >= threshold - SLACK)).select(F.col("u").alias("node"))
+
+
 def audit(nodes: DataFrame, links: DataFrame, threshold: float, rows: int) -> float:
     """Share of the links of ``rows`` vectors, chosen by hash and compared with all, that ``links`` (node, links) has."""
     chosen = nodes.orderBy(F.xxhash64("node", F.lit(7))).limit(rows).select("node", "unit").collect()
@@ -324,7 +370,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, how: Descent = Desc
     link with nothing; vectors of different lengths do not link.  Equal
     vectors are one node that carries their number, so copies link by count.
     Neighbours under cos(2 acos(threshold)) are not kept: no two vectors that
-    link with a common third are less similar than that.  Rows without id
+    link with a common third are less similar than that.  A vector whose list
+    is full of links is compared with all vectors of other components, so links
+    between them are found.  Rows without id
     lend no name to their component and are not kept.  Other columns are not
     read.
     """
@@ -338,8 +386,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, how: Descent = Desc
     graph = None
     for seed in range(how.repeats + 1):
         graph = neighbour_graph(nodes, total, near - SLACK, how, seed, graph)
-        roots = components(linked(graph, nodes, threshold))
+        pairs = linked(graph, nodes, threshold)
+        roots = components(pairs)
         placed = stage(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+        loose = stage(saturated(graph, threshold, how.lists), "loose")
+        if not loose.isEmpty():
+            # a full list hides links that leave its component: those vectors meet all others
+            cross = stage(cross_links(placed, loose, threshold, how.block_rows), "cross")
+            if not cross.isEmpty():
+                roots = components(stage(pairs, "pairs").unionByName(cross))
+                placed = stage(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
         sizes = placed.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1")
         members = placed.join(sizes, "root").select("node", "root", "unit", "n", "size")
         links = stage(count_links(members, threshold, how.block_rows, parts), "counts")

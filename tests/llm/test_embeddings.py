@@ -70,3 +70,19 @@ def test_audit_finds_what_is_missing(spark):
     nodes = E.prepare(table(spark, list(range(100)), vectors), "vec_id", "embedding").selectExpr("vec_id AS node", "unit", "1L AS n")
     half = spark.range(100).selectExpr("id AS node", "CASE WHEN id % 2 = 0 THEN 1L ELSE 0L END AS links")
     assert 0.3 < E.audit(nodes, half, 0.9, 100) < 0.7
+
+
+def test_links_between_full_lists(spark):
+    """Two dense groups, 0.99 inside and 0.92 across: every list is full of its own group."""
+    rng = np.random.default_rng(3)
+    turn = np.arccos(0.925)
+    centers = [np.eye(24)[0], np.cos(turn) * np.eye(24)[0] + np.sin(turn) * np.eye(24)[1]]
+    vectors = []
+    for c in centers:
+        for _ in range(60):
+            v = rng.standard_normal(24) * ([0] * 2 + [1] * 22)
+            vectors.append((c + 0.07 * v / np.linalg.norm(v)).tolist())
+    ids = rng.permutation(len(vectors)).tolist()
+    how = E.Descent(lists=6, trees=4, leaf_rows=16, repeats=0)
+    got = sorted(map(tuple, E.near_vectors(table(spark, ids, vectors), how=how).collect()))
+    assert got == slow_links(ids, vectors) and len({r[2] for r in got}) == 1
