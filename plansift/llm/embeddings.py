@@ -383,24 +383,36 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, how: Descent = Desc
     nodes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     total = nodes.count()
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def place(pairs):
+        roots = components(pairs)
+        return stage(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+
+    def joined(pairs, placed, loose):
+        """Components with the links that leave those of ``placed`` at ``loose``."""
+        cross = stage(cross_links(placed, loose, threshold, how.block_rows), "cross")
+        return placed if cross.isEmpty() else place(stage(pairs, "pairs").unionByName(cross))
+
+    def count(placed):
+        sizes = placed.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1")
+        members = placed.join(sizes, "root").select("node", "root", "unit", "n", "size")
+        return stage(count_links(members, threshold, how.block_rows, parts), "counts")
+
     graph = None
     for seed in range(how.repeats + 1):
         graph = neighbour_graph(nodes, total, near - SLACK, how, seed, graph)
         pairs = linked(graph, nodes, threshold)
-        roots = components(pairs)
-        placed = stage(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+        placed = place(pairs)
+        # a full list hides links that leave its component: those vectors meet all others
         loose = stage(saturated(graph, threshold, how.lists), "loose")
         if not loose.isEmpty():
-            # a full list hides links that leave its component: those vectors meet all others
-            cross = stage(cross_links(placed, loose, threshold, how.block_rows), "cross")
-            if not cross.isEmpty():
-                roots = components(stage(pairs, "pairs").unionByName(cross))
-                placed = stage(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-        sizes = placed.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1")
-        members = placed.join(sizes, "root").select("node", "root", "unit", "n", "size")
-        links = stage(count_links(members, threshold, how.block_rows, parts), "counts")
+            placed = joined(pairs, placed, loose)
+        links = count(placed)
         if audit(nodes, links, threshold, how.audited) >= how.recall:
             break
+    else:  # all vectors meet all others
+        placed = joined(placed.select(F.col("node").alias("a"), F.col("root").alias("b")), placed, nodes.select("node"))
+        links = count(placed)
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     placed = placed.join(names, "root").join(links, "node", "left").select(
         "key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))

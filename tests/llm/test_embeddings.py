@@ -86,3 +86,12 @@ def test_links_between_full_lists(spark):
     how = E.Descent(lists=6, trees=4, leaf_rows=16, repeats=0)
     got = sorted(map(tuple, E.near_vectors(table(spark, ids, vectors), how=how).collect()))
     assert got == slow_links(ids, vectors) and len({r[2] for r in got}) == 1
+
+
+def test_all_pairs_where_the_audit_stays_low(spark):
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((60, 8))
+    vectors = [v.tolist() for v in (*base, *(base + 0.05 * rng.standard_normal(base.shape)))]
+    how = E.Descent(lists=1, trees=1, leaf_rows=16, rounds=0, recall=1.1, repeats=0)
+    got = sorted(map(tuple, E.near_vectors(table(spark, list(range(120)), vectors), how=how).collect()))
+    assert got == slow_links(list(range(120)), vectors)
