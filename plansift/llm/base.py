@@ -82,13 +82,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of several texts: ``hash`` of each, ``doc`` it is in, bytes ``data[start:end]``."""
+    """Words of several texts: ``hash`` of each, ``doc`` it is in, bytes ``data[start:end]``.
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    ``spaces`` marks the bytes that part words; LF must be one of them.
+    """
+
+    def __init__(self, texts: list[bytes], lower: bool = False, spaces: np.ndarray = _SPACE):
         data = b"\n".join(texts) + b"\n"
         self.data = data.lower() if lower else data  # bytes.lower() changes A-Z only
         a = np.frombuffer(self.data, np.uint8)
-        space = _SPACE[a]
+        space = spaces[a]
         before = np.empty_like(space)
         before[0], before[1:] = True, space[:-1]
         self.start, self.end = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)

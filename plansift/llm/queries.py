@@ -2,8 +2,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from plansift.llm import (classifier, embeddings, lm_scoring, manifest, mixing, packing, pii, quality_rules, sharding, simhash,
-                          substrings)
+from plansift.llm import (classifier, embeddings, licences, lm_scoring, manifest, mixing, packing, pii, quality_rules, sharding,
+                          simhash, substrings)
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_classifier": classifier.op9_classifier,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+    "op12_licences": licences.op12_licences,
     "op13_manifest": manifest.op13_manifest,
     "pipeline": corpus_pipeline.run,
 }
