@@ -2,8 +2,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from plansift.llm import (classifier, embeddings, licences, lm_scoring, manifest, mixing, packing, pii, quality_rules, sharding,
-                          simhash, substrings)
+from plansift.llm import (classifier, conversations, embeddings, licences, lm_scoring, manifest, mixing, packing, pii, quality_rules,
+                          sharding, simhash, substrings)
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,9 +16,10 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_classifier": classifier.op9_classifier,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+    "op11_conversations": conversations.op11_conversations,
     "op12_licences": licences.op12_licences,
     "op13_manifest": manifest.op13_manifest,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {"op2_substrings": substrings.ORACLE, "op3_embeddings": embeddings.ORACLE,
-          "op4_quality_rules": quality_rules.ORACLE, "op13_manifest": manifest.ORACLE}
+          "op4_quality_rules": quality_rules.ORACLE, "op11_conversations": conversations.ORACLE, "op13_manifest": manifest.ORACLE}
