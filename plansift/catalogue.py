@@ -16,6 +16,7 @@ page_vectors page_id, vec
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -31,6 +32,9 @@ class Catalogue:
     ref_images: DataFrame | None = None
     ocr_boxes: DataFrame | None = None
     page_vectors: DataFrame | None = None
+    #: ``text_index.TextIndex`` over the pages and over the parts, where they are stored
+    page_index: Any = None
+    part_index: Any = None
     vocabulary: Vocabulary = field(default_factory=Vocabulary)
 
 

@@ -8,6 +8,8 @@ from plansift.functions import text as T
 from plansift.operators import fts
 from plansift.operators.relational import (BROADCAST_ROWS, bag_counts, broadcast_within, explode_once, keep_first,
                                            rows_up_to, top_per_key)
+from plansift.operators.parts import part_index
+from plansift.sources import text_index
 from plansift.vocab import Vocabulary
 
 FACET_PAGES, FACET_LIMIT = 24, 10
@@ -41,7 +43,7 @@ def asked_part_kind(content: Column) -> Column:
 
 
 def component_families(questions: DataFrame, parts: DataFrame, vocabulary: Vocabulary,
-                       limit: int = FACET_LIMIT) -> DataFrame:
+                       limit: int = FACET_LIMIT, index: text_index.TextIndex | None = None) -> DataFrame:
     """``qid, family, n, rank``: part families behind a question, singletons dropped.
 
     A named kind takes that whole kind; other questions take the parts their words
@@ -58,10 +60,7 @@ def component_families(questions: DataFrame, parts: DataFrame, vocabulary: Vocab
         .select("qid", "family", "n")
     worded = asked.filter("kind is null and size(base) > 0").withColumn(
         "expanded", T.expand(F.col("base"), vocabulary))
-    phrases = fts.phrase_rows(worded)
-    tokens = fts.token_rows(parts.select("part_id", "ref", "designation"), "part_id", fts.PART_WEIGHTS)
-    matched = fts.phrase_frequencies(tokens, "part_id", phrases).join(
-        phrases.filter("n_any = 1").select("qid", "phrase"), "phrase").select("qid", "part_id").distinct()
+    matched = text_index.search(index or part_index(parts), "part_id", fts.PART_WEIGHTS, fts.phrase_rows(worded)).select("qid", "part_id")
     by_words = (parts.join(matched, "part_id")
                 .select("qid", T.designation_group(F.col("designation")).alias("family"))
                 .filter(F.col("family") != "").groupBy("qid", "family").agg(F.count(F.lit(1)).alias("n")))

@@ -1,4 +1,4 @@
-"""Full-text matching: token rows, postings, document frequencies, weighted BM25.
+"""Full-text matching: tokens, postings, question words, weighted BM25.
 
 Scores follow the usual inverted-index formula with column weights inside the
 term frequency:
@@ -7,78 +7,34 @@ term frequency:
     idf(q)   = ln((N - n + 0.5) / (n + 0.5)), 1e-6 where that is not positive
     score(d) = - sum over q of idf * tf * 2.2 / (tf + 1.2*(0.25 + 0.75*len/avglen))
 
-so a *smaller* (more negative) score is a better match.
+so a *smaller* (more negative) score is a better match.  The stored index and the search
+over it are in ``sources.text_index``.
 """
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plansift.functions import text as T
-from plansift.operators.relational import BROADCAST_ROWS, broadcast_within, rows_up_to
-from plansift.staging import stage
 
-# fixed values: BM25 parameters, column weights, shard width
+# fixed values: BM25 parameters, column weights
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 PAGE_WEIGHTS = {"text": 1.0, "refs": 8.0, "title": 3.0, "ocr_text": 1.5}
 PART_WEIGHTS = {"ref": 2.0, "designation": 1.0}
-SHARD_CHARS = 2
-MARKER = ""
 SCORE_DIGITS = 9
 
 
-def shard(term: Column) -> Column:
-    """Equality key shared by a prefix and every term it can match.
-
-    Question words have at least two characters, so the first two decide.
-    """
-    return F.substring(term, 1, SHARD_CHARS)
-
-
-def _column_tokens(df: DataFrame, name: str) -> Column:
+def column_tokens(df: DataFrame, name: str) -> Column:
     is_array = df.schema[name].dataType.typeName() == "array"
     value = F.array_join(F.col(name), " ") if is_array else T.blank_to_empty(F.col(name))
     return T.index_tokens(value)
 
 
-def token_rows(df: DataFrame, key: str, weights: Mapping[str, float]) -> DataFrame:
-    """``key, len, weight, term`` -- one row per token, plus one marker per row.
-
-    The marker (empty term, weight 0) lets corpus size and mean length come out of
-    the same pass over the text as the matches.
-    """
-    names = list(weights)
-    toks = df.select(F.col(key), *[_column_tokens(df, name).alias(f"t_{name}") for name in names])
-    sized = toks.withColumn("len", sum((F.size(f"t_{name}") for name in names), F.lit(0)))
-    groups = [F.struct(F.lit(0.0).alias("weight"), F.array(F.lit(MARKER)).alias("terms"))]
-    groups += [F.struct(F.lit(float(w)).alias("weight"), F.col(f"t_{name}").alias("terms"))
-               for name, w in weights.items()]
-    return (sized.select(key, "len", F.explode_outer(F.array(*groups)).alias("g"))
-            .select(key, "len", "g.weight", F.explode("g.terms").alias("term")))
-
-
-def posting_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``key, len, col, term, tf``: the stored form of the index.
-
-    ``len`` counts the tokens of all columns of the row.
-    """
-    toks = df.select(F.col(key), *[_column_tokens(df, name).alias(f"t_{name}") for name in columns])
-    sized = toks.withColumn("len", sum((F.size(f"t_{name}") for name in columns), F.lit(0)))
-    groups = [F.struct(F.lit(name).alias("col"), F.col(f"t_{name}").alias("terms")) for name in columns]
-    rows = (sized.select(key, "len", F.explode_outer(F.array(*groups)).alias("g"))
-            .select(key, "len", "g.col", F.explode("g.terms").alias("term")))
-    return rows.groupBy(key, "len", "col", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``key, col, term, tf`` for every column."""
-    return posting_rows(df, key, columns).drop("len")
-
-
-def document_lengths(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``key, len``: tokens of all columns together."""
-    return df.select(F.col(key), sum((F.size(_column_tokens(df, name)) for name in columns), F.lit(0)).alias("len"))
+    toks = df.select(F.col(key), *[column_tokens(df, name).alias(f"t_{name}") for name in columns])
+    groups = [F.struct(F.lit(name).alias("col"), F.col(f"t_{name}").alias("terms")) for name in columns]
+    rows = toks.select(key, F.explode_outer(F.array(*groups)).alias("g")).select(key, "g.col", F.explode("g.terms").alias("term"))
+    return rows.groupBy(key, "col", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def phrase_rows(questions: DataFrame, base: str = "base", expanded: str = "expanded") -> DataFrame:
@@ -93,86 +49,34 @@ def phrase_rows(questions: DataFrame, base: str = "base", expanded: str = "expan
                             F.lit(1).alias("n_any"))
     words = strict.unionByName(wide).withColumn(
         "phrase", F.regexp_replace(T.fold(F.col("word")), r"[^\p{L}\p{N}]+", ""))
-    return (words.filter(F.length("phrase") >= SHARD_CHARS).groupBy("qid", "phrase")
+    return (words.filter(F.length("phrase") > 0).groupBy("qid", "phrase")
             .agg(F.sum("n_all").alias("n_all"), F.max("n_any").alias("n_any")))
 
 
-def phrase_frequencies(tokens: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
-    """``key, len, phrase, tf``: weighted prefix matches per document and phrase.
+def idf(n_docs: Column, n: Column) -> Column:
+    value = F.log((n_docs - n + F.lit(0.5)) / (n + F.lit(0.5)))
+    return F.when(value > 0, value).otherwise(F.lit(IDF_FLOOR))
 
-    The prefix test runs as an equality join on the shard with the prefix as a
-    residual condition, against the (small) distinct phrases.  Only matching
-    tokens are shuffled, already summed per task.  Every document also keeps its
-    marker row (empty phrase).
-    """
-    spark = tokens.sparkSession
-    wanted = phrases.select("phrase").unionByName(
-        spark.range(1).select(F.lit(MARKER).alias("phrase"))).distinct()
-    wanted = wanted.withColumn("shard", shard(F.col("phrase")))
-    hits = tokens.withColumn("shard", shard(F.col("term"))).join(wanted, "shard").filter(
-        F.startswith(F.col("term"), F.col("phrase")))
-    return hits.groupBy(key, "len", "phrase").agg(F.sum("weight").alias("tf"))
 
+def gain(idf: Column, tf: Column, length: Column, avg_len: Column) -> Column:
+    """What one phrase adds; grows with ``tf`` and falls with ``length``."""
+    return idf * tf * F.lit(K1 + 1.0) / (tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * length / avg_len))
 
-def document_frequencies(freqs: DataFrame) -> DataFrame:
-    """``phrase, n, total_len``: documents per phrase; the marker row counts them all."""
-    return freqs.groupBy("phrase").agg(F.count("tf").alias("n"), F.sum("len").alias("total_len"))
 
-
-def phrase_idf(freqs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """``phrase, idf, avg_len``: one row per phrase that matched at all.
-
-    ``corpus`` (``n, total_len``, one row) comes with a stored index; otherwise the
-    marker rows give it.
-    """
-    counts = document_frequencies(freqs)
-    corpus = counts.filter(F.col("phrase") == MARKER) if corpus is None else corpus
-    n_docs = corpus.select(F.col("n").cast("double")).scalar()
-    total = corpus.select(F.col("total_len").cast("double")).scalar()
-    idf = F.log((n_docs - F.col("n") + F.lit(0.5)) / (F.col("n") + F.lit(0.5)))
-    return counts.filter(F.col("phrase") != MARKER).select(
-        "phrase", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)).alias("idf"),
-        (total / n_docs).alias("avg_len"))
+def highest_gain(idf: Column, most: Column, densest: Column, avg_len: Column) -> Column:
+    """Bound of :func:`gain` over pages with at most ``most`` as tf and ``densest`` as tf / length."""
+    return idf * F.lit(K1 + 1.0) / (F.lit(1.0) + F.lit(K1) * (F.lit(1.0 - B) / most + F.lit(B) / (densest * avg_len)))
 
 
-def bm25(freqs: DataFrame, key: str, phrases: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """``qid, key, all_score, any_score`` over every matching document.
+def scores(rows: DataFrame, keys: list) -> DataFrame:
+    """``*keys, all_score, any_score`` from rows of ``tf, len, idf, avg_len, n_all, n_any, n_needed``.
 
     ``all_score`` is null unless every word of the question matched; ``any_score``
     is the wide query's score.
     """
-    n_needed = F.count_if(F.col("n_all") > 0).over(Window.partitionBy("qid"))
-    uses = phrases.withColumn("n_needed", n_needed).join(phrase_idf(freqs, corpus), "phrase")
-    # one row per question word: counted, so the broadcast is only taken when it fits
-    uses = broadcast_within(uses, rows_up_to(phrases, BROADCAST_ROWS))
-    gain = (F.col("idf") * F.col("tf") * F.lit(K1 + 1.0)
-            / (F.col("tf") + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("len") / F.col("avg_len"))))
-    gains = freqs.join(uses, "phrase").withColumn("gain", gain)
-    scored = gains.groupBy("qid", key).agg(
+    gains = rows.withColumn("gain", gain(F.col("idf"), F.col("tf"), F.col("len"), F.col("avg_len")))
+    whole = (F.count_if(F.col("n_all") > 0) == F.max("n_needed")) & (F.max("n_needed") > 0)
+    return gains.groupBy(*keys).agg(
         # rounded: the order in which partial sums arrive must not decide ties
-        F.round(-F.sum(F.col("gain") * F.col("n_all")), SCORE_DIGITS).alias("all_score"),
-        F.round(-F.sum(F.col("gain") * F.col("n_any")), SCORE_DIGITS).alias("any_score"),
-        F.count_if(F.col("n_all") > 0).alias("n_found"),
-        F.max("n_needed").alias("n_needed"))
-    return scored.select(
-        "qid", key, F.when((F.col("n_found") == F.col("n_needed")) & (F.col("n_needed") > 0),
-                           F.col("all_score")).alias("all_score"), "any_score")
-
-
-def matches(docs: DataFrame, key: str, weights: Mapping[str, float], phrases: DataFrame) -> DataFrame:
-    """Staged phrase frequencies: the only pass over the text of the table."""
-    return stage(phrase_frequencies(token_rows(docs, key, weights), key, phrases), "matches")
-
-
-def search(docs: DataFrame, key: str, weights: Mapping[str, float], phrases: DataFrame) -> DataFrame:
-    """BM25 straight from the rows of a table."""
-    return bm25(matches(docs, key, weights, phrases), key, phrases)
-
-
-def page_share(docs: DataFrame, key: str, weights: Mapping[str, float], phrases: DataFrame) -> DataFrame:
-    """``phrase, share``: fraction of documents holding a token with that prefix."""
-    counts = document_frequencies(matches(docs, key, weights, phrases))
-    n_docs = counts.filter(F.col("phrase") == MARKER).select("n").scalar()
-    found = counts.select("phrase", "n")
-    return (phrases.select("phrase").distinct().join(found, "phrase", "left")
-            .select("phrase", (F.coalesce("n", F.lit(0)) / F.greatest(n_docs, F.lit(1))).alias("share")))
+        F.when(whole, F.round(-F.sum(F.col("gain") * F.col("n_all")), SCORE_DIGITS)).alias("all_score"),
+        F.round(-F.sum(F.col("gain") * F.col("n_any")), SCORE_DIGITS).alias("any_score"))

@@ -8,6 +8,7 @@ from plansift.functions import refs as R, text as T
 from plansift.operators import fts
 from plansift.operators.relational import (BROADCAST_ROWS, broadcast_within, explode_once, keep_first, priority_union,
                                            rows_up_to, small_batches, top_per_key, union_all)
+from plansift.sources import text_index
 from plansift.staging import stage
 from plansift.vocab import Vocabulary
 
@@ -220,13 +221,18 @@ def part_subject(questions: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             .withColumn("forms", F.transform("base", lambda w: T.expand(F.array(w), vocabulary))))
 
 
-def relevant_parts(asked: DataFrame, parts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def part_index(parts: DataFrame, path: str | None = None) -> text_index.TextIndex:
+    """Full-text index over references and designations."""
+    return text_index.build(parts.select("part_id", "ref", "designation"), "part_id", list(fts.PART_WEIGHTS), path)
+
+
+def relevant_parts(asked: DataFrame, parts: DataFrame, vocabulary: Vocabulary,
+                   index: text_index.TextIndex | None = None) -> DataFrame:
     """``qid, part_id, order_key``: all lexical hits that pass the relevance test.
 
     Rows holding every word are used when there are any, else rows holding any.
     """
-    scored = fts.search(parts.select("part_id", "ref", "designation"), "part_id", fts.PART_WEIGHTS,
-                        fts.phrase_rows(asked))
+    scored = stage(text_index.search(index or part_index(parts), "part_id", fts.PART_WEIGHTS, fts.phrase_rows(asked)), "part-scores")
     strict = scored.filter("all_score is not null").select("qid", "part_id", F.col("all_score").alias("bm"))
     wide = scored.join(strict.select("qid").distinct(), "qid", "left_anti").select("qid", "part_id", F.col("any_score").alias("bm"))
     hits = strict.unionByName(wide)
@@ -240,11 +246,11 @@ def relevant_parts(asked: DataFrame, parts: DataFrame, vocabulary: Vocabulary) -
 
 
 def find_parts(questions: DataFrame, parts: DataFrame, ref_images: DataFrame, vocabulary: Vocabulary,
-               limit: int = 6) -> DataFrame:
+               limit: int = 6, index: text_index.TextIndex | None = None) -> DataFrame:
     """Parts that answer the subject of each question, best first."""
     asked = part_subject(questions, vocabulary)
     # a few rows per question, needed by the fuzzy pass and by the result
-    lexical = stage(relevant_parts(asked, parts, vocabulary).select(
+    lexical = stage(relevant_parts(asked, parts, vocabulary, index).select(
         "qid", "part_id", "order_key", "position"), "lexical_parts")
     without = asked.join(lexical.select("qid").distinct(), "qid", "left_anti").filter(
         F.exists("base", lambda w: ~w.isin(*vocabulary.broad_words)))

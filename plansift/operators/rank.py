@@ -8,6 +8,7 @@ from plansift.functions import refs as R, text as T, vectors as X
 from plansift.operators import fts
 from plansift.operators.relational import (BROADCAST_ROWS, broadcast_within, rows_up_to,
                                            small_batches, top_per_key, union_all, within_budget)
+from plansift.sources import text_index
 from plansift.staging import stage
 from plansift.vocab import Vocabulary
 
@@ -41,6 +42,11 @@ def indexed_pages(pages: DataFrame) -> DataFrame:
         page_title_text().alias("title"), "ocr_text")
 
 
+def page_index(pages: DataFrame, path: str | None = None) -> text_index.TextIndex:
+    """Full-text index over the pages, laid out by title."""
+    return text_index.build(indexed_pages(pages), "page_id", list(fts.PAGE_WEIGHTS), path, near=("title",))
+
+
 def semantic_hits(page_vectors: DataFrame, query_vectors: DataFrame, k: int = DENSE_FLOOR) -> DataFrame:
     """``qid, page_id, cos, dense_rank``: the k nearest pages of every query vector.
 
@@ -155,16 +161,15 @@ def confidence(rows: DataFrame) -> DataFrame:
 def search_pages(pages: DataFrame, questions: DataFrame, vocabulary: Vocabulary, limit: int = 8,
                  figures: DataFrame | None = None, page_vectors: DataFrame | None = None,
                  query_vectors: DataFrame | None = None,
-                 scored: DataFrame | None = None) -> DataFrame:
+                 index: text_index.TextIndex | None = None) -> DataFrame:
     """Ranked pages per question, best first (``rank`` from 1).
 
-    ``scored`` may come from a stored index; otherwise the page text is matched in
-    one pass.  Only the candidate pool ever meets page text again.
+    ``index`` is the stored index; without one, the pages are indexed first.  Only the
+    candidate pool ever meets page text.
     """
     asked = understand(questions, vocabulary)
     pool = max(limit * POOL_FACTOR, POOL_FLOOR)
-    if scored is None:
-        scored = fts.search(indexed_pages(pages), "page_id", fts.PAGE_WEIGHTS, fts.phrase_rows(asked))
+    scored = text_index.top_pages(index or page_index(pages), "page_id", fts.PAGE_WEIGHTS, fts.phrase_rows(asked), pool)
     dense = None
     if page_vectors is not None and query_vectors is not None:
         prose = asked.filter(~F.col("is_ref")).select("qid")

@@ -6,12 +6,15 @@ question, and staging them keeps the page text from being scanned again.
 """
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plansift.catalogue import Catalogue
 from plansift.functions import refs as R, text as T
 from plansift.operators import facets, figures as G, fts, parts as P, rank
 from plansift.operators.relational import priority_union, top_per_key
+from plansift.sources import text_index
 from plansift.staging import stage
 
 # fixed values: result sizes
@@ -29,12 +32,9 @@ def broad_questions(questions: DataFrame, ranked: DataFrame, catalogue: Catalogu
     single = questions.filter(F.size(content) == 1).select(
         "qid", content.alias("base"), F.array().cast("array<string>").alias("expanded"))
     rows = questions.join(named, "qid", "left")
-    if single.isEmpty():  # the page table is only scanned for one-word questions
-        rows = rows.withColumn("share", F.lit(0.0))
-    else:
-        phrases = fts.phrase_rows(single)
-        shares = fts.page_share(rank.indexed_pages(catalogue.pages), "page_id", fts.PAGE_WEIGHTS, phrases)
-        rows = rows.join(phrases.select("qid", "phrase").join(shares, "phrase").select("qid", "share"), "qid", "left")
+    phrases = fts.phrase_rows(single)
+    shares = text_index.page_share(catalogue.page_index or rank.page_index(catalogue.pages), fts.PAGE_WEIGHTS, phrases)
+    rows = rows.join(phrases.select("qid", "phrase").join(shares, "phrase").select("qid", "share"), "qid", "left")
     top = ranked.groupBy("qid").agg(
         F.count(F.lit(1)).alias("n_pages"), F.max(F.when(F.col("rank") == 1, F.col("coverage"))).alias("coverage"),
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("score"))
@@ -66,7 +66,8 @@ def _ranked(questions: DataFrame, catalogue: Catalogue, query_vectors: DataFrame
     for size in sorted(sizes):
         hits = rank.search_pages(
             catalogue.pages, sized.filter(F.col("size") == size).select("qid", "question"), catalogue.vocabulary,
-            size, catalogue.figures, catalogue.page_vectors if query_vectors is not None else None, query_vectors)
+            size, catalogue.figures, catalogue.page_vectors if query_vectors is not None else None, query_vectors,
+            catalogue.page_index)
         found = hits if found is None else found.unionByName(hits)
     return stage(found, "ranked")
 
@@ -170,6 +171,8 @@ def answer_questions(catalogue: Catalogue, questions: DataFrame, query_vectors:
     not_found, broad or evidence.  ``questions`` has ``qid, question`` and may have
     ``max_pages`` and ``max_images``; blank questions are left out.
     """
+    catalogue = replace(catalogue, page_index=catalogue.page_index or rank.page_index(catalogue.pages),
+                        part_index=catalogue.part_index or P.part_index(catalogue.parts))
     vocabulary, parts, photos = catalogue.vocabulary, catalogue.parts, catalogue.ref_images
     asked = with_limits(questions).filter(F.col("question") != "")
     q = F.col("question")
@@ -203,7 +206,8 @@ def answer_questions(catalogue: Catalogue, questions: DataFrame, query_vectors:
     shown, ranked = merge_ref_pages(ranked, on_pages, exact, limits)
     shown, ranked = stage(shown, "shown"), stage(ranked, "merged")
 
-    subject = P.find_parts(searched.join(exact.select("qid"), "qid", "left_anti"), parts, photos, vocabulary, PARTS_SHOWN)
+    subject = P.find_parts(searched.join(exact.select("qid"), "qid", "left_anti"), parts, photos, vocabulary, PARTS_SHOWN,
+                           catalogue.part_index)
     part_rows = stage(exact.select("qid", "rank", *_PART_FIELDS).unionByName(
         subject.select("qid", "rank", *_PART_FIELDS)), "parts")
     doubtful = searched.filter(T.is_reference_query(q)).join(exact.select("qid"), "qid", "left_anti")
@@ -217,7 +221,7 @@ def answer_questions(catalogue: Catalogue, questions: DataFrame, query_vectors:
         .join(limits.select("qid", "max_images"), "qid").filter(F.col("rank") <= F.col("max_images"))
 
     heads = facets.topics(ranked, catalogue.pages, vocabulary)
-    offered = facets.suggestions(searched, facets.component_families(searched, parts, vocabulary), heads,
+    offered = facets.suggestions(searched, facets.component_families(searched, parts, vocabulary, index=catalogue.part_index), heads,
                                  facets.page_facets(ranked), vocabulary)
     broad = broad_questions(searched, shown, catalogue)
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plansift import plugins
 from plansift.functions import text as T
-from plansift.operators import fts, rank
+from plansift.operators import parts as P, rank
 from plansift.operators.relational import replace_groups, update_column
 from plansift.sources import index_store, ingest
 from plansift.vocab import Vocabulary
@@ -37,7 +37,7 @@ def page_vectors(pages: DataFrame, factory: Callable[[], plugins.Encoder]) -> Da
 def build(path: str, decoded_pages: DataFrame, root: str, workbook_cells: DataFrame, photos: DataFrame,
           vocabulary: Vocabulary, recogniser: Callable[[], plugins.Recogniser] | None = None,
           encoder: Callable[[], plugins.Encoder] | None = None) -> dict[str, DataFrame]:
-    """Write every table and the full-text index below ``path``; returns the tables.
+    """Write every table and the full-text indexes of pages and parts below ``path``; returns the tables.
 
     Order matters: parts and photos give the known references, pages are checked
     against them, recognised text arrives before the index and the vectors.
@@ -62,5 +62,6 @@ def build(path: str, decoded_pages: DataFrame, root: str, workbook_cells: DataFr
     if encoder is not None:
         index_store.write_tables({"page_vectors": page_vectors(tables["pages"], encoder)}, path)
         tables["page_vectors"] = spark.read.parquet(f"{path}/page_vectors")
-    index_store.write_batch(rank.indexed_pages(tables["pages"]), "page_id", list(fts.PAGE_WEIGHTS), f"{path}/index")
+    rank.page_index(tables["pages"], f"{path}/page_index")
+    P.part_index(tables["parts"], f"{path}/part_index")
     return tables

@@ -211,7 +211,7 @@ _RELEVANCE = f"WITH {S.PARTS}, {question_values(PART_QUESTIONS)}, {_RELEVANT}"
 @registered(f"{_RELEVANCE} SELECT qid, part_id, round(relevance, 6) AS relevance, round(bm, 6) AS bm FROM relevant")
 def part_relevance(spark, sf_dir):
     asked = P.part_subject(question_table(spark, PART_QUESTIONS), VOCAB)
-    hits = P.relevant_parts(asked, standin.parts(spark, sf_dir), VOCAB)
+    hits = P.relevant_parts(asked, standin.parts(spark, sf_dir), VOCAB, standin.part_index(spark, sf_dir))
     return hits.select("qid", "part_id", F.round("relevance", 6).alias("relevance"), F.round("bm", 6).alias("bm"))
 
 
@@ -225,7 +225,7 @@ names AS (SELECT qid, ref_norm, regexp_replace(lower(designation), '[^a-z0-9]',
 merged AS (SELECT qid, ref_norm, array_to_string(list_slice(list(name ORDER BY place), 1, 2), ' · ') AS designation FROM names WHERE nk <> '' GROUP BY 1, 2)
 SELECT qid, rank, r[2] AS ref, ref_norm, r[3] AS kind, coalesce(designation, '') AS designation, r[4] AS supplier_ref, photo FROM top LEFT JOIN merged USING (qid, ref_norm) LEFT JOIN first_photo USING (ref_norm)""")
 def part_search(spark, sf_dir):
-    return P.find_parts(question_table(spark, PART_QUESTIONS), *_tables(spark, sf_dir), VOCAB)
+    return P.find_parts(question_table(spark, PART_QUESTIONS), *_tables(spark, sf_dir), VOCAB, index=standin.part_index(spark, sf_dir))
 
 
 # the longest common subsequence as a table of lengths, one row of it in each step of the recursion
@@ -314,7 +314,7 @@ families AS (SELECT * FROM (SELECT qid, family, n, row_number() OVER (PARTITION
 
 @registered(f"WITH {S.PARTS}, {question_values(PART_QUESTIONS)}, {_FAMILIES} SELECT qid, family, n, rank FROM families")
 def component_families(spark, sf_dir):
-    return facets.component_families(question_table(spark, PART_QUESTIONS), standin.parts(spark, sf_dir), VOCAB)
+    return facets.component_families(question_table(spark, PART_QUESTIONS), standin.parts(spark, sf_dir), VOCAB, index=standin.part_index(spark, sf_dir))
 
 
 @registered(f"""{_SEARCH}, {S.PARTS}, {_HEADINGS}, {_TOPICS}, {_FAMILIES}, named AS (SELECT qid, {S.system_named('question')} AS sys FROM asked),
@@ -329,7 +329,7 @@ def suggestions(spark, sf_dir):
     questions, pages = question_table(spark, QUESTIONS), standin.capital_pages(spark, sf_dir)
     top = ranked(spark, sf_dir)
     return facets.suggestions(
-        questions, facets.component_families(questions, standin.parts(spark, sf_dir), VOCAB),
+        questions, facets.component_families(questions, standin.parts(spark, sf_dir), VOCAB, index=standin.part_index(spark, sf_dir)),
         facets.topics(top, pages, VOCAB), facets.page_facets(top), VOCAB)
 
 
@@ -352,7 +352,7 @@ def autocomplete(spark, sf_dir):
     typed = question_table(spark, TYPING)
     parts, photos = _tables(spark, sf_dir)
     near = P.near_misses(typed.select("qid", R.norm_ref(F.col("question")).alias("key")), parts, photos, limit=5)
-    found = P.find_parts(typed, parts, photos, VOCAB, limit=3)
+    found = P.find_parts(typed, parts, photos, VOCAB, limit=3, index=standin.part_index(spark, sf_dir))
     return facets.autocomplete(typed, near, found, VOCAB)
 
 

@@ -8,7 +8,7 @@ from plansift.operators import fts, parts as P, rank
 from plansift.operators.relational import top_per_key
 from plansift.plans.registered import sqlparts as S
 from plansift.plans.registered.inputs import QUESTIONS, question_table, question_values
-from plansift.sources import standin
+from plansift.sources import standin, text_index
 
 VOCAB = standin.VOCABULARY
 QUERIES, ORACLE = {}, {}
@@ -57,8 +57,11 @@ def _asked(spark):
 
 
 def _scored(spark, sf_dir):
-    pages = standin.pages(spark, sf_dir)
-    return fts.search(rank.indexed_pages(pages), "page_id", fts.PAGE_WEIGHTS, fts.phrase_rows(_asked(spark)))
+    return text_index.search(standin.page_index(spark, sf_dir), "page_id", fts.PAGE_WEIGHTS, fts.phrase_rows(_asked(spark)))
+
+
+def _best(spark, sf_dir, k):
+    return text_index.top_pages(standin.page_index(spark, sf_dir), "page_id", fts.PAGE_WEIGHTS, fts.phrase_rows(_asked(spark)), k)
 
 
 # ---------------------------------------------------------------------- queries
@@ -76,8 +79,7 @@ def doc_lengths(spark, sf_dir):
 
 @registered(f"""{_SCORED} SELECT phrase, round(coalesce(n, 0) / n_docs, 6) AS share FROM (SELECT DISTINCT phrase FROM phrases) LEFT JOIN dfs USING (phrase), size""")
 def page_share(spark, sf_dir):
-    pages = rank.indexed_pages(standin.pages(spark, sf_dir))
-    shares = fts.page_share(pages, "page_id", fts.PAGE_WEIGHTS, fts.phrase_rows(_asked(spark)))
+    shares = text_index.page_share(standin.page_index(spark, sf_dir), fts.PAGE_WEIGHTS, fts.phrase_rows(_asked(spark)))
     return shares.select("phrase", F.round("share", 6).alias("share"))
 
 
@@ -96,7 +98,7 @@ def bm25_all_words(spark, sf_dir):
 @registered(f"""{_SCORED} SELECT qid, page_id, bm, rank FROM (SELECT qid, page_id, round(any_score, 6) AS bm,
  row_number() OVER (PARTITION BY qid ORDER BY any_score, page_id) AS rank FROM scored) WHERE rank <= {TOP}""")
 def bm25_top(spark, sf_dir):
-    top = top_per_key(_scored(spark, sf_dir), ["qid"], [F.asc("any_score"), F.asc("page_id")], TOP)
+    top = top_per_key(_best(spark, sf_dir, TOP), ["qid"], [F.asc("any_score"), F.asc("page_id")], TOP)
     return top.select("qid", "page_id", F.round("any_score", 6).alias("bm"), "rank")
 
 
@@ -118,8 +120,8 @@ def refs_in_text(spark, sf_dir):
 SELECT qid, page_id, round(any_score, 6) AS bm FROM scored WHERE any_score < 0""")
 def bm25_weighted_columns(spark, sf_dir):
     known = P.known_refs(standin.parts(spark, sf_dir), standin.ref_images(spark, sf_dir))
-    pages = rank.indexed_pages(P.pages_with_refs(standin.pages(spark, sf_dir), known))
-    scored = fts.search(pages, "page_id", fts.PAGE_WEIGHTS, fts.phrase_rows(_asked(spark)))
+    index = rank.page_index(P.pages_with_refs(standin.pages(spark, sf_dir), known))
+    scored = text_index.search(index, "page_id", fts.PAGE_WEIGHTS, fts.phrase_rows(_asked(spark)))
     return scored.filter("any_score < 0").select("qid", "page_id", F.round("any_score", 6).alias("bm"))
 
 
@@ -161,7 +163,7 @@ pool AS (SELECT qid, page_id, arg_min(bm, (stage, rank)) AS bm, min(stage) = 0 A
 def hybrid_candidates(spark, sf_dir):
     dense = rank.semantic_hits(standin.page_vectors(spark, sf_dir), _question_vectors(spark, sf_dir).join(
         _asked(spark).filter(~F.col("is_ref")).select("qid"), "qid", "left_semi"))
-    pool = rank.candidates(_scored(spark, sf_dir), 48, dense)
+    pool = rank.candidates(_best(spark, sf_dir, 48), 48, dense)
     return pool.select("qid", "page_id", F.round("bm", 6).alias("bm"), "strict", "position")
 
 
@@ -189,7 +191,7 @@ _SEARCH = f"{_SCORED}, {_SEMANTIC}, {_RANKED}"
 def ranked(spark, sf_dir, limit: int = 8):
     return rank.search_pages(
         standin.pages(spark, sf_dir), question_table(spark, QUESTIONS), VOCAB, limit, standin.figures(spark, sf_dir),
-        standin.page_vectors(spark, sf_dir), _question_vectors(spark, sf_dir))
+        standin.page_vectors(spark, sf_dir), _question_vectors(spark, sf_dir), standin.page_index(spark, sf_dir))
 
 
 @registered(f"""{_SEARCH}, {S.snippet_steps('ranked', 'qid, page_id', 'text', 'expanded')}

@@ -1,69 +1,9 @@
-"""The stored full-text index: postings by shard bucket, plus corpus totals.
-
-    <path>/postings/batch=B/bucket=K/   term, <key>, len, col, tf   sorted by term
-    <path>/corpus/batch=B/              n, total_len
-
-A question touches the buckets of its words only (partition pruning at run time)
-and, inside them, the row groups whose term range can match.  New pages are added
-as a new batch; writing a batch again replaces it, so a retried load is harmless.
-"""
+"""Stored catalogue tables and imported key maps; the full-text index is in ``text_index``."""
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from plansift.operators import fts
-from plansift.operators.relational import BROADCAST_ROWS, broadcast_within, rows_up_to
-from plansift.staging import stage
-
-BUCKETS = 64
-
-
-def bucket(shard: Column) -> Column:
-    return F.pmod(F.hash(shard), F.lit(BUCKETS))
-
-
-def write_batch(docs: DataFrame, key: str, columns: list[str], path: str, batch: int = 0) -> None:
-    """Index ``docs`` as one batch.
-
-    Rows are range-partitioned by bucket, term *and* document, so a term that fills a
-    third of the index is still spread over many tasks and files.
-    """
-    rows = fts.posting_rows(docs, key, columns)
-    rows = rows.withColumn("bucket", bucket(fts.shard(F.col("term"))))
-    (rows.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key)
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}"))
-    totals = fts.document_lengths(docs, key, columns).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("len").alias("total_len"))
-    totals.write.mode("overwrite").parquet(f"{path}/corpus/batch={batch}")
-
-
-def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """``n, total_len`` over every batch."""
-    return spark.read.parquet(f"{path}/corpus").agg(F.sum("n").alias("n"), F.sum("total_len").alias("total_len"))
-
-
-def stored_matches(spark: SparkSession, path: str, key: str, weights: Mapping[str, float],
-                   phrases: DataFrame) -> DataFrame:
-    """Phrase frequencies read from the index instead of the page text."""
-    wanted = phrases.select("phrase").distinct().withColumn("shard", fts.shard(F.col("phrase")))
-    wanted = wanted.withColumn("bucket", bucket(F.col("shard")))
-    wanted = broadcast_within(wanted, rows_up_to(wanted, BROADCAST_ROWS))
-    stored = spark.read.parquet(f"{path}/postings")
-    hits = stored.join(wanted, (stored["bucket"] == wanted["bucket"])
-                       & (fts.shard(stored["term"]) == wanted["shard"])
-                       & F.startswith(stored["term"], wanted["phrase"]))
-    weight = F.when(F.lit(False), F.lit(0.0))
-    for column, value in weights.items():
-        weight = weight.when(F.col("col") == column, F.lit(float(value)))
-    return hits.groupBy(key, "len", "phrase").agg(F.sum(F.col("tf") * weight).alias("tf"))
-
-
-def search(spark: SparkSession, path: str, key: str, weights: Mapping[str, float], phrases: DataFrame) -> DataFrame:
-    """BM25 scores from the stored index."""
-    freqs = stage(stored_matches(spark, path, key, weights, phrases), "matches")
-    return fts.bm25(freqs, key, phrases, corpus(spark, path))
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_tables(tables: Mapping[str, DataFrame], path: str) -> None:

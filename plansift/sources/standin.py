@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plansift.catalogue import Catalogue
 from plansift.functions import refs as R
+from plansift.operators import parts as P, rank
+from plansift.sources import text_index
 from plansift.vocab import Vocabulary
 
 VOCABULARY = Vocabulary(
@@ -51,6 +53,25 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("doc_kind"))
 
 
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> text_index.TextIndex:
+    """The index of a folder's table, built at its first use by an application and opened after that."""
+    place = (spark.sparkContext.applicationId, sf_dir, name)
+    if place not in _INDEXES:
+        _INDEXES[place] = build().path
+    return text_index.TextIndex(spark, _INDEXES[place])
+
+
+def page_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+    return _stored(spark, sf_dir, "pages", lambda: rank.page_index(pages(spark, sf_dir)))
+
+
+def part_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+    return _stored(spark, sf_dir, "parts", lambda: P.part_index(parts(spark, sf_dir)))
+
+
 def capital_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages set in capitals with one clause per line, the form headings come in."""
     clauses = F.regexp_replace("text", r"[.,!?]+\s*", "\n")
@@ -133,4 +154,5 @@ def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
         pages=pages(spark, sf_dir), documents=documents(spark, sf_dir), figures=figures(spark, sf_dir),
         parts=parts(spark, sf_dir), ref_images=ref_images(spark, sf_dir),
         ocr_boxes=ocr_boxes(spark, sf_dir), page_vectors=page_vectors(spark, sf_dir),
+        page_index=page_index(spark, sf_dir), part_index=part_index(spark, sf_dir),
         vocabulary=VOCABULARY)

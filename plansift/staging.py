@@ -11,9 +11,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: rows that may pass through the driver instead of the shared folder
+PINNED_ROWS = 20_000
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -33,3 +36,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{staging_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pinned(df: DataFrame, label: str, limit: int = PINNED_ROWS) -> tuple[DataFrame, pa.Table | None]:
+    """``df`` evaluated once, and its rows where they are few.
+
+    A result of at most ``limit`` rows becomes a local relation, which the optimizer
+    knows the size of; a larger one is staged.
+    """
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows <= limit:
+        return df.sparkSession.createDataFrame(rows, df.schema), rows
+    return stage(df, label), None

@@ -1,15 +1,16 @@
 """Uploaded pages flow into the stored index as they arrive.
 
 The batch engine rebuilds everything after an upload; a stream of new pages only
-has to index those pages.  Each micro-batch becomes one index batch under its own
-id, so a batch replayed after a failure replaces itself.
+has to index those pages.  Each micro-batch becomes one index segment under its own
+number, so a batch replayed after a failure replaces itself; a page that is sent again
+takes the place of its earlier version.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from plansift.sources import index_store
+from plansift.sources import text_index
 
 
 def new_files(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
@@ -24,7 +25,7 @@ def index_stream(pages: DataFrame, key: str, columns: list[str], path: str, chec
     """Index every page of a stream that is there now, then stop."""
     def load(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            index_store.write_batch(batch, key, columns, path, first_batch + batch_id)
+            text_index.write_segment(batch, key, columns, path, first_batch + batch_id)
 
     return (pages.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

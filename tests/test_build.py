@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plansift import plugins
-from plansift.operators import cache, fts, rank
+from plansift.operators import cache, rank
 from plansift.plans.build import build
-from plansift.sources import encodings, index_store
+from plansift.sources import encodings, text_index
 from plansift.vocab import Vocabulary
 
 
@@ -38,9 +38,8 @@ def test_catalogue_from_sources(spark, table, tmp_path):
         assert np.linalg.norm(r.vec) == pytest.approx(1.0, abs=1e-6)
 
     questions = table("qid int, question string", [(1, "broom seal"), (2, "10x2-t")])
-    asked = rank.understand(questions, vocabulary)
-    scored = index_store.search(spark, f"{path}/index", "page_id", fts.PAGE_WEIGHTS, fts.phrase_rows(asked))
-    hits = rank.search_pages(tables["pages"], questions, vocabulary, 3, scored=scored).collect()
+    index = text_index.TextIndex(spark, f"{path}/page_index")
+    hits = rank.search_pages(tables["pages"], questions, vocabulary, 3, index=index).collect()
     first = {r.qid: r for r in hits if r["rank"] == 1}
     assert first[1].page_id == 2 and first[1].has_ocr and first[1].score == 100
     assert first[2].ref_hit and first[2].page_id in (1, 3)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plansift.functions import text as T
 from plansift.operators import facets, fts, rank
-from plansift.sources import index_store
+from plansift.sources import text_index
 from plansift.vocab import Vocabulary
 
 VOCAB = Vocabulary(system_aliases={"S1": ("s1 ",)})
@@ -54,7 +54,7 @@ def word_list(text):
 
 def test_bm25_equals_the_formula(spark, pages, questions):
     asked = rank.understand(questions, VOCAB)
-    rows = fts.search(rank.indexed_pages(pages), "page_id", fts.PAGE_WEIGHTS, fts.phrase_rows(asked)).collect()
+    rows = text_index.search(rank.page_index(pages), "page_id", fts.PAGE_WEIGHTS, fts.phrase_rows(asked)).collect()
     docs = {i: [(1.0, word_list(t)), (3.0, word_list(f"title {s} brochure"))] for i, t, s in TEXTS}
     for q in asked.collect():
         wide = brute_bm25(docs, {w: 1 for w in q.expanded})
@@ -67,24 +67,42 @@ def test_bm25_equals_the_formula(spark, pages, questions):
         assert got == pytest.approx({d: strict[d] for d in full}, abs=1e-8)
 
 
-def test_stored_index_gives_the_same_scores(spark, pages, questions, tmp_path):
-    asked = rank.understand(questions, VOCAB)
-    docs, phrases = rank.indexed_pages(pages), fts.phrase_rows(asked)
-    columns = list(fts.PAGE_WEIGHTS)
-    path = str(tmp_path / "index")
-    # two loads, the second one repeated, as after a failed attempt
-    index_store.write_batch(docs.filter("page_id <= 3"), "page_id", columns, path, 0)
-    index_store.write_batch(docs.filter("page_id > 3"), "page_id", columns, path, 1)
-    index_store.write_batch(docs.filter("page_id > 3"), "page_id", columns, path, 1)
-
-    def scores(df):
-        return {(r.qid, r.page_id): (r.all_score, r.any_score) for r in df.collect()}
-    want = scores(fts.search(docs, "page_id", fts.PAGE_WEIGHTS, phrases))
-    got = scores(index_store.search(spark, path, "page_id", fts.PAGE_WEIGHTS, phrases))
-    assert want and got == want
-
-
-def test_streamed_pages_reach_the_index(spark, pages, questions, tmp_path):
+def scores(df):
+    return {(r.qid, r.page_id): (r.all_score, r.any_score) for r in df.collect()}
+
+
+def full_search(spark, path, phrases):
+    return scores(text_index.search(text_index.TextIndex(spark, path), "page_id", fts.PAGE_WEIGHTS, phrases))
+
+
+def test_segments_equal_a_rebuild(spark, pages, questions, tmp_path):
+    """New, changed, repeated and deleted pages: the segments together search like one fresh index."""
+    phrases, columns = fts.phrase_rows(rank.understand(questions, VOCAB)), list(fts.PAGE_WEIGHTS)
+    docs, path = rank.indexed_pages(pages), str(tmp_path / "index")
+    text_index.write_segment(docs.filter("page_id <= 3"), "page_id", columns, path, 0)
+    for _ in range(2):  # the second load repeats the first, as after a failed attempt
+        text_index.write_segment(docs.filter("page_id > 3"), "page_id", columns, path, 1)
+    want = scores(text_index.search(text_index.build(docs, "page_id", columns), "page_id", fts.PAGE_WEIGHTS, phrases))
+    assert want and full_search(spark, path, phrases) == want
+
+    changed = docs.filter("page_id in (1, 4)").withColumn("text", F.lit("door seal beads, door"))
+    text_index.write_segment(changed, "page_id", columns, path, 2)
+    text_index.write_segment(changed.filter("page_id = 4").withColumn("text", F.lit("")), "page_id", columns, path, 3)
+    text_index.delete_pages(spark, path, docs.filter("page_id = 2").select(F.col("page_id").alias("page")), 9)
+    now = docs.filter("page_id in (3, 5, 6)").unionByName(changed.filter("page_id = 1")).unionByName(
+        changed.filter("page_id = 4").withColumn("text", F.lit("")))
+    fresh = text_index.build(now, "page_id", columns)
+    opened = text_index.TextIndex(spark, path)
+    assert (opened.n, opened.total_len) == (fresh.n, fresh.total_len) and opened.n == 5
+    want = scores(text_index.search(fresh, "page_id", fts.PAGE_WEIGHTS, phrases))
+    assert want and full_search(spark, path, phrases) == want
+    assert scores(text_index.top_pages(opened, "page_id", fts.PAGE_WEIGHTS, phrases, 2)) == scores(
+        text_index.top_pages(fresh, "page_id", fts.PAGE_WEIGHTS, phrases, 2))
+    share = {r.phrase: r.share for r in text_index.page_share(opened, fts.PAGE_WEIGHTS, phrases).collect()}
+    assert share["door"] == pytest.approx(2 / 5) and share["zzz"] == 0
+
+
+def test_streamed_pages_are_found(spark, pages, questions, tmp_path):
     from plansift.streaming import intake
     docs = rank.indexed_pages(pages)
     incoming, path = str(tmp_path / "incoming"), str(tmp_path / "index")
@@ -94,13 +112,78 @@ def test_streamed_pages_reach_the_index(spark, pages, questions, tmp_path):
         stream = spark.readStream.schema(docs.schema).parquet(incoming)
         intake.index_stream(stream, "page_id", list(fts.PAGE_WEIGHTS), path, str(tmp_path / "state")).awaitTermination()
     load()
-    docs.coalesce(1).filter("page_id > 4").write.mode("append").parquet(incoming)
+    docs.coalesce(1).filter("page_id >= 4").write.mode("append").parquet(incoming)  # page 4 comes again
     load()
-    assert index_store.corpus(spark, path).collect()[0]["n"] == len(TEXTS)
+    index = text_index.TextIndex(spark, path)
+    assert index.n == len(TEXTS)
+
+    def found(index):
+        return [(r.qid, r["rank"], r.page_id, r.raw_score) for r in rank.search_pages(pages, questions, VOCAB, 4, index=index).collect()]
+    assert sorted(found(index)) == sorted(found(None)) and {r[2] for r in found(index)} >= {5, 6} - {5}
+
+
+def many_pages(spark):
+    """A page table whose words differ in frequency, with many equal scores."""
+    words = F.concat_ws(" ", *[F.when(F.expr(f"pmod(hash(id, {i}), {i + 2})") == 0, F.repeat(F.lit(f"word{i} "), i % 3 + 1)) for i in range(12)])
+    return spark.range(2000).select(F.col("id").alias("page_id"), F.concat(words, F.lit(" x"), F.expr("repeat(' filler', cast(id % 40 as int))")).alias("text"))
+
+
+def test_best_pages_open_fewer_blocks(spark, table):
+    docs = many_pages(spark)
+    index = text_index.build(docs, "page_id", ["text"])
+    weights, k = {"text": 1.0}, 10
+    words = [(1, ["word10", "word9"]), (2, ["word"]), (3, ["x", "word5"]), (4, ["word1", "word2", "word3"]), (5, ["none"])]
+    rows = [(q, w, 1, 1) for q, ws in words for w in ws]
+    phrases = table("qid int, phrase string, n_all long, n_any int", rows)
+    everything = text_index.search(index, "page_id", weights, phrases).collect()
+    best = {(r.qid, r.page_id): (r.all_score, r.any_score) for r in text_index.top_pages(index, "page_id", weights, phrases, k).collect()}
+    for q, _ in words:
+        for column in ("any_score", "all_score"):
+            want = sorted((r[column], r.page_id) for r in everything if r.qid == q and r[column] is not None)[:k]
+            at = ("all_score", "any_score").index(column)
+            got = sorted((v[at], p) for (qid, p), v in best.items() if qid == q and v[at] is not None)[:k]
+            assert got == want, (q, column)
+    matched = text_index.Matched(index, phrases)
+    held = text_index.phrase_blocks(index, matched, weights)
+    uses = text_index.weighted_uses(index, held, matched)
+    bounded = text_index.bounds(held, uses)
+    opened = text_index.first_blocks(bounded, k)
+    scored = text_index.score(index, matched, uses, weights, "page_id", opened)
+    left = text_index.blocks_left(bounded, opened, scored, k, "page_id")
+    per_question = [{r.qid: r["count"] for r in df.groupBy("qid").count().collect()} for df in (bounded, opened, left)]
+    assert sum(per_question[1].values()) + sum(per_question[2].values()) < sum(per_question[0].values())
+    assert per_question[1][1] + per_question[2].get(1, 0) < per_question[0][1]
+    plan = text_index.score(index, matched, uses, weights, "page_id", opened)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SelectedBucketsCount" in plan
+    # a bound is never below a score of its block
+    bound = {(r.qid, r.block): (r.any_bound, r.all_bound) for r in bounded.collect()}
+    place = {r.page: r.block for r in spark.read.parquet(f"{index.path}/pages").collect()}
+    for r in everything:
+        assert -r.any_score <= bound[r.qid, place[r.page_id]][0] + 1e-8
+        assert r.all_score is None or -r.all_score <= bound[r.qid, place[r.page_id]][1] + 1e-8
+
+
+def test_search_without_broadcasts(spark, pages, questions):
     phrases = fts.phrase_rows(rank.understand(questions, VOCAB))
-    got = {(r.qid, r.page_id): r.any_score for r in index_store.search(spark, path, "page_id", fts.PAGE_WEIGHTS, phrases).collect()}
-    want = {(r.qid, r.page_id): r.any_score for r in fts.search(docs, "page_id", fts.PAGE_WEIGHTS, phrases).collect()}
-    assert got == want
+    index = rank.page_index(pages)
+    want = full_search(spark, index.path, phrases)
+    kept = text_index.pinned
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    text_index.pinned = lambda df, label: (text_index.stage(df, label), None)  # as if nothing were small
+    try:
+        assert full_search(spark, index.path, phrases) == want
+        top = scores(text_index.top_pages(text_index.TextIndex(spark, index.path), "page_id", fts.PAGE_WEIGHTS, phrases, 3))
+        assert top and all(want[k] == v for k, v in top.items())
+    finally:
+        text_index.pinned = kept
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_single_letters_count(spark, table):
+    docs = table("page_id long, text string", [(1, "a b c"), (2, "bb"), (3, "é x"), (4, None), (5, "")])
+    phrases = table("qid int, phrase string, n_all long, n_any int", [(1, "b", 1, 1), (2, "e", 1, 1), (3, "a", 1, 1), (3, "x", 1, 1)])
+    got = text_index.search(text_index.build(docs, "page_id", ["text"]), "page_id", {"text": 1.0}, phrases).collect()
+    assert sorted((r.qid, r.page_id, r.all_score is None) for r in got) == [(1, 1, False), (1, 2, False), (2, 3, False), (3, 1, True), (3, 3, True)]
 
 
 def test_confidence_is_evidence_not_rank(spark, pages, questions, table):
@@ -183,14 +266,6 @@ def test_breadth(table, question, ref, pages_, share, coverage, score, broad):
     assert got[0][0] is broad
 
 
-def test_page_text_is_read_once_for_matching(spark, pages, questions):
-    """The scan of a search prunes to the indexed columns and is not repeated per phrase."""
-    phrases = fts.phrase_rows(rank.understand(questions, VOCAB))
-    plan = fts.phrase_frequencies(fts.token_rows(rank.indexed_pages(pages), "page_id", fts.PAGE_WEIGHTS), "page_id", phrases)
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert text.count("Generate explode(g") <= 2 and "CartesianProduct" not in text
-
-
 def test_families_count_every_matching_part(spark, table):
     from plansift.operators import facets
     from plansift.vocab import Vocabulary
