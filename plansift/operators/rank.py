@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from plansift.catalogue import page_title_text
 from plansift.functions import refs as R, text as T, vectors as X
 from plansift.operators import fts
-from plansift.operators.relational import (BROADCAST_ROWS, broadcast_within, rows_up_to,
-                                           small_batches, top_per_key, union_all, within_budget)
-from plansift.sources import text_index
-from plansift.staging import stage
+from plansift.operators.relational import top_per_key, within_budget
+from plansift.sources import text_index, vector_index
+from plansift.staging import small
 from plansift.vocab import Vocabulary
 
 # fixed values: weights of the evidence score
@@ -47,20 +46,16 @@ def page_index(pages: DataFrame, path: str | None = None) -> text_index.TextInde
     return text_index.build(indexed_pages(pages), "page_id", list(fts.PAGE_WEIGHTS), path, near=("title",))
 
 
-def semantic_hits(page_vectors: DataFrame, query_vectors: DataFrame, k: int = DENSE_FLOOR) -> DataFrame:
+def semantic_hits(page_vectors: DataFrame, query_vectors: DataFrame, k: int = DENSE_FLOOR,
+                  index: vector_index.VectorIndex | None = None) -> DataFrame:
     """``qid, page_id, cos, dense_rank``: the k nearest pages of every query vector.
 
-    The query vectors (a handful, one per question) travel to the page vectors as
-    one array value, so the search is a projection over the vector table followed
-    by a top-k that each task applies before anything is shuffled.
+    With the stored ``index`` only the cells that can hold a neighbour are read; without it every
+    vector is compared, by one matrix product a batch and with a top-k in each task.
     """
-    def nearest(queries):
-        batch = queries.agg(F.collect_list(F.struct("qid", F.col("vec").alias("qvec")))).scalar()
-        pairs = page_vectors.filter(F.col("vec").isNotNull()).select("page_id", "vec", F.explode(batch).alias("q"))
-        sims = pairs.select("q.qid", "page_id", X.dot(F.col("vec"), F.col("q.qvec")).alias("cos"))
-        return top_per_key(sims, ["qid"], [F.desc("cos"), F.asc("page_id")], k, rank="dense_rank")
-
-    return union_all([nearest(batch) for batch in small_batches(query_vectors, "qid")])
+    hits = index.nearest(query_vectors, k) if index else vector_index.nearest_rows(
+        page_vectors.select("page_id", "vec"), query_vectors, k)
+    return hits.withColumnRenamed("rank", "dense_rank")
 
 
 def candidates(scored: DataFrame, pool: int, dense: DataFrame | None = None) -> DataFrame:
@@ -137,14 +132,13 @@ def _evidence(joined: DataFrame) -> DataFrame:
             .withColumn("coverage", F.bround("full_coverage", 2)))
 
 
-def _with_drawings(rows: DataFrame, figures: DataFrame | None, bound: int | None) -> DataFrame:
+def _with_drawings(rows: DataFrame, figures: DataFrame | None, pages: DataFrame) -> DataFrame:
     if figures is None:
         return rows.withColumn("figure_count", F.lit(0).cast("bigint"))
-    wanted = broadcast_within(rows.filter("wants_drawings").select("page_id").distinct(), bound)
-    counts = drawing_counts(figures.join(wanted, "page_id", "left_semi"))
+    counts = small(drawing_counts(figures.join(pages, "page_id", "left_semi")), "drawing-counts")
     n = F.when(F.col("wants_drawings"), F.coalesce("figure_count", F.lit(0))).otherwise(F.lit(0))
     boost = F.when(n > 0, F.lit(DRAWING_BONUS) + F.lit(DRAWING_STEP) * F.least(n, F.lit(DRAWING_LIMIT)))
-    return (rows.join(broadcast_within(counts, bound), "page_id", "left").withColumn("figure_count", n)
+    return (rows.join(counts, "page_id", "left").withColumn("figure_count", n)
             .withColumn("raw_score", F.col("raw_score") + F.coalesce(boost, F.lit(0.0))))
 
 
@@ -161,25 +155,24 @@ def confidence(rows: DataFrame) -> DataFrame:
 def search_pages(pages: DataFrame, questions: DataFrame, vocabulary: Vocabulary, limit: int = 8,
                  figures: DataFrame | None = None, page_vectors: DataFrame | None = None,
                  query_vectors: DataFrame | None = None,
-                 index: text_index.TextIndex | None = None) -> DataFrame:
+                 index: text_index.TextIndex | None = None,
+                 vectors: vector_index.VectorIndex | None = None) -> DataFrame:
     """Ranked pages per question, best first (``rank`` from 1).
 
-    ``index`` is the stored index; without one, the pages are indexed first.  Only the
+    ``index`` and ``vectors`` are the stored indexes; without the first, the pages are indexed first.  Only the
     candidate pool ever meets page text.
     """
-    asked = understand(questions, vocabulary)
+    asked = small(understand(questions, vocabulary), "questions")
     pool = max(limit * POOL_FACTOR, POOL_FLOOR)
     scored = text_index.top_pages(index or page_index(pages), "page_id", fts.PAGE_WEIGHTS, fts.phrase_rows(asked), pool)
     dense = None
     if page_vectors is not None and query_vectors is not None:
         prose = asked.filter(~F.col("is_ref")).select("qid")
         dense = semantic_hits(page_vectors, query_vectors.join(prose, "qid", "left_semi"),
-                              max(limit, DENSE_FLOOR))
-    chosen = stage(candidates(scored, pool, dense), "candidates")
-    bound = rows_up_to(chosen, BROADCAST_ROWS)
-    joined = pages.join(broadcast_within(chosen, bound), "page_id").join(
-        broadcast_within(asked, bound), "qid")
-    rows = confidence(_with_drawings(_evidence(joined), figures, bound))
+                              max(limit, DENSE_FLOOR), vectors)
+    chosen = small(candidates(scored, pool, dense), "candidates")
+    joined = pages.join(chosen, "page_id").join(asked, "qid")
+    rows = confidence(_with_drawings(_evidence(joined), figures, chosen.select("page_id")))
     rows = rows.filter(~F.col("is_ref") | F.col("supported"))
     top = top_per_key(rows, ["qid"], [F.desc("raw_score"), F.asc("position")], limit)
     shown_text = F.coalesce(F.nullif("text", F.lit("")), F.col("ocr_text"))

@@ -67,7 +67,7 @@ def _ranked(questions: DataFrame, catalogue: Catalogue, query_vectors: DataFrame
         hits = rank.search_pages(
             catalogue.pages, sized.filter(F.col("size") == size).select("qid", "question"), catalogue.vocabulary,
             size, catalogue.figures, catalogue.page_vectors if query_vectors is not None else None, query_vectors,
-            catalogue.page_index)
+            catalogue.page_index, catalogue.vector_index)
         found = hits if found is None else found.unionByName(hits)
     return stage(found, "ranked")
 

@@ -3,13 +3,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plansift import plugins
 from plansift.functions import text as T
 from plansift.operators import parts as P, rank
 from plansift.operators.relational import replace_groups, update_column
-from plansift.sources import index_store, ingest
+from plansift.catalogue import Catalogue
+from plansift.sources import index_store, ingest, text_index, vector_index
 from plansift.vocab import Vocabulary
 
 
@@ -36,8 +37,12 @@ def page_vectors(pages: DataFrame, factory: Callable[[], plugins.Encoder]) -> Da
 
 def build(path: str, decoded_pages: DataFrame, root: str, workbook_cells: DataFrame, photos: DataFrame,
           vocabulary: Vocabulary, recogniser: Callable[[], plugins.Recogniser] | None = None,
-          encoder: Callable[[], plugins.Encoder] | None = None) -> dict[str, DataFrame]:
-    """Write every table and the full-text indexes of pages and parts below ``path``; returns the tables.
+          encoder: Callable[[], plugins.Encoder] | None = None, regions: DataFrame | None = None,
+          descriptors: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Write every table and the indexes of pages, parts and vectors below ``path``; returns the tables.
+
+    ``regions`` (``image_key, region_no, vec``) and ``descriptors`` (``image_key`` and bit hashes) of the
+    catalogue's images are written with the rest and read back by :func:`open_catalogue`.
 
     Order matters: parts and photos give the known references, pages are checked
     against them, recognised text arrives before the index and the vectors.
@@ -62,6 +67,22 @@ def build(path: str, decoded_pages: DataFrame, root: str, workbook_cells: DataFr
     if encoder is not None:
         index_store.write_tables({"page_vectors": page_vectors(tables["pages"], encoder)}, path)
         tables["page_vectors"] = spark.read.parquet(f"{path}/page_vectors")
+        vector_index.write_vectors(tables["page_vectors"], f"{path}/page_vector_index")
+    if regions is not None:
+        vector_index.write_vectors(regions, f"{path}/region_index", keys=("image_key", "region_no"))
+    if descriptors is not None:
+        index_store.write_tables({"descriptors": descriptors}, path)
+        tables["descriptors"] = spark.read.parquet(f"{path}/descriptors")
     rank.page_index(tables["pages"], f"{path}/page_index")
     P.part_index(tables["parts"], f"{path}/part_index")
     return tables
+
+
+def open_catalogue(spark: SparkSession, path: str, vocabulary: Vocabulary, vectors: bool = False, regions: bool = False) -> Catalogue:
+    """The catalogue written by :func:`build`, with its indexes; ``vectors`` and ``regions`` say what was built besides."""
+    names = ["pages", "documents", "parts", "ref_images", *(["page_vectors"] if vectors else [])]
+    return Catalogue(**index_store.read_tables(spark, path, names), vocabulary=vocabulary,
+                     page_index=text_index.TextIndex(spark, f"{path}/page_index"),
+                     part_index=text_index.TextIndex(spark, f"{path}/part_index"),
+                     vector_index=vector_index.VectorIndex(spark, f"{path}/page_vector_index") if vectors else None,
+                     region_index=vector_index.VectorIndex(spark, f"{path}/region_index") if regions else None)

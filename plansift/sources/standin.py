@@ -5,12 +5,15 @@ figures, embeddings -> vectors.  Every view covers its whole table.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plansift.catalogue import Catalogue
 from plansift.functions import refs as R
 from plansift.operators import parts as P, rank
-from plansift.sources import text_index
+from plansift.sources import text_index, vector_index
+from plansift.staging import staging_root
 from plansift.vocab import Vocabulary
 
 VOCABULARY = Vocabulary(
@@ -72,6 +75,15 @@ def part_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
     return _stored(spark, sf_dir, "parts", lambda: P.part_index(parts(spark, sf_dir)))
 
 
+def vectors_on_disk(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
+    place = (spark.sparkContext.applicationId, sf_dir, "vectors")
+    if place not in _INDEXES:
+        path = f"{staging_root(spark)}/vector-index-{uuid.uuid4().hex}"
+        vector_index.write_vectors(page_vectors(spark, sf_dir), path)
+        _INDEXES[place] = path
+    return vector_index.VectorIndex(spark, _INDEXES[place])
+
+
 def capital_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages set in capitals with one clause per line, the form headings come in."""
     clauses = F.regexp_replace("text", r"[.,!?]+\s*", "\n")
@@ -155,4 +167,5 @@ def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
         parts=parts(spark, sf_dir), ref_images=ref_images(spark, sf_dir),
         ocr_boxes=ocr_boxes(spark, sf_dir), page_vectors=page_vectors(spark, sf_dir),
         page_index=page_index(spark, sf_dir), part_index=part_index(spark, sf_dir),
+        vector_index=vectors_on_disk(spark, sf_dir),
         vocabulary=VOCABULARY)

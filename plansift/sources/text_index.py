@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plansift.operators import fts
 from plansift.operators.relational import top_per_key, union_all
-from plansift.staging import pinned, stage, staging_root
+from plansift.staging import pinned, small, stage, staging_root
 
 #: pages of a block: one bit each of a 64-bit word
 BLOCK_PAGES = 64
@@ -172,18 +172,12 @@ class Matched:
         terms = terms.distinct() if len(index.segments) > 1 else terms
         starts = F.transform(F.filter("lengths", lambda n: n <= F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))
         rows = terms.withColumn("lengths", lengths).select("term", F.explode(starts).alias("phrase")).join(wanted, "phrase")
-        self.rows = _small(rows.select("term", "phrase"), "phrase-terms")
+        self.rows = small(rows.select("term", "phrase"), "phrase-terms")
 
     def of(self, blocks: DataFrame) -> DataFrame:
         return blocks.filter(self.range).join(self.rows, "term")
 
 
-def _small(df: DataFrame, label: str) -> DataFrame:
-    """``df`` evaluated once, with a broadcast hint where its rows were counted and are few."""
-    table, rows = pinned(df, label)
-    return table if rows is None else F.broadcast(table)
-
-
 def phrase_blocks(index: TextIndex, matched: Matched, weights: Mapping[str, float]) -> DataFrame:
     """``segment, block, phrase, mask, most, densest``: which pages of a block hold a phrase, and what bounds its frequency
     and its share of a page."""
@@ -210,7 +204,7 @@ def weighted_uses(index: TextIndex, held: DataFrame, matched: Matched) -> DataFr
     idf = document_frequencies(held).select("phrase", fts.idf(F.lit(float(index.n)), F.col("n")).alias("idf"))
     average = index.total_len / index.n if index.n else 0.0
     uses = matched.phrases.withColumn("n_needed", n_needed).join(idf, "phrase").withColumn("avg_len", F.lit(float(average)))
-    return _small(uses, "uses")
+    return small(uses, "uses")
 
 
 def score(index: TextIndex, matched: Matched, uses: DataFrame, weights: Mapping[str, float], key: str,

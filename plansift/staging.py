@@ -12,7 +12,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SETTING = "spark.checkpoint.dir"
 #: rows that may pass through the driver instead of the shared folder
@@ -48,3 +48,9 @@ def pinned(df: DataFrame, label: str, limit: int = PINNED_ROWS) -> tuple[DataFra
     if rows.num_rows <= limit:
         return df.sparkSession.createDataFrame(rows, df.schema), rows
     return stage(df, label), None
+
+
+def small(df: DataFrame, label: str) -> DataFrame:
+    """``df`` evaluated once, with a broadcast hint where its rows were counted and are few."""
+    table, rows = pinned(df, label)
+    return table if rows is None else F.broadcast(table)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from plansift import plugins
 from plansift.operators import cache, rank
-from plansift.plans.build import build
-from plansift.sources import encodings, text_index
+from plansift.plans.build import build, open_catalogue
+from plansift.sources import encodings
 from plansift.vocab import Vocabulary
 
 
@@ -28,7 +28,10 @@ def test_catalogue_from_sources(spark, table, tmp_path):
     def encoder():
         return lambda texts: [[float(len(t)), 1.0] for t in texts]
 
-    tables = build(path, pages, "/in", cells, photos, vocabulary, recogniser, encoder)
+    regions = table("image_key long, region_no long, vec doubles", [(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 0, [0.6, 0.8])])
+    hashes = table("image_key long, phash long", [(1, 5), (2, 9)])
+    tables = build(path, pages, "/in", cells, photos, vocabulary, recogniser, encoder, regions, hashes)
+    assert sorted(map(tuple, tables["descriptors"].collect())) == [(1, 5), (2, 9)]
     got = sorted(tables["pages"].collect(), key=lambda r: r.page_id)
     assert [(r.page_id, r.page_num, r.system, r.doc_kind, r.ocr_text, r.refs) for r in got] == [
         (1, 1, "ALPHA", "fabrication drawing", "", ["10X2T"]), (2, 2, "ALPHA", "fabrication drawing", "broom seal", []),
@@ -38,8 +41,12 @@ def test_catalogue_from_sources(spark, table, tmp_path):
         assert np.linalg.norm(r.vec) == pytest.approx(1.0, abs=1e-6)
 
     questions = table("qid int, question string", [(1, "broom seal"), (2, "10x2-t")])
-    index = text_index.TextIndex(spark, f"{path}/page_index")
-    hits = rank.search_pages(tables["pages"], questions, vocabulary, 3, index=index).collect()
+    stored = open_catalogue(spark, path, vocabulary, vectors=True, regions=True)
+    near = stored.region_index.nearest(table("qid int, vec doubles", [(1, [0.0, 1.0])]), 2).collect()
+    assert [(r.image_key, r.region_no) for r in sorted(near, key=lambda r: r["rank"])] == [(1, 1), (2, 0)]
+    dense = stored.vector_index.nearest(stored.page_vectors.select(F.col("page_id").alias("qid"), "vec"), 1).collect()
+    assert all(r.cos == pytest.approx(1.0, abs=1e-6) for r in dense) and len(dense) == 3
+    hits = rank.search_pages(stored.pages, questions, vocabulary, 3, index=stored.page_index).collect()
     first = {r.qid: r for r in hits if r["rank"] == 1}
     assert first[1].page_id == 2 and first[1].has_ocr and first[1].score == 100
     assert first[2].ref_hit and first[2].page_id in (1, 3)
