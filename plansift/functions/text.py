@@ -36,8 +36,13 @@ def blank_to_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def word_list(words) -> Column:
+    """Words as one constant, folded into the plan as an array literal."""
+    return F.from_json(F.lit(json.dumps(list(words), ensure_ascii=False)), "array<string>")
+
+
 def has_any(words: Column, vocabulary) -> Column:
-    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in vocabulary]))
+    return F.arrays_overlap(words, word_list(vocabulary))
 
 
 # ------------------------------------------------------------------ questions
@@ -48,7 +53,7 @@ def tokens(c: Column) -> Column:
 
 
 def drop_stop_words(toks: Column) -> Column:
-    return F.filter(toks, lambda t: ~t.isin(*V.STOP_WORDS))
+    return F.filter(toks, lambda t: ~F.array_contains(word_list(V.STOP_WORDS), t))
 
 
 def content_tokens(c: Column) -> Column:

@@ -56,15 +56,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("doc_kind"))
 
 
-_INDEXES: dict[tuple[str, str, str], str] = {}
+_INDEXES: dict[tuple[str, str, str], text_index.TextIndex | vector_index.VectorIndex] = {}
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> text_index.TextIndex:
-    """The index of a folder's table, built at its first use by an application and opened after that."""
+    """The index of a folder's table, built at its first use by an application."""
     place = (spark.sparkContext.applicationId, sf_dir, name)
     if place not in _INDEXES:
-        _INDEXES[place] = build().path
-    return text_index.TextIndex(spark, _INDEXES[place])
+        _INDEXES[place] = build()
+    return _INDEXES[place]
 
 
 def page_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
@@ -80,8 +80,8 @@ def vectors_on_disk(spark: SparkSession, sf_dir: str) -> vector_index.VectorInde
     if place not in _INDEXES:
         path = f"{staging_root(spark)}/vector-index-{uuid.uuid4().hex}"
         vector_index.write_vectors(page_vectors(spark, sf_dir), path)
-        _INDEXES[place] = path
-    return vector_index.VectorIndex(spark, _INDEXES[place])
+        _INDEXES[place] = vector_index.VectorIndex(spark, path)
+    return _INDEXES[place]
 
 
 def capital_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Mapping
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -167,9 +166,11 @@ class Matched:
             wanted = F.broadcast(index.spark.createDataFrame(pa.table({"phrase": pa.array(prefixes, pa.string())})))
             lengths = F.array(*[F.lit(n) for n in sorted({len(p) for p in prefixes})]).cast("array<int>")
             if len(prefixes) <= LITERALS:  # the range of each prefix reaches the scan, which skips row groups by it
-                self.range = reduce(lambda a, b: a | b, [F.col("term").between(p, p + "\U0010FFFF") for p in prefixes], F.lit(False))
+                # phrases are letters and digits only
+                self.range = F.expr(" OR ".join(f"term BETWEEN '{p}' AND '{p}\U0010FFFF'" for p in prefixes) or "false")
         terms = index.spark.read.parquet(f"{index.path}/terms").filter(self.range).select("term")
-        terms = terms.distinct() if len(index.segments) > 1 else terms
+        if len(index.segments) > 1:
+            terms = terms.distinct()
         starts = F.transform(F.filter("lengths", lambda n: n <= F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))
         rows = terms.withColumn("lengths", lengths).select("term", F.explode(starts).alias("phrase")).join(wanted, "phrase")
         self.rows = small(rows.select("term", "phrase"), "phrase-terms")
@@ -222,7 +223,8 @@ def score(index: TextIndex, matched: Matched, uses: DataFrame, weights: Mapping[
             here = pairs.filter(F.col("segment") == segment).select("qid", "block")
             if listed is not None:
                 numbers = {r["block"] for r in listed.to_pylist() if r["segment"] == segment}
-                blocks = blocks.filter(F.col("block").isin(*numbers)) if len(numbers) <= LITERALS else blocks
+                if len(numbers) <= LITERALS:
+                    blocks = blocks.filter(f"block IN ({', '.join(map(str, numbers)) or 'null'})")
                 here = F.broadcast(here)
         rows = matched.of(blocks.select("block", "term", "pages"))
         if here is not None:

@@ -41,12 +41,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def pinned(df: DataFrame, label: str, limit: int = PINNED_ROWS) -> tuple[DataFrame, pa.Table | None]:
     """``df`` evaluated once, and its rows where they are few.
 
-    A result of at most ``limit`` rows becomes a local relation, which the optimizer
-    knows the size of; a larger one is staged.
+    A result of at most ``limit`` rows becomes a local relation of one partition: its size is
+    known, and grouping or ranking it needs no exchange.  A larger one is staged.
     """
     rows = df.limit(limit + 1).toArrow()
     if rows.num_rows <= limit:
-        return df.sparkSession.createDataFrame(rows, df.schema), rows
+        return df.sparkSession.createDataFrame(rows, df.schema).coalesce(1), rows
     return stage(df, label), None
 
 
