@@ -5,11 +5,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plansift.functions import refs as R, text as T
-from plansift.operators import fts
+from plansift.operators import affix, fts
 from plansift.operators.relational import (BROADCAST_ROWS, broadcast_within, explode_once, keep_first, priority_union,
                                            rows_up_to, small_batches, top_per_key, union_all)
 from plansift.sources import text_index
-from plansift.staging import stage
+from plansift.staging import pinned, small, stage
 from plansift.vocab import Vocabulary
 
 # fixed values: relevance weights and the fuzzy cut-off
@@ -26,15 +26,15 @@ def first_photo(ref_images: DataFrame) -> DataFrame:
     return first.select("ref_norm", F.concat(F.lit(PHOTO_ROOT), "filename").alias("photo"))
 
 
-def with_photo(parts: DataFrame, ref_images: DataFrame, bound: int | None = None) -> DataFrame:
+def with_photo(parts: DataFrame, ref_images: DataFrame, few: bool = False) -> DataFrame:
     """Left lookup of the first photo.
 
-    When the part side is known to be small, photos are reduced to its references
-    before they are grouped, so the photo table is read but never shuffled whole.
+    Where ``few`` parts are expected (a top-k), they are evaluated first and photos are reduced to
+    their references before they are grouped: the photo table is read but never shuffled whole.
     """
-    if bound is not None:
-        wanted = broadcast_within(parts.select("ref_norm").distinct(), bound)
-        ref_images = ref_images.join(wanted, "ref_norm", "left_semi")
+    if few:
+        parts = pinned(parts, "shown-parts")[0]
+        ref_images = ref_images.join(small(parts.select("ref_norm").distinct(), "shown-refs"), "ref_norm", "left_semi")
     return parts.join(first_photo(ref_images), "ref_norm", "left")
 
 
@@ -92,36 +92,26 @@ def lookup_parts(wanted: DataFrame, parts: DataFrame, ref_images: DataFrame) ->
 
 
 # ------------------------------------------------------------ positional search
-def _position_hits(patterns: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Rows of ``keyed(ref_norm, ...)`` that satisfy each pattern's position.
-
-    The pattern table holds one row per question.  Its rows travel as one array
-    value, so the reference table is scanned once and filtered in place.
-    """
-    def hits(some):
-        batch = some.agg(F.collect_list(F.struct("qid", "mode", "value", "kind"))).scalar()
-        rows = keyed.withColumn("p", F.explode(batch)).filter(
-            R.matches_position(F.col("ref_norm"), F.col("p.mode"), F.col("p.value")))
-        return rows.select("p.qid", F.col("p.kind").alias("asked_kind"), *keyed.columns)
-
-    return union_all([hits(some) for some in small_batches(patterns, "qid")])
-
-
-def refs_matching(patterns: DataFrame, parts: DataFrame, ref_images: DataFrame, limit: int = 30) -> tuple[DataFrame, DataFrame]:
+def refs_matching(patterns: DataFrame, parts: DataFrame, ref_images: DataFrame, limit: int = 30,
+                  index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(matching references per question, totals per question).
 
     ``patterns`` has ``qid, mode, value, kind``.  A named kind keeps to that kind
     and leaves out photo-only references; otherwise those follow the listed ones.
+    ``index`` is a stored affix index over the references of both tables.  Photos are
+    reduced to hits before they are grouped.
     """
-    listed = _position_hits(patterns, parts).filter(
+    listed = affix.position_hits(patterns, parts, index).filter(
         F.col("asked_kind").isNull() | (F.col("asked_kind") == F.col("kind")))
     listed = keep_first(listed.select("qid", "ref_norm", "part_id", "ref", "kind", "supplier_ref"),
                         ["qid", "ref_norm"], [F.col("part_id")])
-    bare = _position_hits(patterns.filter(F.col("kind").isNull()),
-                          photo_only(parts, ref_images).withColumn("kind", F.lit("photo only")))
+    pictured = affix.position_hits(patterns.filter(F.col("kind").isNull()), ref_images.select("image_id", "ref", "ref_norm"), index)
+    bare = keep_first(pictured.select("qid", "ref_norm", "ref", "image_id"), ["qid", "ref_norm"], [F.col("image_id")])
+    bare = bare.join(parts.select("ref_norm"), "ref_norm", "left_anti").withColumn("kind", F.lit("photo only"))
     rows = listed.select("qid", "ref_norm", "ref", "kind", "supplier_ref", F.col("part_id").alias("hit_id"), F.lit(0).alias("stage")) \
         .unionByName(bare.select("qid", "ref_norm", "ref", "kind", F.lit("").alias("supplier_ref"),
                                  F.lit(None).cast("long").alias("hit_id"), F.lit(1).alias("stage")))
+    rows = pinned(rows, "matching-refs")[0]
     totals = patterns.select("qid").join(
         rows.groupBy("qid").agg(F.count(F.lit(1)).alias("total")), "qid", "left") \
         .select("qid", F.coalesce("total", F.lit(0)).alias("total"))
@@ -131,20 +121,22 @@ def refs_matching(patterns: DataFrame, parts: DataFrame, ref_images: DataFrame,
     merged = merged_designation(listings.withColumn("hit", F.col("part_id") == F.col("hit_id")), ("qid", "ref_norm"), preferred="hit")
     shown = top.join(merged, ["qid", "ref_norm"], "left").withColumn(
         "designation", F.coalesce("designation", F.lit("")))
-    shown = with_photo(shown, ref_images)
+    shown = with_photo(shown, ref_images, few=True)
     return shown.select("qid", "rank", "ref", "ref_norm", "kind", "designation", "supplier_ref", "photo"), totals
 
 
-def near_misses(typed: DataFrame, parts: DataFrame, ref_images: DataFrame, limit: int = 8) -> DataFrame:
+def near_misses(typed: DataFrame, parts: DataFrame, ref_images: DataFrame, limit: int = 8,
+                index: DataFrame | None = None) -> DataFrame:
     """References that start with what was typed (``typed`` has ``qid, key``)."""
     usable = typed.filter((F.length("key") >= 3) & R.has_digit(F.col("key"))).select(
         "qid", F.lit("prefix").alias("mode"), F.col("key").alias("value"), F.lit(None).cast("string").alias("kind"))
     order = [F.length("ref_norm"), F.asc("ref_norm")]
     listed = top_per_key(
-        _position_hits(usable, parts.select("part_id", "ref_norm", "ref", "kind", "designation", "supplier_ref")),
+        affix.position_hits(usable, parts.select("part_id", "ref_norm", "ref", "kind", "designation", "supplier_ref"), index),
         ["qid"], [*order, F.asc("part_id")], limit * NEAR_FACTOR)
-    photos = keep_first(ref_images.select("ref_norm", "ref", "image_id"), ["ref_norm"], [F.col("image_id")])
-    pictured = top_per_key(_position_hits(usable, photos), ["qid"], order, limit * NEAR_FACTOR)
+    photos = affix.position_hits(usable, ref_images.select("ref_norm", "ref", "image_id"), index)
+    photos = keep_first(photos.select("qid", "ref_norm", "ref", "image_id"), ["qid", "ref_norm"], [F.col("image_id")])
+    pictured = top_per_key(photos, ["qid"], order, limit * NEAR_FACTOR)
     fresh = pictured.join(listed.select("qid", "ref_norm").distinct(), ["qid", "ref_norm"], "left_anti")
     rows = listed.select("qid", F.lit(0).alias("stage"), "rank", "ref", "ref_norm", "kind", "designation",
                          "supplier_ref") \
@@ -153,8 +145,8 @@ def near_misses(typed: DataFrame, parts: DataFrame, ref_images: DataFrame, limit
                                   F.lit("").alias("supplier_ref")))
     top = top_per_key(rows.withColumnRenamed("rank", "position"), ["qid"],
                       [F.asc("stage"), F.asc("position")], limit)
-    return with_photo(top, ref_images).select("qid", "rank", "ref", "ref_norm", "kind", "designation",
-                                              "supplier_ref", "photo")
+    return with_photo(top, ref_images, few=True).select("qid", "rank", "ref", "ref_norm", "kind", "designation",
+                                                        "supplier_ref", "photo")
 
 
 def refs_in_question(questions: DataFrame, parts: DataFrame, ref_images: DataFrame) -> DataFrame:
@@ -267,7 +259,7 @@ def find_parts(questions: DataFrame, parts: DataFrame, ref_images: DataFrame, vo
     merged = merged_designation(listings, ("qid", "ref_norm"), preferred="hit")
     named = top.join(merged, ["qid", "ref_norm"], "left").withColumn(
         "designation", F.coalesce("designation", F.lit("")))
-    return with_photo(named, ref_images).select(
+    return with_photo(named, ref_images, few=True).select(
         "qid", "rank", "ref", "ref_norm", "kind", "designation", "supplier_ref", "photo")
 
 
@@ -311,12 +303,53 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(ratios)
 
 
-def _similar_needles(names: pd.Series, needles: pd.Series) -> pd.Series:
-    """For every name, the needles at or above the cut-off."""
-    def one(name, batch):
-        scored = ((n["qid"], token_set_ratio(n["needle"], name)) for n in batch)
-        return [{"qid": q, "similarity": s} for q, s in scored if s >= FUZZY_CUTOFF]
-    return pd.Series([one(n, b) for n, b in zip(names, needles)])
+def _shape(text: Column) -> Column:
+    """What bounds a name's similarity: its different words, their joined length, its letters and its two-letter runs,
+    each occurrence of these by itself."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")))
+
+    def shape(words):
+        joined = F.array_join(words, " ")
+        def runs(n):
+            starts = F.when(F.length(joined) >= n, F.sequence(F.lit(1), F.length(joined) - (n - 1))).otherwise(F.array().cast("array<int>"))
+            return T.let(F.transform(starts, lambda i: F.substring(joined, i, F.lit(n))), lambda all_: F.transform(
+                all_, lambda run, i: F.concat(run, F.size(F.filter(F.slice(all_, F.lit(1), i), lambda before: before == run)).cast("string"))))
+        return F.struct(words.alias("words"), F.length(joined).alias("size"), runs(1).alias("letters"), runs(2).alias("pairs"))
+    return T.let(words, shape)
+
+
+def may_be_similar(a: Column, b: Column) -> Column:
+    """False only where :func:`token_set_ratio` is below the cut-off (``a`` and ``b`` as :func:`_shape` gives them).
+
+    Without a shared word the ratio compares the two joined texts.  Letters kept in order are at most the
+    letters in common; and as a letter left out breaks two two-letter runs and one put in breaks one, three times
+    the letters kept, less both lengths and one, such runs are in common.  With shared words, the texts compared have the
+    same lengths and letters, and the shared words' length against either side counts besides.
+    """
+    total, shorter = a["size"] + b["size"], F.least(a["size"], b["size"])
+    kept = F.lit(FUZZY_CUTOFF / 200) * total
+    lengths = shorter >= kept
+    letters = F.size(F.array_intersect(a["letters"], b["letters"])) >= kept
+    runs = F.size(F.array_intersect(a["pairs"], b["pairs"])) >= 3 * kept - total - 1
+    common = F.length(F.array_join(F.array_intersect(a["words"], b["words"]), " "))
+    shared = F.lit(200.0) * common >= F.lit(FUZZY_CUTOFF) * (common + shorter)
+    return F.when(F.arrays_overlap(a["words"], b["words"]), (lengths & letters) | shared | (common == shorter)).otherwise(
+        lengths & letters & runs)
+
+
+def _similarity(names: pd.Series, needles: pd.Series) -> pd.Series:
+    return pd.Series([token_set_ratio(b, a) for a, b in zip(names, needles)], dtype=float)
+
+
+def fuzzy_candidates(needles: DataFrame, names: DataFrame) -> DataFrame:
+    """``qid, needle, name``: the pairs that bounds do not rule out."""
+    shaped = names.withColumn("shape", _shape(F.col("name")))
+
+    def pairs(some):
+        batch = some.select(F.struct("qid", "needle", _shape(F.col("needle")).alias("shape")).alias("n")).agg(F.collect_list("n")).scalar()
+        rows = shaped.withColumn("batch", batch).withColumn("n", F.explode("batch"))
+        return rows.filter(may_be_similar(F.col("shape"), F.col("n.shape"))).select("n.qid", "n.needle", "name")
+    return union_all([pairs(some) for some in small_batches(needles, "qid")])
 
 
 def fuzzy_parts(needles: DataFrame, parts: DataFrame, limit: int = 6) -> DataFrame:
@@ -324,19 +357,13 @@ def fuzzy_parts(needles: DataFrame, parts: DataFrame, limit: int = 6) -> DataFra
 
     ``needles`` (``qid, needle``) are the few questions nothing lexical answered;
     they travel as one array value.  Names are compared once each: equal names
-    share one comparison before the rows of that name are ranked.
+    share one comparison before the rows of that name are ranked.  Pairs that lengths, words or
+    two-letter runs rule out never reach Python.
     """
-    kind = needles.schema["qid"].dataType.simpleString()
-    similar = F.pandas_udf(_similar_needles, f"array<struct<qid:{kind},similarity:double>>")
     names = parts.filter(F.length("designation") > 0).select(F.lower("designation").alias("name")).distinct()
-
-    def matches(some):
-        batch = some.agg(F.collect_list(F.struct("qid", "needle"))).scalar()
-        return names.select("name", F.explode(similar("name", batch)).alias("hit")).select(
-            "name", "hit.qid", "hit.similarity")
-
-    close = union_all([matches(some) for some in small_batches(needles, "qid")])
-    rows = parts.withColumn("name", F.lower("designation")).join(close, "name")
+    similar = F.pandas_udf(_similarity, "double")
+    close = fuzzy_candidates(needles, names).withColumn("similarity", similar("name", "needle")).filter(F.col("similarity") >= FUZZY_CUTOFF)
+    rows = parts.withColumn("name", F.lower("designation")).join(small(close.select("qid", "name", "similarity"), "close-names"), "name")
     return top_per_key(rows.select("qid", "part_id", "similarity"), ["qid"],
                        [F.desc("similarity"), F.asc("part_id")], limit)
 

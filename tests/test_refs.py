@@ -193,3 +193,79 @@ def test_fuzzy_parts_equal_brute_force(table, library):
             if score >= 72:
                 want[(n.qid, p.part_id)] = score
     assert got == pytest.approx(want)
+
+
+def brute_hits(patterns, refs):
+    fits = {"prefix": str.startswith, "suffix": str.endswith, "contains": str.__contains__}
+    return sorted((q, r) for q, mode, value in patterns for r in refs if fits[mode](r, value))
+
+
+def test_affixes_meet_by_equality(spark, table):
+    import itertools
+
+    from plansift.operators import affix
+
+    refs = ["", "A", "031", "10310", "5031", "ABAB", "É1É", "A1" * 40] + ["".join(x) for x in itertools.product("01A", repeat=5)]
+    values = ["0", "01", "A1A", "0A01", "A1A1A", "É", "", "A1" * 40, "NOPE", "031"]
+    patterns = [(i, mode, v) for i, (mode, v) in enumerate(itertools.product(("prefix", "suffix", "contains"), values))]
+    rows = table("qid int, mode string, value string, kind string", [(*p, None) for p in patterns])
+    keyed = table("ref_norm string, part_id long", [(r, i) for i, r in enumerate(refs)])
+    made = affix.position_hits(rows, keyed)
+    assert sorted((r.qid, r.ref_norm) for r in made.collect()) == brute_hits(patterns, refs)
+    index = affix.affix_index(keyed)
+    filled = [p for p in patterns if p[2]]
+    stored = affix.position_hits(rows.filter("value <> ''"), keyed, index)
+    assert sorted((r.qid, r.ref_norm) for r in stored.collect()) == brute_hits(filled, refs)
+    kept, affix.pinned = affix.pinned, lambda df, label: (df, None)  # as if the patterns were many
+    try:
+        assert sorted((r.qid, r.ref_norm) for r in affix.position_hits(rows, keyed).collect()) == brute_hits(patterns, refs)
+    finally:
+        affix.pinned = kept
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "(affix#" in plan
+
+
+def test_bounds_rule_out_no_similar_name(spark, table):
+    """Every pair that reaches the cut-off stays a candidate, and few others do."""
+    import random
+
+    from plansift.operators import parts as P
+
+    rng = random.Random(5)
+    syllables = ["gla", "zing", "bead", "hin", "ge", "seal", "door", "ro", "ller", "clip", "é", "x", "10", "mm", "brush", "cap", "end", "plate", "anchor", "spring"]
+
+    def word():
+        return "".join(rng.choices(syllables, k=rng.randint(1, 3)))
+
+    def typo(text):
+        letters = list(text)
+        for _ in range(rng.randint(0, max(1, len(letters) // 4))):
+            at = rng.randrange(len(letters)) if letters else 0
+            if rng.random() < 0.5 and letters:
+                del letters[at]
+            else:
+                letters.insert(at, rng.choice("abegilnz "))
+        return "".join(letters)
+
+    names = sorted({" ".join(word() for _ in range(rng.randint(1, 5))) for _ in range(800)} | {"a", "ab", "a a", "  spaced   name "})
+    needles = [typo(rng.choice(names)) for _ in range(60)] + ["", " ", "a", "zz top"]
+    ratio = {(i, n): P.token_set_ratio(t, n) for i, t in enumerate(needles) for n in names}
+    similar = {pair for pair, r in ratio.items() if r >= P.FUZZY_CUTOFF}
+    asked = table("qid int, needle string", list(enumerate(needles)))
+    made = P.fuzzy_candidates(asked, table("name string", [(n,) for n in names])).collect()
+    candidates = {(r.qid, r.name) for r in made}
+    assert similar and similar <= candidates and len(made) == len(candidates)
+    # made of twenty syllables, many names share most of their letters; see the next test for the sample parts
+    assert len(candidates) < len(ratio) / 20
+
+
+def test_few_pairs_reach_python(spark):
+    """On the sample parts, under one in a hundred pairs of name and needle is compared in Python."""
+    from plansift.operators import parts as P
+    from plansift.sources import standin
+
+    parts = standin.parts(spark, "/root/testdata/sf0.01")
+    names = parts.select(F.lower("designation").alias("name")).distinct()
+    needles = spark.createDataFrame([(1, "smal anvil"), (2, "ring sela plates"), (3, "hardwear"), (4, "rde rods widget")], "qid int, needle string")
+    kept, every = P.fuzzy_candidates(needles, names).count(), names.count() * 4
+    assert every > 4000 and kept < every / 100, (kept, every)
