@@ -35,6 +35,8 @@ class Catalogue:
     #: ``text_index.TextIndex`` over the pages and over the parts, where they are stored
     page_index: Any = None
     part_index: Any = None
+    #: ``ref_norm, page_id`` as ``parts.reference_list`` gives it
+    ref_pages: DataFrame | None = None
     #: ``vector_index.VectorIndex`` over the page vectors and over the region vectors of images
     vector_index: Any = None
     region_index: Any = None

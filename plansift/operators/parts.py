@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plansift.functions import refs as R, text as T
 from plansift.operators import affix, fts
 from plansift.operators.relational import (BROADCAST_ROWS, broadcast_within, explode_once, keep_first, priority_union,
-                                           rows_up_to, small_batches, top_per_key, union_all)
+                                           rows_of, rows_up_to, small_batches, top_per_key, union_all)
 from plansift.sources import text_index
 from plansift.staging import pinned, small, stage
 from plansift.vocab import Vocabulary
@@ -383,18 +383,34 @@ def pages_with_refs(pages: DataFrame, known: DataFrame) -> DataFrame:
             .withColumn("refs", F.coalesce("found_refs", F.array().cast("array<string>"))).drop("found_refs"))
 
 
+def reference_list(pages: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``ref_norm, page_id``: the pages of every known reference, to be stored in this order.
+
+    Pages that carry their references (``known`` is None) are not read for their text.
+    """
+    if known is None:
+        listed = pages.select("page_id", F.explode("refs").alias("ref_norm"))
+    else:
+        found = explode_once(pages, ["page_id"], R.page_ref_candidates(F.col("text")), "ref_norm")
+        listed = found.join(known, "ref_norm", "left_semi")
+    rows = listed.select("ref_norm", "page_id").distinct()
+    return rows.repartitionByRange("ref_norm", "page_id").sortWithinPartitions("ref_norm", "page_id")
+
+
 def pages_using_ref(wanted: DataFrame, pages: DataFrame, known: DataFrame, vocabulary: Vocabulary,
-                  limit: int = 6) -> DataFrame:
+                  limit: int = 6, listed: DataFrame | None = None) -> DataFrame:
     """Pages whose text names a reference as a word of its own.
 
     ``wanted`` has ``qid, ref, ref_norm``.  Every page listing the reference is
     inspected; contents pages go; the first ``limit`` by document and page stay.
+    ``listed`` is the stored :func:`reference_list`: with it only the text of the pages
+    it names is read.
     """
-    wanted = wanted.filter(F.col("ref_norm") != "")
-    wanted = broadcast_within(wanted, rows_up_to(wanted, BROADCAST_ROWS))
-    candidates = explode_once(pages, ["page_id", "doc_id", "page_num"], R.page_ref_candidates(F.col("text")), "ref_norm")
-    listed = candidates.join(wanted, "ref_norm").join(known, "ref_norm", "left_semi")
-    rows = pages.join(listed.select("qid", "page_id", "ref", "ref_norm"), "page_id")
+    wanted, asked = pinned(wanted.filter(F.col("ref_norm") != ""), "wanted-refs")
+    wanted = wanted if asked is None else F.broadcast(wanted)
+    listed = reference_list(pages, known) if listed is None else rows_of(listed, "ref_norm", asked)
+    hits, found = pinned(listed.join(wanted, "ref_norm").select("qid", "page_id", "ref", "ref_norm"), "ref-pages")
+    rows = rows_of(pages, "page_id", found).join(hits if found is None else F.broadcast(hits), "page_id")
     body = F.concat("text", F.lit(" "), T.blank_to_empty(F.col("ocr_text")))
     terms = F.array(F.lower("ref_norm"), F.lower("ref"))
     rows = rows.withColumn("body", body).withColumn(

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from plansift.catalogue import page_title_text
 from plansift.functions import refs as R, text as T, vectors as X
 from plansift.operators import fts
-from plansift.operators.relational import top_per_key, within_budget
+from plansift.operators.relational import rows_of, top_per_key, within_budget
 from plansift.sources import text_index, vector_index
-from plansift.staging import small
+from plansift.staging import pinned, small
 from plansift.vocab import Vocabulary
 
 # fixed values: weights of the evidence score
@@ -170,8 +170,8 @@ def search_pages(pages: DataFrame, questions: DataFrame, vocabulary: Vocabulary,
         prose = asked.filter(~F.col("is_ref")).select("qid")
         dense = semantic_hits(page_vectors, query_vectors.join(prose, "qid", "left_semi"),
                               max(limit, DENSE_FLOOR), vectors)
-    chosen = small(candidates(scored, pool, dense), "candidates")
-    joined = pages.join(chosen, "page_id").join(asked, "qid")
+    chosen, rows = pinned(candidates(scored, pool, dense), "candidates")
+    joined = rows_of(pages, "page_id", rows).join(chosen if rows is None else F.broadcast(chosen), "page_id").join(asked, "qid")
     rows = confidence(_with_drawings(_evidence(joined), figures, chosen.select("page_id")))
     rows = rows.filter(~F.col("is_ref") | F.col("supported"))
     top = top_per_key(rows, ["qid"], [F.desc("raw_score"), F.asc("position")], limit)

@@ -3,10 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: largest number of rows an operator may pin with a broadcast hint
 BROADCAST_ROWS = 1_000_000
+#: keys that may reach a scan as literals
+LITERAL_KEYS = 1_000
 #: rows of a small side that may travel as one array value
 BATCH_ROWS = 1_000
 
@@ -27,6 +30,15 @@ def broadcast_within(df: DataFrame, max_rows: int | None) -> DataFrame:
     return F.broadcast(df) if max_rows is not None and max_rows <= BROADCAST_ROWS else df
 
 
+def rows_of(df: DataFrame, key: str, wanted: pa.Table | None) -> DataFrame:
+    """The rows that can join ``wanted``: where it is a small counted table, its keys reach the scan as a filter.
+
+    A table written in the order of ``key`` then gives up only the row groups and pages that hold them.
+    """
+    keys = set(wanted[key].to_pylist()) if wanted is not None else set()
+    return df.filter(F.col(key).isin(list(keys))) if wanted is not None and len(keys) <= LITERAL_KEYS else df
+
+
 def small_batches(df: DataFrame, key: str, limit: int = BATCH_ROWS) -> list[DataFrame]:
     """The frame cut into batches of about ``limit`` rows by hash of ``key``.
 

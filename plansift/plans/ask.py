@@ -197,7 +197,8 @@ def answer_questions(catalogue: Catalogue, questions: DataFrame, query_vectors:
     known = P.known_refs(parts, photos)
     exact = stage(exact_refs.join(P.lookup_parts(exact_refs, parts, photos), "ref_norm").withColumn(
         "rank", F.lit(1)), "exact_parts")
-    on_pages = P.pages_using_ref(exact.select("qid", "ref", "ref_norm"), catalogue.pages, known, vocabulary, 20) \
+    on_pages = P.pages_using_ref(exact.select("qid", "ref", "ref_norm"), catalogue.pages, known, vocabulary, 20,
+                                 catalogue.ref_pages) \
         .join(limits.select("qid", F.col("max_pages").alias("page_limit")), "qid").filter(F.col("rank") <= F.col("page_limit"))
     on_pages = stage(on_pages.select(
         "qid", "rank", "page_id", "doc_id", "filename", "title", "system", "systems", "doc_kind", "page_num",

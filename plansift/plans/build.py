@@ -62,7 +62,7 @@ def build(path: str, decoded_pages: DataFrame, root: str, workbook_cells: DataFr
         pages = spark.read.parquet(f"{path}/pages_raw")
         texts = plugins.recognise(pages_for_recognition(pages), recogniser)
         pages, _ = add_recognised(pages, texts)
-    index_store.write_tables({"pages": pages}, path)
+    index_store.write_tables({"pages": pages.repartitionByRange("page_id").sortWithinPartitions("page_id")}, path)
     tables["pages"] = spark.read.parquet(f"{path}/pages")
     if encoder is not None:
         index_store.write_tables({"page_vectors": page_vectors(tables["pages"], encoder)}, path)
@@ -73,6 +73,8 @@ def build(path: str, decoded_pages: DataFrame, root: str, workbook_cells: DataFr
     if descriptors is not None:
         index_store.write_tables({"descriptors": descriptors}, path)
         tables["descriptors"] = spark.read.parquet(f"{path}/descriptors")
+    index_store.write_tables({"ref_pages": P.reference_list(tables["pages"])}, path)
+    tables["ref_pages"] = spark.read.parquet(f"{path}/ref_pages")
     rank.page_index(tables["pages"], f"{path}/page_index")
     P.part_index(tables["parts"], f"{path}/part_index")
     return tables
@@ -80,7 +82,7 @@ def build(path: str, decoded_pages: DataFrame, root: str, workbook_cells: DataFr
 
 def open_catalogue(spark: SparkSession, path: str, vocabulary: Vocabulary, vectors: bool = False, regions: bool = False) -> Catalogue:
     """The catalogue written by :func:`build`, with its indexes; ``vectors`` and ``regions`` say what was built besides."""
-    names = ["pages", "documents", "parts", "ref_images", *(["page_vectors"] if vectors else [])]
+    names = ["pages", "documents", "parts", "ref_images", "ref_pages", *(["page_vectors"] if vectors else [])]
     return Catalogue(**index_store.read_tables(spark, path, names), vocabulary=vocabulary,
                      page_index=text_index.TextIndex(spark, f"{path}/page_index"),
                      part_index=text_index.TextIndex(spark, f"{path}/part_index"),

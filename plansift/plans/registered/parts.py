@@ -271,7 +271,8 @@ SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY pos) AS
 def pages_using_ref(spark, sf_dir):
     wanted = question_table(spark, dict(WANTED_PAGES)).select(
         "qid", F.col("question").alias("ref"), R.norm_ref(F.col("question")).alias("ref_norm"))
-    hits = P.pages_using_ref(wanted, standin.pages(spark, sf_dir), P.known_refs(*_tables(spark, sf_dir)), VOCAB)
+    hits = P.pages_using_ref(wanted, standin.pages(spark, sf_dir), P.known_refs(*_tables(spark, sf_dir)), VOCAB,
+                             listed=standin.ref_pages(spark, sf_dir))
     return hits.select("qid", "rank", "page_id", "snippet")
 
 

@@ -13,7 +13,7 @@ from plansift.catalogue import Catalogue
 from plansift.functions import refs as R
 from plansift.operators import parts as P, rank
 from plansift.sources import text_index, vector_index
-from plansift.staging import staging_root
+from plansift.staging import stage, staging_root
 from plansift.vocab import Vocabulary
 
 VOCABULARY = Vocabulary(
@@ -56,7 +56,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("doc_kind"))
 
 
-_INDEXES: dict[tuple[str, str, str], text_index.TextIndex | vector_index.VectorIndex] = {}
+_INDEXES: dict[tuple[str, str, str], text_index.TextIndex | vector_index.VectorIndex | DataFrame] = {}
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> text_index.TextIndex:
@@ -75,6 +75,15 @@ def part_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
     return _stored(spark, sf_dir, "parts", lambda: P.part_index(parts(spark, sf_dir)))
 
 
+def ref_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored list of pages by reference."""
+    place = (spark.sparkContext.applicationId, sf_dir, "refs")
+    if place not in _INDEXES:
+        known = P.known_refs(parts(spark, sf_dir), ref_images(spark, sf_dir))
+        _INDEXES[place] = stage(P.reference_list(pages(spark, sf_dir), known), "ref-pages")
+    return _INDEXES[place]
+
+
 def vectors_on_disk(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
     place = (spark.sparkContext.applicationId, sf_dir, "vectors")
     if place not in _INDEXES:
@@ -167,5 +176,5 @@ def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
         parts=parts(spark, sf_dir), ref_images=ref_images(spark, sf_dir),
         ocr_boxes=ocr_boxes(spark, sf_dir), page_vectors=page_vectors(spark, sf_dir),
         page_index=page_index(spark, sf_dir), part_index=part_index(spark, sf_dir),
-        vector_index=vectors_on_disk(spark, sf_dir),
+        vector_index=vectors_on_disk(spark, sf_dir), ref_pages=ref_pages(spark, sf_dir),
         vocabulary=VOCABULARY)

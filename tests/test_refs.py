@@ -269,3 +269,23 @@ def test_few_pairs_reach_python(spark):
     needles = spark.createDataFrame([(1, "smal anvil"), (2, "ring sela plates"), (3, "hardwear"), (4, "rde rods widget")], "qid int, needle string")
     kept, every = P.fuzzy_candidates(needles, names).count(), names.count() * 4
     assert every > 4000 and kept < every / 100, (kept, every)
+
+
+def test_stored_list_reads_the_text_of_hits_only(spark, table, tmp_path):
+    rows = [(i, "d1", i, f"see {'A10' if i % 50 == 7 else 'B20'}-X on this page, {i}", "") for i in range(400)]
+    pages = table("page_id long, doc_id string, page_num int, text string, ocr_text string", rows)
+    pages.repartitionByRange(8, "page_id").sortWithinPartitions("page_id").write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    known = table("ref_norm string", [("A10X",), ("B20X",)])
+    P.reference_list(pages, known).write.parquet(str(tmp_path / "refs"))
+    listed = spark.read.parquet(str(tmp_path / "refs"))
+    assert listed.filter("ref_norm = 'A10X'").count() == 8 and listed.count() == 400
+    wanted = table("qid int, ref string, ref_norm string", [(1, "A10-X", "A10X"), (2, "none", "NONE"), (3, "", "")])
+    found = P.pages_using_ref(wanted, pages, known, VOCAB, 100, listed)
+    direct = P.pages_using_ref(wanted, pages, known, VOCAB, 100)
+    assert sorted((r.qid, r.page_id, r.snippet) for r in found.collect()) == sorted((r.qid, r.page_id, r.snippet) for r in direct.collect())
+    assert sorted(r.page_id for r in found.collect()) == list(range(7, 400, 50))
+    plan = found.filter("rank > 0")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "In(page_id, [" in plan  # the scan of page text is given the hits
+    with_refs = pages.withColumn("refs", F.array(F.lit("A10X")))
+    assert P.reference_list(with_refs.filter("page_id < 3")).count() == 3
