@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plansift.functions import vectors as X
@@ -59,6 +60,8 @@ def marks_in_figures(marks: DataFrame, figures: DataFrame, min_overlap: float =
 # fixed values: occupancy grid and cluster limits (PDF points)
 CELL, DILATE, PAD = 6.0, 2, 7.0
 MIN_AREA, MAX_AREA, MIN_SIDE, MAX_FIGURES = 0.010, 0.88, 24.0, 8
+#: cells of the stack of pages that a task handles at a time (one larger sheet goes alone)
+GRID_CELLS = 1 << 21
 
 
 def occupied_cells(strokes: DataFrame) -> DataFrame:
@@ -95,76 +98,110 @@ def occupied_cells(strokes: DataFrame) -> DataFrame:
         F.bit_or(mask).alias("mask"))
 
 
-def _page_clusters(page: pd.DataFrame) -> pd.DataFrame:
-    """Boxes of the connected groups of one page's cells, at the widest useful dilation."""
-    columns = ["page_id", "figure_no", "share", "x0", "y0", "x1", "y1"]
-    width, height = float(page["width"].iloc[0]), float(page["height"].iloc[0])
-    grid = np.zeros((int(height / CELL) + 1, (int(width / CELL) // 64 + 1) * 64), dtype=bool)
-    bits = np.unpackbits(page["mask"].to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    for cy, word, cells in zip(page["cy"], page["word"], bits):
-        grid[cy, word * 64:word * 64 + 64] |= cells.astype(bool)
-    grid = grid[:, :int(width / CELL) + 1]
-    for spread in range(DILATE, -1, -1):
-        wide = grid
-        for _ in range(spread):
-            padded = np.pad(wide, 1)
-            wide = (padded[1:-1, 1:-1] | padded[:-2, 1:-1] | padded[2:, 1:-1]
-                    | padded[1:-1, :-2] | padded[1:-1, 2:])
-        boxes = _component_boxes(wide, width, height)
-        if boxes:
-            top = sorted(boxes, key=lambda b: -b[0])[:MAX_FIGURES]
-            return pd.DataFrame([(page["page_id"].iloc[0], i, *box) for i, box in enumerate(top)], columns=columns)
-    return pd.DataFrame(columns=columns)
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index of every run of consecutive ``keys``, and the run that each key is in."""
+    first = np.flatnonzero(np.diff(keys, prepend=-2) != 1)
+    return first, np.cumsum(np.diff(keys, prepend=-2) != 1) - 1
 
 
-def _component_boxes(grid: np.ndarray, width: float, height: float) -> list[tuple]:
-    """(area share, x0, y0, x1, y1) of each 4-connected group that is figure-sized.
+def components(grids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occupied cells (flat index) of a stack of grids, and the lowest index in each one's 4-connected group.
 
-    Works on horizontal runs: runs of neighbouring rows that overlap belong together.
+    Lowest indices spread over whole horizontal and vertical runs in turn, for all
+    grids at once, until nothing changes.
     """
-    change = np.diff(np.pad(grid, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    ys, starts = np.nonzero(change == 1)
-    ends = np.nonzero(change == -1)[1] - 1
-    group = list(range(len(ys)))
-
-    def root(i):
-        while group[i] != i:
-            group[i] = group[group[i]]
-            i = group[i]
-        return i
-
-    first_of_row = np.searchsorted(ys, np.arange(grid.shape[0] + 1))
-    for y in range(1, grid.shape[0]):
-        above, stop = first_of_row[y - 1], first_of_row[y]
-        for run in range(first_of_row[y], first_of_row[y + 1]):
-            while above < stop and ends[above] < starts[run]:
-                above += 1
-            other = above
-            while other < stop and starts[other] <= ends[run]:
-                a, b = root(run), root(other)
-                group[max(a, b)] = min(a, b)
-                other += 1
-    roots = np.array([root(i) for i in range(len(ys))], dtype=int)
-    boxes = []
-    for r in np.unique(roots):
-        mine = roots == r
-        x0, y0 = max(starts[mine].min() * CELL - PAD, 0.0), max(ys[mine].min() * CELL - PAD, 0.0)
-        x1 = min((ends[mine].max() + 1) * CELL + PAD, width)
-        y1 = min((ys[mine].max() + 1) * CELL + PAD, height)
-        share = (x1 - x0) * (y1 - y0) / (width * height)
-        if MIN_AREA <= share <= MAX_AREA and x1 - x0 > MIN_SIDE and y1 - y0 > MIN_SIDE:
-            boxes.append((float(share), float(x0), float(y0), float(x1), float(y1)))
-    return boxes
+    pages, height, width = grids.shape
+    flat = np.flatnonzero(grids)
+    label = flat.copy()
+    if not len(flat):
+        return flat, label
+    page, y, x = np.unravel_index(flat, grids.shape)
+    across, in_row = _runs((page * height + y) * (width + 1) + x)
+    down = (page * width + x) * (height + 1) + y
+    order = np.argsort(down)
+    along, in_column = _runs(down[order])
+    while True:
+        spread = np.minimum.reduceat(label, across)[in_row]
+        spread[order] = np.minimum.reduceat(spread[order], along)[in_column]
+        if np.array_equal(spread, label):
+            return flat, label
+        label = spread
+
+
+def _grown(grids: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Every cell and its four neighbours, on the page."""
+    wide = grids.copy()
+    wide[:, 1:] |= grids[:, :-1]
+    wide[:, :-1] |= grids[:, 1:]
+    wide[:, :, 1:] |= grids[:, :, :-1]
+    wide[:, :, :-1] |= grids[:, :, 1:]
+    return wide & inside
+
+
+def _cluster_boxes(grids: np.ndarray, inside: np.ndarray, width: np.ndarray, height: np.ndarray) -> pd.DataFrame:
+    """Figure-sized boxes of each page, at the widest dilation that gives the page any."""
+    found, todo = [], np.arange(len(grids))
+    for spread in range(DILATE, -1, -1):
+        wide = grids[todo]
+        for _ in range(spread):
+            wide = _grown(wide, inside[todo])
+        flat, label = components(wide)
+        if not len(flat):
+            break
+        order = np.argsort(label, kind="stable")
+        start = np.flatnonzero(np.diff(label[order], prepend=-1))
+        at, y, x = (a[order] for a in np.unravel_index(flat, wide.shape))
+        page = todo[at[start]]
+        box = pd.DataFrame({
+            "page": page, "x0": np.maximum(np.minimum.reduceat(x, start) * CELL - PAD, 0.0), "y0": np.maximum(np.minimum.reduceat(y, start) * CELL - PAD, 0.0),
+            "x1": np.minimum((np.maximum.reduceat(x, start) + 1) * CELL + PAD, width[page]),
+            "y1": np.minimum((np.maximum.reduceat(y, start) + 1) * CELL + PAD, height[page])})
+        box["share"] = (box.x1 - box.x0) * (box.y1 - box.y0) / (width[page] * height[page])
+        box = box[box.share.between(MIN_AREA, MAX_AREA) & (box.x1 - box.x0 > MIN_SIDE) & (box.y1 - box.y0 > MIN_SIDE)]
+        found.append(box)
+        todo = np.setdiff1d(todo, box.page)
+    boxes = pd.concat(found) if found else pd.DataFrame(columns=["page", "x0", "y0", "x1", "y1", "share"])
+    boxes = boxes.sort_values(["page", "share", "y0", "x0", "x1", "y1"], ascending=[True, False, True, True, True, True])
+    boxes["figure_no"] = boxes.groupby("page").cumcount()
+    return boxes[boxes.figure_no < MAX_FIGURES]
+
+
+def _clusters(batches):
+    for batch in batches:
+        ids, width, height, cells = (batch.column(i) for i in range(4))
+        width, height = width.to_numpy(), height.to_numpy()
+        bounds, parts = cells.offsets.to_numpy(), cells.values
+        cy, word, mask = (parts.field(i).to_numpy() for i in range(3))
+        rows, columns = (height / CELL).astype(int) + 1, (width / CELL).astype(int) + 1
+        order = np.lexsort((columns, rows))  # pages of one size go together
+        while len(order):
+            cost = np.maximum.accumulate(rows[order]) * np.maximum.accumulate(columns[order]) * np.arange(1, len(order) + 1)
+            some, order = np.split(order, [max(1, int(np.searchsorted(cost, GRID_CELLS, "right")))])
+            high, wide = rows[some].max(), columns[some].max()
+            words = np.zeros((len(some), high, -(-wide // 64)), np.uint64)
+            for i, at in enumerate(some):
+                here = slice(bounds[at], bounds[at + 1])
+                np.bitwise_or.at(words[i], (cy[here], word[here]), mask[here].view(np.uint64))
+            bits = np.unpackbits(words.astype("<u8").view(np.uint8), axis=2, bitorder="little")[:, :, :wide].astype(bool)
+            inside = (np.arange(high)[None, :, None] < rows[some][:, None, None]) & (np.arange(wide)[None, None, :] < columns[some][:, None, None])
+            boxes = _cluster_boxes(bits & inside, inside, width[some], height[some])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(some[boxes.page.to_numpy(int)])), pa.array(boxes.figure_no.to_numpy(np.int32)),
+                 *[pa.array(boxes[c].to_numpy(float)) for c in ("share", "x0", "y0", "x1", "y1")]],
+                names=["page_id", "figure_no", "share", "x0", "y0", "x1", "y1"])
 
 
 def drawing_clusters(strokes: DataFrame) -> DataFrame:
-    """Figure boxes found in each page's strokes, largest first.
+    """Figure boxes found in each page's strokes, largest first (then from the top left).
 
     What is gathered per page is its grid, bounded by the sheet size however many
-    strokes the page has.
+    strokes the page has; pages are then handled in stacks of at most ``GRID_CELLS`` cells.
     """
-    return occupied_cells(strokes).groupBy("page_id").applyInPandas(
-        _page_clusters, "page_id long, figure_no int, share double, x0 double, y0 double, x1 double, y1 double")
+    grids = occupied_cells(strokes).groupBy("page_id").agg(
+        F.max("width").alias("width"), F.max("height").alias("height"), F.collect_list(F.struct("cy", "word", "mask")).alias("cells"))
+    kind = strokes.schema["page_id"].dataType.simpleString()
+    return grids.select("page_id", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), "cells").mapInArrow(
+        _clusters, f"page_id {kind}, figure_no int, share double, x0 double, y0 double, x1 double, y1 double")
 
 
 def ordered_figure_files(figures: DataFrame) -> DataFrame:

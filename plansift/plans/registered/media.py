@@ -246,7 +246,24 @@ def occupancy_grid(spark, sf_dir):
         F.sum(F.bit_count("mask")).alias("cells"))
 
 
-@registered()
+# strokes grown by n cells belong together where their cells lie within 2n + 1 steps of each other
+_CLUSTERS = """WITH RECURSIVE s AS (SELECT l_orderkey AS page_id, l_suppkey % 50 * 10.0e0 AS x0, l_partkey % 70 * 10.0e0 AS y0, least(l_suppkey % 50 * 10.0e0 + l_quantity * 4, 595.0e0) AS x1,
+ least(l_partkey % 70 * 10.0e0 + (l_discount * 2000 + 5), 842.0e0) AS y1 FROM lineitem),
+b AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY x0, y0, x1, y1) AS i, floor(x0 / 6)::INT AS c0, least(floor(x1 / 6)::INT, 99) AS c1,
+ floor(y0 / 6)::INT AS r0, least(floor(y1 / 6)::INT, 140) AS r1 FROM s WHERE x1 > x0 AND y1 > y0 AND (x1 - x0) * (y1 - y0) <= 0.5e0 * 595 * 842),
+edges AS (SELECT a.page_id, n, a.i, b.i AS j FROM b a JOIN b ON a.page_id = b.page_id CROSS JOIN (VALUES (0), (1), (2)) t(n)
+ WHERE greatest(a.c0 - b.c1, b.c0 - a.c1, 0) + greatest(a.r0 - b.r1, b.r0 - a.r1, 0) <= 2 * n + 1),
+reach AS (SELECT page_id, n, i, j FROM edges UNION SELECT r.page_id, r.n, r.i, e.j FROM reach r JOIN edges e ON e.page_id = r.page_id AND e.n = r.n AND e.i = r.j),
+groups AS (SELECT page_id, n, i, min(j) AS g FROM reach GROUP BY 1, 2, 3),
+boxes AS (SELECT page_id, n, greatest(greatest(min(c0) - n, 0) * 6.0e0 - 7, 0) AS x0, greatest(greatest(min(r0) - n, 0) * 6.0e0 - 7, 0) AS y0,
+ least((least(max(c1) + n, 99) + 1) * 6.0e0 + 7, 595) AS x1, least((least(max(r1) + n, 140) + 1) * 6.0e0 + 7, 842) AS y1 FROM groups JOIN b USING (page_id, i) GROUP BY page_id, n, g),
+sized AS (SELECT *, (x1 - x0) * (y1 - y0) / (595.0e0 * 842.0e0) AS share FROM boxes),
+figure AS (SELECT *, max(n) OVER (PARTITION BY page_id) AS widest FROM sized WHERE share BETWEEN 0.010e0 AND 0.88e0 AND x1 - x0 > 24 AND y1 - y0 > 24)
+SELECT page_id, figure_no, round(share, 6) AS share, x0, y0, x1, y1 FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY share DESC, y0, x0, x1, y1) - 1 AS figure_no
+ FROM figure WHERE n = widest) WHERE figure_no < 8"""
+
+
+@registered(_CLUSTERS)
 def drawing_clusters(spark, sf_dir):
     return G.drawing_clusters(_strokes(spark, sf_dir)).select(
         "page_id", "figure_no", F.round("share", 6).alias("share"), "x0", "y0", "x1", "y1")

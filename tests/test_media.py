@@ -91,6 +91,41 @@ def test_drawing_clusters_equal_cell_search(table):
         assert np.allclose(sorted(got[page]), sorted(want[page])) and len(got[page]) == len(want[page]), page
 
 
+def test_components_of_winding_shapes():
+    """Spirals, combs and random cells of several pages at once, against a slow fill."""
+    rng = np.random.default_rng(8)
+    spiral = np.zeros((21, 21), bool)
+    y, x, dy, dx = 0, 0, 0, 1
+    for _ in range(400):
+        spiral[y, x] = True
+        ahead = (y + 2 * dy, x + 2 * dx)
+        if not (0 <= y + dy < 21 and 0 <= x + dx < 21) or (0 <= ahead[0] < 21 and 0 <= ahead[1] < 21 and spiral[ahead]):
+            dy, dx = dx, -dy
+        if not (0 <= y + dy < 21 and 0 <= x + dx < 21) or spiral[y + dy, x + dx]:
+            break
+        y, x = y + dy, x + dx
+    comb = np.ones((21, 21), bool)
+    comb[1:, 1::2] = False
+    grids = np.stack([spiral, comb, np.zeros((21, 21), bool), *[rng.random((21, 21)) < p for p in (0.3, 0.5, 0.6, 0.9)]])
+    flat, label = G.components(grids)
+    want = {}
+    for page, grid in enumerate(grids):
+        seen = np.zeros_like(grid)
+        for start in zip(*np.nonzero(grid)):
+            if seen[start]:
+                continue
+            seen[start], stack, group = True, [start], []
+            while stack:
+                cy, cx = stack.pop()
+                group.append((page * 21 + cy) * 21 + cx)
+                for ny, nx in ((cy + 1, cx), (cy - 1, cx), (cy, cx + 1), (cy, cx - 1)):
+                    if 0 <= ny < 21 and 0 <= nx < 21 and grid[ny, nx] and not seen[ny, nx]:
+                        seen[ny, nx] = True
+                        stack.append((ny, nx))
+            want |= {cell: min(group) for cell in group}
+    assert dict(zip(flat.tolist(), label.tolist())) == want
+
+
 def test_missing_hashes_count_as_full_distance(table):
     rows = table("image_key long, phash long, dhash string", [(1, 5, "a"), (2, None, "a"), (3, 4, None)])
     lib = rows.select("image_key", "phash", F.when(F.col("dhash").isNotNull(), F.array(F.lit(3).cast("long"))).alias("dhash"),
