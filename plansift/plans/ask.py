@@ -14,7 +14,7 @@ from plansift.catalogue import Catalogue
 from plansift.functions import refs as R, text as T
 from plansift.operators import facets, figures as G, fts, parts as P, rank
 from plansift.operators.relational import priority_union, top_per_key
-from plansift.sources import text_index
+from plansift.sources import answer_store, text_index
 from plansift.staging import stage
 
 # fixed values: result sizes
@@ -165,11 +165,12 @@ _FIGURE_FIELDS = ["page_id", "url", "thumb_url", "kind"]
 
 
 def answer_questions(catalogue: Catalogue, questions: DataFrame, query_vectors: DataFrame | None = None) -> DataFrame:
-    """One row per question: ``route, answer, terms, pages, images, parts, suggestions``.
+    """One row per question: ``question, route, answer, terms, pages, images, parts, suggestions, signature``.
 
     ``route`` says how it was answered: greeting, out_of_scope, pattern, near_miss,
     not_found, broad or evidence.  ``questions`` has ``qid, question`` and may have
-    ``max_pages`` and ``max_images``; blank questions are left out.
+    ``max_pages`` and ``max_images``; blank questions are left out.  ``signature`` names the pages behind an
+    ``evidence`` answer.
     """
     catalogue = replace(catalogue, page_index=catalogue.page_index or rank.page_index(catalogue.pages),
                         part_index=catalogue.part_index or P.part_index(catalogue.parts))
@@ -184,8 +185,8 @@ def answer_questions(catalogue: Catalogue, questions: DataFrame, query_vectors:
     found, totals = P.refs_matching(patterns, parts, photos, PATTERN_MAX)
     found = found.join(asked.select("qid", "max_refs"), "qid").filter(F.col("rank") <= F.col("max_refs"))
     listed = stage(_gather(found, "parts", _PART_FIELDS), "pattern_parts")
-    pattern_rows = patterns.join(totals, "qid").join(listed, "qid", "left").select(
-        "qid", F.lit("pattern").alias("route"), R.describe_pattern(
+    pattern_rows = patterns.join(totals, "qid").join(listed, "qid", "left").join(asked.select("qid", "question"), "qid").select(
+        "qid", "question", F.lit("pattern").alias("route"), R.describe_pattern(
             F.col("mode"), F.col("value"), F.col("kinds"), F.col("total"),
             F.coalesce(F.size("parts"), F.lit(0))).alias("answer"), F.array("value").alias("terms"), "parts")
 
@@ -235,7 +236,8 @@ def answer_questions(catalogue: Catalogue, questions: DataFrame, query_vectors:
             .join(offered.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "suggestion"))),
                                                          lambda s: s["suggestion"]).alias("offers")), "qid", "left")
             .join(terms, "qid").join(broad, "qid").join(near_refs, "qid", "left")
-            .join(exact.select("qid", F.lit(True).alias("has_exact")), "qid", "left"))
+            .join(exact.select("qid", F.lit(True).alias("has_exact")), "qid", "left")
+            .join(rank.signature(shown), "qid", "left"))
     rows = rows.withColumn("parts", F.coalesce("parts", F.array().cast(dict(rows.dtypes)["parts"]))).withColumn(
         "pages", F.coalesce("pages", F.array().cast(dict(rows.dtypes)["pages"])))
     as_typed = F.upper(q)
@@ -255,13 +257,14 @@ def answer_questions(catalogue: Catalogue, questions: DataFrame, query_vectors:
         .when(is_broad, F.concat(F.lit("“"), q, F.lit("” covers a lot of ground in these catalogues. Pick one to narrow it down:")))
         .otherwise(evidence_answer(F.col("parts"), F.col("pages"))))
     answered = rows.select(
-        "qid", "route", answer.alias("answer"),
+        "qid", "question", "route", answer.alias("answer"),
         F.when(is_near, F.concat(F.array(as_typed), F.col("near_refs"))).otherwise(F.col("terms")).alias("terms"),
         F.when(~silent, F.col("pages")).alias("pages"), F.when(~silent, F.col("images")).alias("images"),
         F.when(is_near, F.col("near_parts")).when(F.col("route") != "not_found", F.col("parts")).alias("parts"),
-        F.when(is_near, F.col("near_refs")).when(is_broad, F.col("offers")).alias("suggestions"))
+        F.when(is_near, F.col("near_refs")).when(is_broad, F.col("offers")).alias("suggestions"),
+        F.when(F.col("route") == "evidence", F.col("signature")).alias("signature"))
     small_talk = talk.filter("route is not null").select(
-        "qid", "route", F.when(F.col("route") == "greeting", F.lit(
+        "qid", "question", "route", F.when(F.col("route") == "greeting", F.lit(
             "Hello! I answer questions about the catalogues on file. You can ask me in English or French. "
             "Try a part reference, a component, or a fabrication question:")).otherwise(F.lit(
                 "This assistant only answers questions about the catalogues: profiles, accessories, systems and "
@@ -270,3 +273,10 @@ def answer_questions(catalogue: Catalogue, questions: DataFrame, query_vectors:
         .alias("suggestions"))
     return (answered.unionByName(pattern_rows, allowMissingColumns=True)
             .unionByName(small_talk, allowMissingColumns=True))
+
+
+def answer_with_store(catalogue: Catalogue, questions: DataFrame, path: str, size: int = answer_store.SIZE,
+                      query_vectors: DataFrame | None = None) -> DataFrame:
+    """:func:`answer_questions` with ``from_cache``: a question that met the same pages before gets the stored answer."""
+    answered = stage(answer_questions(catalogue, questions, query_vectors), "answered")
+    return answer_store.answered_before(questions.sparkSession, path, answered, size)
