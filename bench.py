@@ -14,7 +14,7 @@ HEADLINE = (
     "snippet", "headings", "part_search", "ref_position_search", "find_ref_in_question", "merged_designation",
     "photo_left_lookup", "photo_only_refs", "figures_per_page", "marks_in_figures", "hash_similarity",
     "best_region_per_image", "list_documents", "replace_groups", "recent_history",
-    "suggestions", "broad_flag", "ocr_highlights",
+    "suggestions", "broad_flag", "ocr_highlights", "stored_neighbours", "pages_using_ref",
 )
 
 

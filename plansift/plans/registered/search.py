@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from plansift.functions import text as T
+from plansift.functions import refs as R, text as T
 from plansift.operators import fts, parts as P, rank
 from plansift.operators.relational import top_per_key
 from plansift.plans.registered import sqlparts as S
@@ -28,13 +28,17 @@ def registered(sql: str | None = None):
 
 
 # ------------------------------------------------------------------ oracle text
-_ASKED = f"""{question_values(QUESTIONS)}, base_v AS (SELECT qid, question, {S.search_words('question')} AS base FROM asked),
+def _asked_sql(questions) -> str:
+    return f"""{question_values(questions)}, base_v AS (SELECT qid, question, {S.search_words('question')} AS base FROM asked),
 {S.expand_steps('base_v', 'qid, question')}, understood AS (SELECT * FROM base_v_expanded),
 words AS (SELECT qid, unnest(base) AS phrase, 1 AS n_all, 0 AS n_any FROM understood
  UNION ALL SELECT qid, unnest(expanded), 0, 1 FROM understood),
 phrases AS (SELECT qid, phrase, sum(n_all) AS n_all, max(n_any) AS n_any FROM words GROUP BY 1, 2)"""
 
 
+_ASKED = _asked_sql(QUESTIONS)
+
+
 def _bm25(columns: list[tuple[str, float]], source: str) -> str:
     """CTEs ending in ``scored(qid, page_id, all_score, any_score)``."""
     rows = " UNION ALL ".join(
@@ -122,9 +126,7 @@ def refs_in_text(spark, sf_dir):
 {_ASKED}, {_bm25([('text', 1.0), ('refs', 8.0), _PAGE_COLUMNS[1]], 'with_refs')}
 SELECT qid, page_id, round(any_score, 6) AS bm FROM scored WHERE any_score < 0""")
 def bm25_weighted_columns(spark, sf_dir):
-    known = P.known_refs(standin.parts(spark, sf_dir), standin.ref_images(spark, sf_dir))
-    index = rank.page_index(P.pages_with_refs(standin.pages(spark, sf_dir), known))
-    scored = text_index.search(index, "page_id", fts.PAGE_WEIGHTS, fts.phrase_rows(_asked(spark)))
+    scored = text_index.search(standin.refs_index(spark, sf_dir), "page_id", fts.PAGE_WEIGHTS, fts.phrase_rows(_asked(spark)))
     return scored.filter("any_score < 0").select("qid", "page_id", F.round("any_score", 6).alias("bm"))
 
 
@@ -233,6 +235,34 @@ def search_pages(spark, sf_dir):
         "score", "supported", "snippet")
 
 
+#: typed references, some of them on pages of the sample tables, alone and among words and systems
+REF_QUESTIONS = {1: "40", 2: "521 663", 3: "thing erth with 40 and 20 for src1 source", 4: "the ontion 15 or 743", 5: "drawings of 73", 6: "99999"}
+_TYPED = f"list_transform(regexp_extract_all(u.question, {S.q(R.TYPED_REFERENCE)}), lambda t: {S.norm_ref('t')})"
+_BY_REF = _RANKED
+for _old, _new in (
+        ("u.question, p.*", f"u.question, list_has_any({_TYPED}, string_split(p.refs, ' ')) AS ref_hit, p.*"),
+        ("JOIN pages_v p USING (page_id) LEFT JOIN near", "JOIN with_refs p USING (page_id) LEFT JOIN near"),
+        (" - (CASE WHEN length(", " + (CASE WHEN ref_hit THEN 1.2e0 ELSE 0.0e0 END) - (CASE WHEN length("),
+        ("THEN coverage ELSE greatest(coverage,", "THEN (CASE WHEN ref_hit THEN 1.0e0 ELSE coverage END) ELSE greatest(coverage,"),
+        ("WHERE NOT is_ref OR coverage > 0", "WHERE NOT is_ref OR coverage > 0 OR ref_hit")):
+    assert _BY_REF.count(_old) == 1, _old
+    _BY_REF = _BY_REF.replace(_old, _new)
+
+
+@registered(f"""WITH {S.PAGES}, {_REF_ROWS}, with_refs AS (SELECT pages_v.*, coalesce(r, '') AS refs FROM pages_v
+ LEFT JOIN (SELECT page_id, string_agg(ref_norm, ' ') AS r FROM found GROUP BY 1) USING (page_id)),
+{_asked_sql(REF_QUESTIONS)}, {_bm25([('text', 1.0), ('refs', 8.0), _PAGE_COLUMNS[1]], 'with_refs')},
+dense AS (SELECT qid, page_id, 0.0e0 AS cos, 1 AS dense_rank FROM understood, pages_v WHERE false), {_BY_REF}
+SELECT qid, rank, page_id, round(raw_score, 6) AS raw_score, coverage, ref_hit, coverage > 0 OR ref_hit AS supported, figure_count,
+ CAST(round_even(100.0e0 * greatest(least(conf, 1.0e0), 0.0e0), 0) AS BIGINT) AS score FROM ranked""")
+def search_pages_by_reference(spark, sf_dir):
+    """Questions that type references, over pages that carry theirs."""
+    found = rank.search_pages(standin.pages_with_refs(spark, sf_dir), question_table(spark, REF_QUESTIONS), VOCAB, 8,
+                              standin.figures(spark, sf_dir), index=standin.refs_index(spark, sf_dir))
+    return found.select("qid", "rank", "page_id", F.round("raw_score", 6).alias("raw_score"), "coverage", "ref_hit", "supported",
+                        "figure_count", "score")
+
+
 _EVIDENCE = S._re(S.clean_text(S.strip("text")), "'\\n{3,}'", "chr(10) || chr(10)")
 
 

@@ -71,6 +71,19 @@ def page_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
     return _stored(spark, sf_dir, "pages", lambda: rank.page_index(pages(spark, sf_dir)))
 
 
+def pages_with_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pages that carry the references they name."""
+    place = (spark.sparkContext.applicationId, sf_dir, "pages with refs")
+    if place not in _INDEXES:
+        known = P.known_refs(parts(spark, sf_dir), ref_images(spark, sf_dir))
+        _INDEXES[place] = stage(P.pages_with_refs(pages(spark, sf_dir), known), "pages-with-refs")
+    return _INDEXES[place]
+
+
+def refs_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+    return _stored(spark, sf_dir, "refs index", lambda: rank.page_index(pages_with_refs(spark, sf_dir)))
+
+
 def part_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
     return _stored(spark, sf_dir, "parts", lambda: P.part_index(parts(spark, sf_dir)))
 
