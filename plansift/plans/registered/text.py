@@ -256,3 +256,19 @@ SELECT qid, array_to_string(list_filter(terms, lambda t, i: list_position(terms,
 def highlight_terms(spark, sf_dir):
     rows = asked_about_parts(spark, sf_dir).select("qid", T.content_tokens(F.col("question")).alias("base"))
     return rows.select("qid", joined(T.highlight_terms(F.col("base"), T.expand(F.col("base"), VOCAB))).alias("terms"))
+
+
+@registered(f"""WITH {S.ASKED}, base_v AS (SELECT qid, question, {S.content('question')} AS base FROM asked_v),
+{S.expand_steps('base_v', 'qid, question')},
+named AS (SELECT e.*, CASE WHEN p_size % 3 = 0 THEN 'AB-' || p_partkey WHEN p_size % 3 = 1 THEN '' END AS ref, upper(p_name) || ' ' || p_size || 'mm: ' || p_brand AS designation
+ FROM base_v_expanded e JOIN part ON p_partkey = qid),
+all_terms AS (SELECT qid, list_filter(list_concat(CASE WHEN ref <> '' THEN list_concat([ref], {S.content('designation')}) ELSE [] END, base, expanded), lambda t: length(t) > 2) AS terms FROM named)
+SELECT qid, array_to_string(list_filter(terms, lambda t, i: list_position(list_transform(terms, lambda x: lower(x)), lower(t)) = i), ' ') AS terms FROM all_terms""")
+def highlight_terms_of_part(spark, sf_dir):
+    """Terms to mark when a question names a part: its reference and the words of its name come first."""
+    part = standin.table(spark, sf_dir, "part")
+    size = F.col("p_size") % 3
+    named = part.select(F.col("p_partkey").alias("qid"), F.when(size == 0, F.concat(F.lit("AB-"), F.col("p_partkey").cast("string"))).when(
+        size == 1, F.lit("")).alias("ref"), F.concat(F.upper("p_name"), F.lit(" "), F.col("p_size").cast("string"), F.lit("mm: "), F.col("p_brand")).alias("designation"))
+    rows = asked_about_parts(spark, sf_dir).select("qid", T.content_tokens(F.col("question")).alias("base")).join(named, "qid")
+    return rows.select("qid", joined(T.highlight_terms(F.col("base"), T.expand(F.col("base"), VOCAB), F.col("ref"), F.col("designation"))).alias("terms"))

@@ -48,6 +48,16 @@ def systems(spark, sf_dir):
     return standin.documents(spark, sf_dir).select(F.explode("systems").alias("system")).distinct()
 
 
+@registered("""SELECT doc_id, source || '/' || lang AS names, 2 AS n FROM documents WHERE source NOT LIKE '%7'
+ UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE source LIKE '%7'""")
+def decoded_arrays(spark, sf_dir):
+    """Arrays kept as text, decoded; text that is no array gives null."""
+    docs = standin.table(spark, sf_dir, "documents")
+    kept = F.when(F.col("source").endswith("7"), F.lit("no array")).otherwise(F.to_json(F.array("source", "lang")))
+    rows = docs.select("doc_id", F.from_json(kept, "array<string>").alias("names"))
+    return rows.select("doc_id", F.array_join("names", "/").alias("names"), F.nullif(F.size("names"), F.lit(-1)).alias("n"))
+
+
 @registered("""SELECT DISTINCT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
 def decoded_properties(spark, sf_dir):
     return standin.table(spark, sf_dir, "events").select(
