@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plansift.llm.base import Words, fresh, mix, slices, table, texts_of
 from plansift.llm.components import components
+from plansift.llm.overlap import id_column, prefix_links
 from plansift.staging import stage
 
 SEED = 42
@@ -316,8 +317,10 @@ def similar_groups(docs: DataFrame, text: str, ids: str, similarity: float = 0.8
 
     Candidates: texts of which one of ``prints`` SimHashes of the set of words
     differs in ``bits`` or fewer bits, found through vantage-point trees; texts
-    that differ in few words agree there more closely than by shingles.  Then
-    exact: inside each component of candidates the sets of ``size``-word
+    that differ in few words agree there more closely than by shingles.  Texts
+    with a long inserted or cut passage may not, so pairs that the prefix filter
+    cannot rule out (``overlap``) are candidates too, which makes them complete.
+    Then exact: inside each component of candidates the sets of ``size``-word
     shingles are compared, in pairs of blocks of ``block`` texts, and
     similarities of ``similarity`` or more link.
     """
@@ -332,12 +335,16 @@ def similar_groups(docs: DataFrame, text: str, ids: str, similarity: float = 0.8
         links = links.join(own.withColumnsRenamed({"fp": "a", "rep": "x"}), "a").join(own.withColumnsRenamed({"fp": "b", "rep": "y"}), "b")
         links = same.unionByName(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
         near = links if near is None else near.unionByName(links)
+    own = stage(nodes.select(id_column("key").alias("id"), "node"), "own")
+    links = prefix_links(docs, text, similarity, size).join(own.withColumnsRenamed({"id": "a", "node": "x"}), "a")
+    links = links.join(own.withColumnsRenamed({"id": "b", "node": "y"}), "b")
+    near = near.unionByName(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     placed = nodes.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = placed.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1")
     members = stage(placed.join(sizes, "root").select("key", "node", "root", "size"), "members")
     once = _keyed(docs.select(text), text).groupBy("key").agg(F.first(text).alias("body"))
     n_blocks = F.ceil(F.col("size") / block).cast("int")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 16 + members.count() // block
     cut = once.join(members, "key").withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     small = F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(parts)).cast("string"))
