@@ -26,9 +26,14 @@ _DIGIT = re.compile(r"[0-9]+")
 SECRET = "secret"
 _SEEDS = re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api_?key)) ?[=:] ?[\"']?(?=[A-Za-z_/+-]*[0-9])([A-Za-z0-9_/+-]{8,})"
                     r"|\b(AKIA[0-9A-Z]{16})\b")
-_TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
-_CUE = re.compile(r"([A-Za-z_]+) ?([=:]) ?[\"']?$")
-_LEFT = re.compile(r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+[\"'(\[]?$")
+_TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_/+.-")
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
+_SPACES = frozenset(" \t\n\v\f\r")
+#: Values assigned without a digit.  Prose has colons, so after one a plain word is none.
+_ASSIGNED = re.compile(r"[=:] ?[\"']?((?>[A-Za-z_/+.-]{8,}))(?![0-9])")
+_PLAIN = re.compile(r"[A-Z]?[a-z.-]+|[A-Z.-]+")
+#: Longer patterns are told apart by their digest.
+_PATTERN = 64
 
 
 @dataclass(frozen=True)
@@ -78,24 +83,32 @@ def shape(token: str) -> str | None:
         return "hex"
     if re.fullmatch("[0-9A-Z]+", token):
         return "code " + token[:4]
-    return re.sub("[0-9]+", "9", re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", token)))[:24]
+    return re.sub("[0-9]+", "9", re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", token)))
 
 
 def left_context(text: str, start: int) -> str:
     """The name that is assigned to, or else the word before; empty at the start of a text."""
-    before = text[max(0, start - 48):start]
-    if m := _CUE.search(before):
-        return f"{m[1].lower()}{m[2]}"
-    m = _LEFT.search(before)
-    return m[1].lower() if m else ""
-
-
-def instances(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
-    """Seeds and candidates: start, end, surface, the kind of a seed (else null) and the patterns around it."""
-    taken, found = sorted((s, e) for _, s, e in base), {}
-    seeds = {m.span(1 if m[1] else 2) for m in _SEEDS.finditer(text)} if "=" in text or ":" in text or "AKIA" in text else ()
-    for start, end in seeds:
-        found[start, end] = SECRET
+    at = start - (start > 0 and text[start - 1] in "\"'")
+    at -= at > 0 and text[at - 1] == " "
+    if at > 0 and text[at - 1] in "=:":
+        end = at - 1
+        end -= end > 0 and text[end - 1] == " "
+        low = end
+        while low > 0 and text[low - 1] in _NAME:
+            low -= 1
+        if low < end:
+            return text[low:end].lower() + text[at - 1]
+    at = end = start - (start > 0 and text[start - 1] in "\"'([")
+    while end > 0 and text[end - 1] in _SPACES:
+        end -= 1
+    low = end
+    while at > end and low > 0 and text[low - 1] not in _SPACES:
+        low -= 1
+    return text[low:end].lower()
+
+
+def candidates(text: str):
+    """(start, end) of tokens that a pattern may name: six characters or more with a digit, or assigned."""
     last = 0
     for m in _DIGIT.finditer(text):
         if m.start() < last:
@@ -106,22 +119,49 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
         while end < len(text) and text[end] in _TOKEN:
             end += 1
         last = end
-        if end - start >= 6:
-            found.setdefault((start, end), None)
-    clear, i = [], 0
-    for (start, end), kind in sorted(found.items()):
+        yield start, end
+    if "=" in text or ":" in text:
+        for m in _ASSIGNED.finditer(text):
+            if text[m.start()] == "=" or not _PLAIN.fullmatch(m[1].rstrip(".-")):
+                yield m.span(1)
+
+
+def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """Without the marks that end a clause or open a path."""
+    while end > start and text[end - 1] in ".-":
+        end -= 1
+    while start < end and text[start] in ".-":
+        start += 1
+    return start, end
+
+
+def apart(spans, taken: list[tuple[int, int]]):
+    """Of ``spans`` in order of place, those that overlap neither ``taken`` (sorted) nor an earlier one."""
+    i, last = 0, 0
+    for start, end in sorted(spans):
         while i < len(taken) and taken[i][1] <= start:
             i += 1
-        if (i == len(taken) or taken[i][0] >= end) and (not clear or clear[-1][1] <= start):
-            clear.append((start, end, kind))
+        if (i == len(taken) or taken[i][0] >= end) and last <= start:
+            yield start, end
+            last = end
+
+
+def instances(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
+    """Seeds and candidates: start, end, surface, the kind of a seed (else null) and the patterns around it."""
+    taken = sorted((s, e) for _, s, e in base)
+    seeds = {m.span(1 if m[1] else 2) for m in _SEEDS.finditer(text)} if "=" in text or ":" in text or "AKIA" in text else ()
+    seeds = list(apart(seeds, taken))
+    rest = {trimmed(text, *span) for span in candidates(text)}
+    rest = apart([(s, e) for s, e in rest if e - s >= 6], sorted(taken + seeds))
     out = []
-    for start, end, kind in clear + [(s, e, k) for k, s, e in base]:
+    for start, end, kind in [*((s, e, SECRET) for s, e in seeds), *((s, e, None) for s, e in rest), *((s, e, k) for k, s, e in base)]:
         surface, patterns = text[start:end], []
         if (context := left_context(text, start)):
             patterns.append("left " + context)
         if kind not in BASE_KINDS and (form := shape(surface)):
             patterns.append("shape " + form)
         if patterns:
+            patterns = [p if len(p) <= _PATTERN else hashlib.md5(p.encode()).hexdigest() for p in patterns]
             out.append({"start": start, "end": end, "surface": hashlib.md5(surface.encode()).hexdigest()[:16],
                         "kind": kind, "patterns": patterns})
     return out
@@ -213,7 +253,12 @@ def find_personal_data(docs: DataFrame, how: Bootstrap = Bootstrap(), text: str
 
 
 def redact(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
-    """Documents with every span replaced by its kind in brackets; ``n_chars`` is counted anew, other columns stay."""
+    """Documents with every span replaced by its kind in brackets; ``n_chars`` is counted anew, other columns stay.
+
+    A null text stays null, an empty one empty; rows stay as many as they are,
+    repeated ones too, and equal texts are redacted alike.  Columns may have
+    any name.  Texts of any length are read whole, in time in proportion to it.
+    """
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     moved = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])
     text = own["text"]
