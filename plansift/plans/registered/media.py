@@ -241,9 +241,7 @@ b AS (SELECT page_id, floor(x0 / 6)::INT AS c0, least(floor(x1 / 6)::INT, 99) AS
 c AS (SELECT page_id, unnest(range(c0, c1 + 1)) AS cx, r0, r1 FROM b), g AS (SELECT DISTINCT page_id, cx, unnest(range(r0, r1 + 1)) AS cy FROM c)
 SELECT page_id, cy, count(*) AS cells FROM g GROUP BY 1, 2""")
 def occupancy_grid(spark, sf_dir):
-    cells = G.occupied_cells(_strokes(spark, sf_dir))
-    return cells.groupBy("page_id", F.col("cy").cast("bigint").alias("cy")).agg(
-        F.sum(F.bit_count("mask")).alias("cells"))
+    return G.occupied_rows(_strokes(spark, sf_dir))
 
 
 # strokes grown by n cells belong together where their cells lie within 2n + 1 steps of each other

@@ -91,6 +91,44 @@ def test_drawing_clusters_equal_cell_search(table):
         assert np.allclose(sorted(got[page]), sorted(want[page])) and len(got[page]) == len(want[page]), page
 
 
+def test_strokes_are_shuffled_once_and_not_as_cells(spark, tmp_path):
+    """One row a stroke leaves the scan, whatever the number of cells it covers."""
+    strokes = spark.range(2000).selectExpr("id % 500 page_id", "595D width", "842D height", "50D x0", "50D y0", "500D x1", "500D y1")
+    for made in (G.occupied_rows(strokes), G.drawing_clusters(strokes)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Aggregate" not in plan and plan.count("Repartition") == 1
+
+
+@pytest.mark.parametrize("few, held", [(24, 10_000), (0, 10_000), (10_000, 10_000), (24, 20)])
+def test_pages_across_batches_and_both_ways_of_grouping(spark, table, monkeypatch, few, held):
+    monkeypatch.setattr(G, "FEW_STROKES", few)
+    monkeypatch.setattr(G, "STROKES_HELD", held)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    rng, rows, want, cells = np.random.default_rng(3), [], {}, {}
+    for page in (None, *range(12)):
+        width, height = (595.0, 842.0) if page is None or page % 2 else (300.0, 200.0)
+        n = 100 if page == 5 else int(rng.integers(1, 40))
+        strokes = [(x, y, x + w, y + h) for x, y, w, h in zip(rng.uniform(0, width, n), rng.uniform(0, height, n), rng.uniform(1, 50, n), rng.uniform(1, 50, n))]
+        rows += [(page, width, height, *s) for s in strokes]
+        want[page] = brute_clusters(strokes, width, height)
+        grid = {(int(min(y, height) // 6), int(min(x, width) // 6)) for a, b, c, d in strokes for y in np.arange(b // 6, min(d, height) // 6 + 1) * 6
+                for x in np.arange(a // 6, min(c, width) // 6 + 1) * 6}
+        for y, _ in grid:
+            cells[page, y] = cells.get((page, y), 0) + 1
+    df = table("page_id long, width double, height double, x0 double, y0 double, x1 double, y1 double", rows)
+    try:
+        spark.conf.set(batch, "7")
+        found = {}
+        for r in sorted(G.drawing_clusters(df).collect(), key=lambda r: (r.page_id or -1, r.figure_no)):
+            found.setdefault(r.page_id, []).append((r.x0, r.y0, r.x1, r.y1))
+        assert {p: sorted(b) for p, b in found.items()} == {
+            p: sorted(tuple(float(v) for v in box[-4:]) for box in b) for p, b in want.items() if b}
+        assert {(r.page_id, r.cy): r.cells for r in G.occupied_rows(df).collect()} == cells
+    finally:
+        spark.conf.set(batch, before)
+
+
 def test_components_of_winding_shapes():
     """Spirals, combs and random cells of several pages at once, against a slow fill."""
     rng = np.random.default_rng(8)
