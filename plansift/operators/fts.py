@@ -12,6 +12,9 @@ over it are in ``sources.text_index``.
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plansift.functions import text as T
@@ -23,18 +26,40 @@ PART_WEIGHTS = {"ref": 2.0, "designation": 1.0}
 SCORE_DIGITS = 9
 
 
-def column_tokens(df: DataFrame, name: str) -> Column:
+def column_text(df: DataFrame, name: str) -> Column:
     is_array = df.schema[name].dataType.typeName() == "array"
-    value = F.array_join(F.col(name), " ") if is_array else T.blank_to_empty(F.col(name))
-    return T.index_tokens(value)
+    return F.array_join(F.col(name), " ") if is_array else T.blank_to_empty(F.col(name))
+
+
+def column_tokens(df: DataFrame, name: str) -> Column:
+    return T.index_tokens(column_text(df, name))
+
+
+def _count_terms(batches, columns: list[str], key: str):
+    """``key, col, term, tf`` from a row a key with the tokens of each column."""
+    for batch in batches:
+        for i, name in enumerate(columns):
+            lists = batch.column(i + 1)
+            terms = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            pairs, tf = np.unique(row * max(len(terms.dictionary), 1) + terms.indices.to_numpy(), return_counts=True)
+            row, term = np.divmod(pairs, max(len(terms.dictionary), 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.repeat(name, len(row)), terms.dictionary.take(pa.array(term)), pa.array(tf, pa.int64())],
+                names=[key, "col", "term", "tf"])
 
 
 def postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``key, col, term, tf`` for every column."""
-    toks = df.select(F.col(key), *[column_tokens(df, name).alias(f"t_{name}") for name in columns])
-    groups = [F.struct(F.lit(name).alias("col"), F.col(f"t_{name}").alias("terms")) for name in columns]
-    rows = toks.select(key, F.explode_outer(F.array(*groups)).alias("g")).select(key, "g.col", F.explode("g.terms").alias("term"))
-    return rows.groupBy(key, "col", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``key, col, term, tf`` for every column.
+
+    Texts are shuffled whole and their terms are counted where they lie; rows of one key count together.
+    """
+    names = {name: f"t_{i}" for i, name in enumerate(columns)}
+    texts = df.select(key, *[column_text(df, name).alias(to) for name, to in names.items()])
+    whole = texts.groupBy(key).agg(*[F.collect_list(to).alias(to) for to in names.values()])
+    toks = whole.select(key, *[F.flatten(F.transform(to, T.index_tokens)).alias(to) for to in names.values()])
+    kind = df.schema[key].dataType.simpleString()
+    return toks.mapInArrow(lambda batches: _count_terms(batches, columns, key), f"`{key}` {kind}, col string, term string, tf long")
 
 
 def phrase_rows(questions: DataFrame, base: str = "base", expanded: str = "expanded") -> DataFrame:

@@ -75,6 +75,16 @@ def full_search(spark, path, phrases):
     return scores(text_index.search(text_index.TextIndex(spark, path), "page_id", fts.PAGE_WEIGHTS, phrases))
 
 
+def test_postings_count_terms_before_they_are_shuffled(spark, table):
+    rows = [(1, "b a b", "x"), (2, "", None), (1, "a c", "x x"), (None, "a a", "y"), (3, None, "é E")]
+    found = fts.postings(table("page_id long, text string, title string", rows), "page_id", ["text", "title"])
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([
+        (1, "text", "a", 2), (1, "text", "b", 2), (1, "text", "c", 1), (1, "title", "x", 3), (None, "text", "a", 2),
+        (None, "title", "y", 1), (3, "title", "e", 2)], key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # one row a page reaches the exchange
+
+
 def test_tokens_of_a_block_are_counted_in_one_task(spark, pages, tmp_path, monkeypatch):
     """No row a token is grouped by Spark, and buckets follow the tokens, not only the pages."""
     monkeypatch.setattr(text_index, "BUCKET_TOKENS", 20)
