@@ -68,6 +68,15 @@ def _eight(data: bytes) -> np.ndarray:
     return wide.view(np.int64)[:, 0]
 
 
+def _joined(column: pa.ChunkedArray) -> memoryview | bytes:
+    """All bytes of a binary column, in its own buffer where it has one chunk."""
+    def part(chunk):
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]
+        return memoryview(chunk.buffers()[2])[ends[0]:ends[-1]] if chunk.buffers()[2] else b""
+    parts = [part(c) for c in column.chunks if len(c)]
+    return parts[0] if len(parts) == 1 else b"".join(parts)
+
+
 def repeated_shingles(docs: DataFrame, text: str, similarity: float, size: int) -> DataFrame:
     """Rows (id, h, freq) of each different text: its shingles that other texts hold too, and one with its counts.
 
@@ -111,17 +120,21 @@ def repeated_shingles(docs: DataFrame, text: str, similarity: float, size: int)
                                                  names=["bucket", "ids", "hashes", "freqs"])
 
     def count(key, rows):
-        counted = rows.filter(pa.compute.is_null(rows.column("freqs")))
-        passed = rows.filter(pa.compute.is_valid(rows.column("freqs")))
-        ids = np.frombuffer(b"".join(counted.column("ids").to_pylist()), np.int64)
-        h = _eight(b"".join(counted.column("hashes").to_pylist()))
-        order = np.lexsort((ids, h))
+        plain = pa.compute.is_null(rows.column("freqs"))
+        counted, passed = rows.filter(plain), rows.filter(pa.compute.invert(plain))
+        del rows
+        ids, h = np.frombuffer(_joined(counted.column("ids")), np.int64), _eight(_joined(counted.column("hashes")))
+        del counted
+        order = np.argsort(ids, kind="stable")
+        order = order[np.argsort(h[order], kind="stable")]
         ids, h = ids[order], h[order]
+        del order
         once = np.append(True, (np.diff(ids) != 0) | (np.diff(h) != 0))[:len(h)]  # copies come from several slices
         ids, h = ids[once], h[once]
-        _, place, n = np.unique(h, return_inverse=True, return_counts=True)
-        n = n[place] if len(h) else np.zeros(0, np.int64)
-        own, listed, freqs = (np.frombuffer(b"".join(passed.column(c).to_pylist()), np.int64) for c in ("ids", "hashes", "freqs"))
+        start = np.flatnonzero(np.append(True, np.diff(h) != 0)[:len(h)])
+        n = np.diff(np.append(start, len(h)))  # texts with each shingle
+        n = np.repeat(n, n)
+        own, listed, freqs = (np.frombuffer(_joined(passed.column(c)), np.int64) for c in ("ids", "hashes", "freqs"))
         made = [(ids[n > 1], own), (h[n > 1], listed), (n[n > 1], freqs)]
         return pa.table({c: np.concatenate(x).astype(np.int64) for c, x in zip(("id", "h", "freq"), made)})
 

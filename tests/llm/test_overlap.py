@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plansift.llm import overlap as O
@@ -84,3 +85,10 @@ def test_edges_join_every_similar_pair(documents, monkeypatch, often):
 def test_edges_of_no_and_odd_rows(documents, edge_rows):
     assert O.prefix_links(documents([]), "text").count() == 0
     assert O.prefix_links(documents(edge_rows), "text").count() == 0  # all different, or equal in words
+
+
+def test_bytes_of_a_column_are_joined_without_copies_of_rows():
+    column = pa.chunked_array([pa.array([b"skipped", b"ab", None, b"c"]).slice(1), pa.array([], pa.binary()), pa.array([b"def"])])
+    assert bytes(O._joined(column)) == b"abcdef"
+    assert isinstance(O._joined(pa.chunked_array([pa.array([b"a", b"b"])])), memoryview)
+    assert bytes(O._joined(pa.chunked_array([], pa.binary()))) == b""
