@@ -214,3 +214,26 @@ def test_shuffled_words_score_lower(spark, documents, texts, monkeypatch):
     got = {r.doc_id: r.score for r in L.op10_lm_scoring(spark, "").collect()}
     gains = [got[ids[i]] - got[ids[100 + i]] for i in range(len(held))]
     assert len(held) == 20 and sum(g > 0 for g in gains) >= 18 and sum(gains) > 0
+
+
+def shuffled(spark):
+    """Bytes that all tasks so far wrote to shuffles."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_sections_ask_for_each_symbol_once(spark):
+    """Few bytes travel for each byte of text: symbols that come again in a section are not asked for again."""
+    size = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").selectExpr("sum(octet_length(text))").first()[0]
+    before = shuffled(spark)
+    assert L.op10_lm_scoring(spark, "/root/testdata/sf0.1").count() == 10_000
+    assert size < shuffled(spark) - before < 2.5 * size
+
+
+def test_scores_do_not_depend_on_sections(spark, documents, texts, monkeypatch):
+    rows = [(d, t, "en", "s") for d, t in texts[:200]]
+    monkeypatch.setattr(L, "table", lambda *_: documents(rows).repartition(2))
+    whole = {r.doc_id: r.score for r in L.op10_lm_scoring(spark, "").collect()}
+    monkeypatch.setattr(L, "SECTION_BYTES", 10_000)
+    parts = {r.doc_id: r.score for r in L.op10_lm_scoring(spark, "").collect()}
+    assert parts.keys() == whole.keys() and all(abs(parts[d] - s) <= 1e-9 * abs(s) for d, s in whole.items())
