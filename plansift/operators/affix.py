@@ -3,7 +3,8 @@
 Every reference has keys: its prefixes, its suffixes and its runs of up to ``GRAM`` letters.  A
 pattern has one key; contained values longer than ``GRAM`` meet by their first run and are then
 checked.  The keys are either stored (:func:`affix_index`) or made in the scan, then only of the
-lengths that the patterns have, so that rows without a hit are never shuffled.
+lengths that the patterns have, so that rows without a hit are never shuffled; for a few patterns
+rows without any of their keys are left out before.
 """
 from __future__ import annotations
 
@@ -13,6 +14,8 @@ from plansift.functions import refs as R
 from plansift.staging import pinned
 
 GRAM = 3
+#: Patterns that rows are tested for before their keys are made.
+FEW_PATTERNS = 64
 MODES = {"prefix": "<", "suffix": ">", "contains": "~"}
 
 
@@ -47,6 +50,20 @@ def pattern_keys(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("key", F.concat(sign, part)).withColumn("key_length", F.length(part)).filter("key is not null")
 
 
+def may_hit(ref: Column, few: list[tuple[str, str, int]]) -> Column:
+    """Does ``ref`` have the key of any of a few patterns (``mode, key, key_length``)?  Compiled tests, no arrays."""
+    tests = F.lit(False)
+    for mode, n in sorted({(m, n) for m, _, n in few}):
+        values = sorted({k[1:] for m, k, length in few if (m, length) == (mode, n)})
+        if mode == "contains":
+            for value in values:
+                tests = tests | ref.contains(value)
+        else:
+            cut = _cut(ref, F.lit(1) if mode == "prefix" else F.length(ref) - n + 1, F.lit(n))
+            tests = tests | ((F.length(ref) >= n) & cut.isin(values))
+    return tests
+
+
 def position_hits(patterns: DataFrame, keyed: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """``qid, asked_kind, *keyed``: rows of ``keyed(ref_norm, ...)`` that satisfy each pattern (``qid, mode, value, kind``).
 
@@ -66,6 +83,8 @@ def position_hits(patterns: DataFrame, keyed: DataFrame, index: DataFrame | None
         else:
             found = sorted({n for m, n in zip(few["mode"].to_pylist(), few["key_length"].to_pylist()) if m == mode})
             lengths[mode] = F.array(*[F.lit(n) for n in found]).cast("array<int>")
+    if few is not None and few.num_rows <= FEW_PATTERNS:
+        keyed = keyed.filter(may_hit(F.col("ref_norm"), list(zip(*(few[c].to_pylist() for c in ("mode", "key", "key_length"))))))
     rows = keyed.withColumns({f"{mode}_": column for mode, column in lengths.items()})
     keys = affix_keys(F.col("ref_norm"), F.col("prefix_"), F.col("suffix_"), F.col("contains_"))
     rows = rows.select(*keyed.columns, F.explode(keys).alias("affix"))

@@ -225,6 +225,22 @@ def test_affixes_meet_by_equality(spark, table):
     assert "collect_list" not in plan and "(affix#" in plan
 
 
+def test_rows_without_a_key_are_left_out_before_keys_are_made(spark, table):
+    from pyspark.sql import functions as F
+
+    from plansift.operators import affix
+
+    refs = [f"{i}" for i in range(3000)] + ["", None, "0T1", "É1"]
+    patterns = [(1, "suffix", "31"), (2, "prefix", "14"), (3, "contains", "0T"), (4, "suffix", "7"), (5, "prefix", "É")]
+    keyed = table("ref_norm string, part_id long", [(r, i) for i, r in enumerate(refs)])
+    few = [(mode, affix.MODES[mode] + value, len(value)) for _, mode, value in patterns]
+    want = brute_hits(patterns, [r for r in refs if r is not None])
+    left = [r.ref_norm for r in keyed.filter(affix.may_hit(F.col("ref_norm"), few)).collect()]
+    assert sorted(left) == sorted({r for _, r in want})
+    rows = table("qid int, mode string, value string, kind string", [(*p, None) for p in patterns])
+    assert sorted((r.qid, r.ref_norm) for r in affix.position_hits(rows, keyed).collect()) == want
+
+
 def test_bounds_rule_out_no_similar_name(spark, table):
     """Every pair that reaches the cut-off stays a candidate, and few others do."""
     import random
