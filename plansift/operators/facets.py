@@ -49,21 +49,23 @@ def component_families(questions: DataFrame, parts: DataFrame, vocabulary: Vocab
     A named kind takes that whole kind; other questions take the parts their words
     or synonyms match, all of them.
     """
+    def grouped(rows, key):
+        """``key, family, n``; equal designations are counted before their family is worked out."""
+        named = rows.groupBy(key, "designation").agg(F.count(F.lit(1)).alias("n"))
+        return (named.select(key, T.designation_group(F.col("designation")).alias("family"), "n")
+                .filter(F.col("family") != "").groupBy(key, "family").agg(F.sum("n").alias("n")))
+
     asked = questions.select("qid", F.array_distinct(T.content_tokens(F.col("question"))).alias("base"))
     asked = asked.withColumn("kind", asked_part_kind(F.col("base")))
     kinds = asked.filter("kind is not null").select("qid", "kind")
     # counted per kind before it meets the questions
-    per_kind = (parts.filter(F.length("designation") > 2)
-                .select("kind", T.designation_group(F.col("designation")).alias("family"))
-                .filter(F.col("family") != "").groupBy("kind", "family").agg(F.count(F.lit(1)).alias("n")))
+    per_kind = grouped(parts.filter(F.length("designation") > 2), "kind")
     by_kind = per_kind.join(broadcast_within(kinds, rows_up_to(kinds, BROADCAST_ROWS)), "kind") \
         .select("qid", "family", "n")
     worded = asked.filter("kind is null and size(base) > 0").withColumn(
         "expanded", T.expand(F.col("base"), vocabulary))
-    matched = text_index.search(index or part_index(parts), "part_id", fts.PART_WEIGHTS, fts.phrase_rows(worded)).select("qid", "part_id")
-    by_words = (parts.join(matched, "part_id")
-                .select("qid", T.designation_group(F.col("designation")).alias("family"))
-                .filter(F.col("family") != "").groupBy("qid", "family").agg(F.count(F.lit(1)).alias("n")))
+    matched = text_index.matching(index or part_index(parts), "part_id", fts.phrase_rows(worded))
+    by_words = grouped(parts.join(matched, "part_id"), "qid")
     ranked = top_per_key(by_kind.unionByName(by_words), ["qid"], [F.desc("n"), F.asc("family")], limit)
     return ranked.filter("n > 1")
 

@@ -308,3 +308,16 @@ def test_a_count_of_zero_is_no_size(table):
     from plansift.plans.ask import with_limits
     rows = with_limits(table("qid int, question string, max_pages int", [(1, "seals on 0 pages", 7), (2, "seals on 0 pages", 0), (3, "seals on 5 pages", 7)]))
     assert {r.qid: r.max_pages for r in rows.collect()} == {1: 7, 2: 3, 3: 5}
+
+
+def test_pages_that_match_are_found_without_their_lists(spark, pages, questions, tmp_path):
+    phrases, columns = fts.phrase_rows(rank.understand(questions, VOCAB)), list(fts.PAGE_WEIGHTS)
+    docs, path = rank.indexed_pages(pages), str(tmp_path / "index")
+    text_index.write_segment(docs.filter("page_id <= 3"), "page_id", columns, path, 0)
+    text_index.write_segment(docs.filter("page_id >= 3"), "page_id", columns, path, 1)
+    text_index.delete_pages(spark, path, docs.filter("page_id = 2").select(F.col("page_id").alias("page")), 9)
+    index = text_index.TextIndex(spark, path)
+    want = sorted((r.qid, r.page_id) for r in text_index.search(index, "page_id", fts.PAGE_WEIGHTS, phrases).collect())
+    found = text_index.matching(index, "page_id", phrases)
+    assert want and sorted((r.qid, r.page_id) for r in found.collect()) == want
+    assert "explode(pages#" not in found._jdf.queryExecution().optimizedPlan().toString()
